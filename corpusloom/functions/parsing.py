@@ -1,0 +1,71 @@
+"""Does a text parse as SQL? The one place where rows visit Python.
+
+The grammar is that of the SQLite library that ships with Python, asked with
+``EXPLAIN`` on an empty in-memory handle: the text is compiled, never run. An
+error that names a missing table or function means that the text parsed.
+"""
+
+from __future__ import annotations
+
+import re
+import sqlite3
+import sys
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, functions as F
+
+from corpusloom.functions.text import mask_backticks
+
+# executors get the functions below by value, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+_GRAMMAR_ERROR = re.compile(r"syntax error|incomplete input|unrecognized token|null character")
+# some of these act while being compiled, so EXPLAIN alone does not hold them back
+_REFUSED = {sqlite3.SQLITE_PRAGMA, sqlite3.SQLITE_ATTACH, sqlite3.SQLITE_DETACH}
+
+
+def sqlite_grammar() -> Callable[[str], bool]:
+    """A fresh accept test; call it once per task."""
+    handle = sqlite3.connect(":memory:")
+    handle.set_authorizer(
+        lambda action, *_: sqlite3.SQLITE_DENY if action in _REFUSED else sqlite3.SQLITE_OK
+    )
+
+    def accepts(sql: str) -> bool:
+        try:
+            handle.execute("EXPLAIN " + sql)
+        except sqlite3.Error as error:
+            return not _GRAMMAR_ERROR.search(str(error))
+        return True
+
+    return accepts
+
+
+def parse_flag(
+    sql: Column,
+    retry_masked: bool = False,
+    grammar: Callable[[], Callable[[str], bool]] = sqlite_grammar,
+) -> Column:
+    """True where the text parses with backtick identifiers masked.
+
+    With ``retry_masked`` the text is tried as it is first and masked only on
+    failure. ``grammar`` makes the accept test on the executor. The column is
+    marked non-deterministic so that Catalyst never evaluates it twice.
+    """
+
+    @F.pandas_udf("boolean")
+    def parses(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        accepts = grammar()
+        for first, second in batches:
+            yield pd.Series(
+                [
+                    a is not None and (accepts(a) or (b != a and accepts(b)))
+                    for a, b in zip(first, second)
+                ],
+                dtype=bool,
+            )
+
+    masked = mask_backticks(sql)
+    return parses.asNondeterministic()(sql if retry_masked else masked, masked)
