@@ -10,7 +10,9 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-WS = f"[{WHITESPACE}]"
+# The same characters inside a regular expression that starts with (?U). A class
+# that lists them one by one is several times slower.
+WS = r"[\s\x1c-\x1f]"
 
 CHARS_PER_TOKEN = 3.5
 FENCE = "```"
@@ -39,8 +41,9 @@ def had_semicolon(c: Column) -> Column:
     return strip(c).endswith(";")
 
 
-def _one_blank(c: Column) -> Column:
-    return F.regexp_replace(c, f"{WS}+", " ")
+def one_blank(c: Column) -> Column:
+    """Replace each run of white space by one blank."""
+    return F.regexp_replace(c, f"(?U){WS}+", " ")
 
 
 def collapse_sql(c: Column) -> Column:
@@ -51,15 +54,15 @@ def collapse_sql(c: Column) -> Column:
     """
     outside = F.transform(
         F.split(c, "'", -1),
-        lambda part, i: F.when(i % 2 == 0, _one_blank(part)).otherwise(part),
+        lambda part, i: F.when(i % 2 == 0, one_blank(part)).otherwise(part),
     )
-    collapsed = F.when(c.contains("'"), F.array_join(outside, "'")).otherwise(_one_blank(c))
+    collapsed = F.when(c.contains("'"), F.array_join(outside, "'")).otherwise(one_blank(c))
     return strip(_drop_semicolons(strip(collapsed)))
 
 
 def norm_sql(c: Column) -> Column:
     """Form compared by exact match: one-blank spacing, tight punctuation, upper case."""
-    spaced = strip(_one_blank(_drop_semicolons(strip(c))))
+    spaced = strip(one_blank(_drop_semicolons(strip(c))))
     # only single blanks are left here, so " ?" matches all the white space there is
     return F.upper(F.regexp_replace(spaced, r" ?([(),=<>]) ?", "$1"))
 

@@ -42,12 +42,12 @@ def rank_thresholds(
 ) -> DataFrame:
     """The row at each cut of each group's shuffle order.
 
-    ``cuts`` maps a name to a function from the group size to the number of
+    ``rows`` is read twice and should be a table that is cheap to read. ``cuts`` maps a name to a function from the group size to the number of
     leading rows wanted. Returns a staged table with one row per group and per
     cut name a ``(shuffle_key, id)`` struct: exactly the rows up to it are
     inside the cut. It is null where a cut wants no rows.
     """
-    narrow = stage(rows.select(*groups, "shuffle_key", row_id))
+    narrow = rows.select(*groups, "shuffle_key", row_id)
     cell = F.substring("shuffle_key", 1, CELL_DIGITS)
     cells = narrow.groupBy(*groups, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
     in_group = Window.partitionBy(*groups)
@@ -91,12 +91,13 @@ def label_by_rank(
 ) -> DataFrame:
     """Label each row with the first cut it is inside of, or ``rest``.
 
-    ``narrow`` may supply the groups, shuffle key and id alone, when they are
-    cheaper to read there. The wide rows are then only passed through a
-    broadcast join, never shuffled or sorted.
+    The ranks are found on a narrow table of groups, shuffle key and id, which
+    is staged from ``rows`` unless ``narrow`` supplies it. The wide rows are only
+    passed through a broadcast join, never shuffled or sorted.
     """
-    source = rows if narrow is None else narrow
-    thresholds = rank_thresholds(source, groups, cuts, row_id)
+    if narrow is None:
+        narrow = stage(rows.select(*groups, "shuffle_key", row_id))
+    thresholds = rank_thresholds(narrow, groups, cuts, row_id)
     at = F.struct("shuffle_key", row_id)
     label = reduce(
         lambda chain, name: chain.when(at <= F.col(f"_at_{name}"), name), cuts, F

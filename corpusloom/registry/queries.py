@@ -64,7 +64,8 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stratified_split(pool(spark, sf_dir).drop("shuffle_key"), ["source", "bucket"], SEED)
+    rows = stage(pool(spark, sf_dir).drop("shuffle_key"))
+    return stratified_split(rows, ["source", "bucket"], SEED, narrow=rows)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +283,7 @@ def dedupe_queries(spark, sf_dir):
 @register
 def dedupe_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    spaced = tx.strip(F.regexp_replace("text", f"{tx.WS}+", " "))
+    spaced = tx.strip(tx.one_blank(F.col("text")))
     first = dedupe_first(docs, {"source": F.col("source"), "text": text_key(spaced)}, "doc_id")
     return first.select("doc_id", "source")
 
@@ -321,7 +322,7 @@ def quota_binding_cap(spark, sf_dir):
 
 @register
 def quota_large_cap(spark, sf_dir):
-    return _picks(quota_fill(pool(spark, sf_dir), QUOTAS, cap=LARGE_CAP).picks)
+    return _picks(quota_fill(stage(pool(spark, sf_dir)), QUOTAS, cap=LARGE_CAP).picks)
 
 
 @register
@@ -373,7 +374,7 @@ def distinct_dbs(spark, sf_dir):
 
 @register
 def group_size(spark, sf_dir):
-    rows = classified(spark, sf_dir).select("rec_id", "source", "bucket")
+    rows = stage(classified(spark, sf_dir).select("rec_id", "source", "bucket"))
     return with_group_size(rows, ["source", "bucket"])
 
 

@@ -1,0 +1,168 @@
+import json
+
+import pytest
+
+from corpusloom.__main__ import main, parser
+from corpusloom.functions.prompts import message
+from corpusloom.operators.checks import GateError
+from corpusloom.plans import jobs
+from corpusloom.sources.readers import read_chat
+
+DBS = [f"db{i}" for i in range(6)]
+
+
+def question(i):
+    v = i // 7
+    sql = [
+        f"SELECT a  FROM t WHERE x = {v} ;",
+        f"SELECT a FROM t JOIN u ON t.x = u.x WHERE z = {v}",
+        f"SELECT COUNT(*) FROM t WHERE x = {v}",
+        f"SELECT a FROM t UNION SELECT {v}",
+        f"SELECT a FROM t GROUP BY a HAVING COUNT(*) > {v}",
+        f"SELECT a FROM t WHERE x IN (SELECT {v})",
+        f"SELECT a, SUM(b) FROM t GROUP BY a LIMIT {v}",
+    ][i % 7]
+    return {"db_id": DBS[i % 6], "query": sql, "question": f" question {i} "}
+
+
+def record(db, sql, roles=("system", "user", "assistant")):
+    contents = ("You are", f"Database: {db}\n\nSchema:\n\nTables\n\nQuestion:\nq\n\nReturn", sql)
+    return {"messages": [{"role": r, "content": c} for r, c in zip(roles, contents)]}
+
+
+def put(path, items, array=False):
+    path.write_text(json.dumps(items) if array else "\n".join(map(json.dumps, items)) + "\n")
+    return str(path)
+
+
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    base = tmp_path_factory.mktemp("jobs")
+    put(base / "q.json", [question(i) for i in range(210)] + [question(3)], array=True)
+    put(base / "c.json", [
+        {"db_id": d, "table_names_original": ["t"], "foreign_keys": [],
+         "column_names_original": [[-1, "*"], [0, "a"]]} for d in DBS], array=True)
+    put(base / "raw.jsonl", [
+        record(DBS[i % 6], f"SELECT a FROM t WHERE `b c` = {i}" + (" ;" if i % 10 == 0 else ""))
+        for i in range(60)])
+    return base
+
+
+def test_clean(spark, folder):
+    report = jobs.clean_corpus(spark, str(folder / "raw.jsonl"), str(folder / "clean"))
+    assert report == {"records": 60, "fixed_semicolons": 6, "unparseable": 0}
+    back = read_chat(spark, str(folder / "clean" / "records"), stored_ord=True)
+    got = {r["ord"]: r["sql"] for r in back.select("ord", message(2).alias("sql")).collect()}
+    assert got == {i: f"SELECT a FROM t WHERE `b c` = {i}" for i in range(60)}
+
+
+def test_clean_fails_on_broken_sql_after_writing(spark, tmp_path):
+    items = [record("d", s) for s in ("SELECT 1", "SELECT (1", "SELECT 2", "FROM")]
+    with pytest.raises(GateError, match=r"first: \[1, 3\]"):
+        jobs.clean_corpus(spark, put(tmp_path / "x.jsonl", items), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "records")).count() == 4
+    assert {r["ord"] for r in spark.read.json(str(tmp_path / "out" / "rejects")).collect()} == {1, 3}
+
+
+def test_clean_fails_on_wrong_roles(spark, tmp_path):
+    items = [record("d", "SELECT 1"), record("d", "SELECT 1", ("user", "system", "assistant"))]
+    with pytest.raises(Exception, match="in record 1"):
+        jobs.clean_corpus(spark, put(tmp_path / "x.jsonl", items), str(tmp_path / "out"))
+    assert not (tmp_path / "out" / "records" / "_SUCCESS").exists()
+
+
+def test_subset(spark, folder):
+    quotas = {"set_op": 10, "nested": 10, "having": 5, "single_join": 200}
+    listed = jobs.build_subset(
+        spark, str(folder / "q.json"), str(folder / "c.json"), str(folder / "subset"),
+        str(folder / "manifest"), n=60, per_db_cap=9, quotas=quotas,
+    ).orderBy("i").collect()
+    # six databases at nine rows each
+    assert [r["i"] for r in listed] == list(range(54))
+    records = read_chat(spark, str(folder / "subset")).orderBy("ord").collect()
+    assert [r["ord"] for r in records] == list(range(54))
+    for entry, rec in zip(listed, records):
+        raw = question(entry["rec_id"])
+        system, user, target = [m["content"] for m in rec["messages"]]
+        assert user == (
+            f"Database: {raw['db_id']}\n\nSchema:\n\nTables\n\nt(\n    a\n)\n\n"
+            f"Question:\n{raw['question'].strip()}\n\nReturn only SQL.")
+        assert target == " ".join(raw["query"].rstrip("; ").split())
+    summary = spark.read.json(str(folder / "manifest" / "summary")).first().asDict(True)
+    counts = {k: v for k, v in summary["bucket_counts"].items() if v}
+    assert summary["n"] == 54 and summary["distinct_dbs"] == 6 and summary["per_db_cap"] == 9
+    assert sum(counts.values()) == 54
+    assert counts["set_op"] >= 10 and counts["nested"] >= 10 and counts["having"] >= 5
+
+
+def test_subset_refuses_window_functions(spark, folder, tmp_path):
+    bad = put(tmp_path / "q.json",
+              [{"db_id": "db0", "query": "SELECT RANK() OVER (x) FROM t", "question": "q"}], True)
+    with pytest.raises(GateError, match="window functions"):
+        jobs.build_subset(spark, bad, str(folder / "c.json"), str(tmp_path / "o"), str(tmp_path / "m"))
+
+
+def lines(folder):
+    out = []
+    for part in sorted(folder.glob("part-*")):
+        out += [json.loads(line) for line in part.read_text().splitlines()]
+    return out
+
+
+def test_merge_and_split(spark, tmp_path):
+    one = put(tmp_path / "one.jsonl", [record(f"d{i % 4}", f"SELECT {i} FROM t") for i in range(50)])
+    two = put(tmp_path / "two.jsonl", [
+        record(f"e{i % 3}", f"SELECT {i} FROM t JOIN u") for i in range(20)] + [
+        record("e0", "SELECT 1 UNION SELECT 2")] * 2)
+    out = tmp_path / "out"
+    manifest = jobs.merge_and_split(spark, {"one": one, "two": two}, str(out)).collect()
+    assert [r["position"] for r in manifest] == list(range(72))
+    sizes = {"train": 58, "validation": 7, "test": 7}
+    start = 0
+    for split, n in sizes.items():
+        records = lines(out / "records" / f"split={split}")
+        listed = lines(out / "manifest" / f"split={split}")
+        ids = [r["rec_id"] for r in records]
+        assert len(ids) == n and ids == [r["rec_id"] for r in listed]
+        assert ids == [r["rec_id"] for r in manifest[start:start + n]]
+        assert [r["position"] for r in listed] == list(range(start, start + n))
+        start += n
+    assert {r["bucket"] for r in manifest} == {"simple", "single_join", "nested", "set_op"} - {"nested"}
+    assert read_chat(spark, str(out / "records/split=test")).count() == 7
+    stats = spark.read.json(str(out / "split_stats/counts"))
+    assert stats.where("dimension = 'merged'").first()["n"] == 72
+    assert spark.read.json(str(out / "split_stats/dbs")).first()["distinct_dbs"] == 7
+
+
+def test_profile(spark, folder):
+    path = str(folder / "raw.jsonl")
+    row = jobs.profile_corpus(spark, [path]).first()
+    assert (row["path"], row["n"], row["parse_ok"], row["distinct_dbs"]) == (path, 60, 60, 6)
+    length = len(record("db0", "")["messages"][1]["content"])
+    assert (row["p50"], row["p90"], row["longest"]) == (length, length, length)
+
+
+def test_score(spark, tmp_path):
+    gold = put(tmp_path / "gold.jsonl", [record("d", f"SELECT {i}") for i in range(4)])
+    pred = put(tmp_path / "pred.jsonl", [
+        {"sql": "select 0;"}, {"sql": "```sql\nSELECT 1\n```"}, {"sql": "SELECT 9"}, {"sql": "x"}])
+    assert tuple(jobs.score_predictions(spark, gold, pred).first())[:3] == (4, 2, 1)
+    assert tuple(jobs.score_predictions(spark, gold, pred, fenced=True).first())[:3] == (4, 3, 2)
+    assert tuple(jobs.score_predictions(spark, gold, pred, True, first=2).first())[:3] == (2, 2, 2)
+    manifest = spark.createDataFrame([(i, i // 2) for i in range(4)], "ord long, tier int")
+    by_tier = jobs.score_predictions(spark, gold, pred, True, manifest=manifest, keys=["tier"])
+    assert {r["tier"]: r["em"] for r in by_tier.collect()} == {0: 2, 1: 0}
+    short = put(tmp_path / "short.jsonl", [{"sql": "SELECT 0"}])
+    with pytest.raises(GateError, match="4 gold records, 1 predictions"):
+        jobs.score_predictions(spark, gold, short)
+
+
+def test_command_line(spark, folder, capsys, monkeypatch):
+    monkeypatch.setattr("corpusloom.__main__.purge", lambda _: None)
+    main(["profile", str(folder / "raw.jsonl")])
+    assert "parse_ok" in capsys.readouterr().out
+    args = parser().parse_args(["split", "--source", "a=x", "--source", "b=y", "--outdir", "o"])
+    assert dict(args.source) == {"a": "x", "b": "y"} and args.seed == 42
+    args = parser().parse_args(
+        ["subset", "--questions", "q", "--catalog", "c", "--out", "o", "--manifest", "m"])
+    assert (args.n, args.per_db_cap, args.seed) == (500, 12, 42)

@@ -1,0 +1,39 @@
+from functools import partial
+
+from corpusloom.functions.parsing import parse_flag
+
+CASES = {
+    "SELECT a FROM missing WHERE f(x) = 1": True,
+    "SELECT a FROM t;;": True,
+    "SELECT COUNT(*) FROM t WHERE `col name` = 1": True,
+    "SELECT (a FROM t": False,
+    "SELECT FROM WHERE": False,
+    "SELECT 'open": False,
+    "": False,
+    "Here it is": False,
+    "PRAGMA query_only = 1": True,
+    "SELECT a FROM t WHERE x = 'it''s'": True,
+}
+
+
+def test_parse_flag(evaluate):
+    assert evaluate(parse_flag, CASES) == list(CASES.values())
+
+
+def test_null_does_not_parse(evaluate):
+    assert evaluate(parse_flag, [None, "SELECT 1"]) == [False, True]
+
+
+
+def test_retry_uses_the_masked_text(evaluate):
+    texts = ["SELECT `a b`", "SELECT a", "SELECT `"]
+    pluggable = partial(parse_flag, grammar=lambda: lambda sql: "`" not in sql)
+    assert evaluate(partial(pluggable, retry_masked=True), texts) == [True, True, False]
+    assert evaluate(pluggable, texts) == [True, True, False]
+
+
+def test_flag_is_evaluated_once(spark):
+    df = spark.createDataFrame([("SELECT 1",)], "c string")
+    flagged = df.withColumn("ok", parse_flag(df["c"])).where("ok").where("c <> ''")
+    plan = flagged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
