@@ -30,17 +30,19 @@ HEADLINE = (
     "build_records",
     "completion_span",
     "cleaning_report",
-    "dedupe_queries",
+    "dedupe_first",
     "dedupe_documents",
-    "quota_sample",
+    "quota_fill",
     "quota_topup",
-    "split_corpus",
+    "stratified_split",
     "split_documents",
-    "merged_positions",
+    "merged_order",
     "length_profile",
     "profile_corpus",
     "score_by_stratum",
     "jsonl_round_trip",
+    "build_subset",
+    "merge_and_split",
 )
 RUNS = 3
 

@@ -63,8 +63,8 @@ def collapse_sql(c: Column) -> Column:
 def norm_sql(c: Column) -> Column:
     """Form compared by exact match: one-blank spacing, tight punctuation, upper case."""
     spaced = strip(one_blank(_drop_semicolons(strip(c))))
-    # only single blanks are left here, so " ?" matches all the white space there is
-    return F.upper(F.regexp_replace(spaced, r" ?([(),=<>]) ?", "$1"))
+    # only single blanks are left here: remove those next to punctuation
+    return F.upper(F.regexp_replace(spaced, r" (?:(?=[(),=<>])|(?<=[(),=<>] ))", ""))
 
 
 def mask_backticks(c: Column) -> Column:

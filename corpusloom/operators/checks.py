@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.functions.prompts import roles_ok
+from corpusloom.functions.prompts import ROLES, roles_ok
 from corpusloom.functions.text import est_tokens
 
 
@@ -33,18 +35,18 @@ def require_roles(df: DataFrame, row_id: str = "ord") -> DataFrame:
 def role_report(turns: DataFrame, conversation: str, turn: str, role: str) -> DataFrame:
     """Role check on one-row-per-turn input: ``conversation, n_turns, ok``.
 
-    Counting replaces gathering the turns, so a conversation of any length is
-    reduced to one row before the shuffle.
+    Three turns, one per role, in the order of the roles. Counts and extremes
+    replace gathering the turns, so a conversation of any length is reduced to
+    one row per task before the shuffle.
     """
-    t, r = F.col(turn), F.col(role)
-    in_place = (
-        ((t == 0) & (r == "system")) | ((t == 1) & (r == "user")) | ((t == 2) & (r == "assistant"))
-    )
-    counted = turns.groupBy(conversation).agg(
-        F.count(F.lit(1)).alias("n_turns"), F.count_if(in_place).alias("_in_place")
-    )
-    ok = (F.col("n_turns") == 3) & (F.col("_in_place") == 3)
-    return counted.select(conversation, "n_turns", ok.alias("ok"))
+    n = F.count(F.lit(1))
+    spans = [
+        (F.min(F.when(F.col(role) == r, F.col(turn))), F.max(F.when(F.col(role) == r, F.col(turn))))
+        for r in ROLES
+    ]
+    in_order = [a[1] < b[0] for a, b in zip(spans, spans[1:])]
+    ok = F.coalesce(reduce(lambda x, y: x & y, in_order, n == len(ROLES)), F.lit(False))
+    return turns.groupBy(conversation).agg(n.alias("n_turns"), ok.alias("ok"))
 
 
 def rejects(df: DataFrame, flag: str, row_id: str = "ord") -> DataFrame:

@@ -273,7 +273,7 @@ def _prompts() -> None:
     ORACLES["build_records"] = with_(*ON_RECORDS) + "SELECT rec_id, sys, usr, target FROM records"
     ORACLES["prompt_evidence"] = with_(CORPUS, CATALOG, SCHEMAS) + f"""
         SELECT rec_id, {user_prompt(hint)} AS prompt FROM corpus JOIN schemas USING (db_id)"""
-    ORACLES["render_texts"] = with_(*ON_RECORDS) + "SELECT rec_id, " + ", ".join(
+    ORACLES["render_chat"] = with_(*ON_RECORDS) + "SELECT rec_id, " + ", ".join(
         f"{rendered(name)} AS {name}" for name in TEMPLATES) + " FROM records"
     end = TEMPLATES[TEMPLATE].end
     ORACLES["completion_span"] = with_(*ON_RECORDS) + f"""
@@ -314,7 +314,7 @@ def _gates() -> None:
 
 
 def _selection() -> None:
-    ORACLES["dedupe_queries"] = with_(*ON_POOL) + """
+    ORACLES["dedupe_first"] = with_(*ON_POOL) + """
         SELECT rec_id, db_id, question, sql, bucket FROM pool"""
     ORACLES["dedupe_documents"] = f"""
         SELECT min(doc_id) AS doc_id, source FROM documents
@@ -328,12 +328,12 @@ def _selection() -> None:
     ORACLES["first_rows"] = with_(CORPUS) + """
         SELECT rec_id, source, question FROM corpus ORDER BY rec_id LIMIT 3"""
     for name, cap in (
-        ("quota_sample", CAP), ("quota_binding_cap", BINDING_CAP), ("quota_large_cap", LARGE_CAP)
+        ("quota_fill", CAP), ("quota_binding_cap", BINDING_CAP), ("quota_large_cap", LARGE_CAP)
     ):
         ORACLES[name] = with_(*ON_POOL, quota_ctes(QUOTAS, cap)) + PICKS
     topped_up = with_(*ON_POOL, quota_ctes(HALF_QUOTAS, CAP, SAMPLE))
     ORACLES["quota_topup"] = topped_up + PICKS
-    ORACLES["quota_fill_counts"] = topped_up + """
+    ORACLES["fill_counts"] = topped_up + """
         SELECT bucket, count(*) AS n FROM picks GROUP BY bucket"""
     ORACLES["quota_truncated"] = with_(*ON_POOL, quota_ctes(QUOTAS, CAP)) + (
         f"{PICKS} ORDER BY pick_pass, u, rec_id LIMIT {TRUNCATED}")
@@ -343,7 +343,7 @@ def _selection() -> None:
 
 
 def _split() -> None:
-    ORACLES["split_corpus"] = with_(*ON_POOL, SPLIT) + """
+    ORACLES["stratified_split"] = with_(*ON_POOL, SPLIT) + """
         SELECT rec_id, source, bucket, split FROM labelled"""
     ORACLES["split_documents"] = with_(split_cte("documents", "lang, source", "doc_id")) + """
         SELECT doc_id, split FROM labelled"""
@@ -359,7 +359,7 @@ def _split() -> None:
         SELECT rec_id, source, bucket, count(*) OVER (PARTITION BY source, bucket) AS group_size
         FROM classified"""
     ORACLES["split_union_roundtrip"] = with_(*ON_POOL) + "SELECT rec_id, db_id, sql FROM pool"
-    ORACLES["merged_positions"] = with_(*ON_POOL, SPLIT) + f"""
+    ORACLES["merged_order"] = with_(*ON_POOL, SPLIT) + f"""
         SELECT rec_id, split, row_number() OVER (ORDER BY
           CASE split WHEN 'train' THEN 1 WHEN 'validation' THEN 2 ELSE 3 END,
           {key(SEED + 1, 'rec_id')}, rec_id) - 1 AS position
@@ -421,11 +421,29 @@ def _scores() -> None:
         FROM records JOIN pred USING (rec_id) ORDER BY rec_id LIMIT 3"""
 
 
-def _sources() -> None:
+def _jobs() -> None:
     ORACLES["jsonl_round_trip"] = with_(*ON_RECORDS) + """
         SELECT row_number() OVER (ORDER BY rec_id) - 1 AS ord, usr, target FROM records"""
 
+    ORACLES["build_subset"] = with_(*ON_POOL, quota_ctes(HALF_QUOTAS, CAP, SAMPLE)) + f"""
+        SELECT row_number() OVER (ORDER BY {key(SEED + 1, 'rec_id')}, rec_id) - 1 AS i,
+               db_id, bucket, question, rec_id
+        FROM picks JOIN (SELECT rec_id, question FROM corpus) USING (rec_id)"""
+    merged = f"""
+        merged AS (
+          SELECT source || '|' || (row_number() OVER (PARTITION BY source ORDER BY rec_id) - 1)
+                   AS rec_id, source, {bucket('target')} AS bucket, db_id AS db
+          FROM records)"""
+    ORACLES["merge_and_split"] = with_(
+        *ON_RECORDS, merged, split_cte("merged", "source, bucket", "rec_id")
+    ) + f"""
+        SELECT rec_id, source, bucket, db, split, row_number() OVER (ORDER BY
+          CASE split WHEN 'train' THEN 1 WHEN 'validation' THEN 2 ELSE 3 END,
+          {key(SEED + 1, 'rec_id')}, rec_id) - 1 AS position
+        FROM labelled"""
+    ORACLES["score_predictions"] = ORACLES["score"]
+
 
 for _part in (_text, _structure, _prompts, _gates, _selection, _split, _statistics, _scores,
-              _sources):
+              _jobs):
     _part()

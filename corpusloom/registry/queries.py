@@ -12,17 +12,13 @@ from corpusloom.functions.features import (
     FEATURES, padded, uses_window, with_bucket, with_features,
 )
 from corpusloom.functions.parsing import parse_flag
-from corpusloom.functions.prompts import (
-    TEMPLATES, completion, marker_found, message, prompt, prompt_part, render_chat, to_chat,
-)
-from corpusloom.operators import checks, scoring, stats
-from corpusloom.operators.dedupe import dedupe_first, dedupe_paraphrases, text_key
+from corpusloom.functions import prompts as pr
+from corpusloom.functions.prompts import TEMPLATES, message
+from corpusloom.operators import checks, dedupe, quota, scoring, split, stats
 from corpusloom.operators.joins import align, attach_schema, remaining, with_group_size
 from corpusloom.operators.ordering import head, take_first, with_shuffle_key
-from corpusloom.operators.quota import QUOTAS, fill_counts, quota_fill
-from corpusloom.operators.split import (
-    SPLITS, merged_order, stratified_split, union_splits,
-)
+from corpusloom.operators.quota import QUOTAS
+from corpusloom.operators.split import SPLITS
 from corpusloom.plans import jobs
 from corpusloom.registry.derived import EVIDENCE_SQL, catalog, corpus, predictions, table
 from corpusloom.sources.readers import read_chat
@@ -59,20 +55,20 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus(spark, sf_dir).withColumn("sql", tx.collapse_sql(F.col("sql_raw")))
-    first = dedupe_paraphrases(rows.drop("sql_raw"))
+    first = dedupe.dedupe_paraphrases(rows.drop("sql_raw"))
     return with_shuffle_key(with_bucket(first, "sql"), SEED)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stage(pool(spark, sf_dir).drop("shuffle_key"))
-    return stratified_split(rows, ["source", "bucket"], SEED, narrow=rows)
+    return split.stratified_split(rows, ["source", "bucket"], SEED, narrow=rows)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat records of the whole corpus: ``rec_id, source, messages``."""
     rows = corpus(spark, sf_dir).withColumn("sql", tx.clean_target(F.col("sql_raw")))
     joined = attach_schema(rows, jobs.with_schema_text(catalog(spark, sf_dir)))
-    chat = to_chat(*map(F.col, ("db_id", "schema_text", "question", "sql")))
+    chat = pr.to_chat(*map(F.col, ("db_id", "schema_text", "question", "sql")))
     return joined.select("rec_id", "source", chat.alias("messages"))
 
 
@@ -180,15 +176,15 @@ def build_records(spark, sf_dir):
 def prompt_evidence(spark, sf_dir):
     rows = corpus(spark, sf_dir).withColumn("evidence", F.expr(EVIDENCE_SQL))
     joined = attach_schema(rows, jobs.with_schema_text(catalog(spark, sf_dir)))
-    text = prompt(*map(F.col, ("db_id", "schema_text", "question", "evidence")))
+    text = pr.prompt(*map(F.col, ("db_id", "schema_text", "question", "evidence")))
     return joined.select("rec_id", text.alias("prompt"))
 
 
 @register
-def render_texts(spark, sf_dir):
+def render_chat(spark, sf_dir):
     rows = records(spark, sf_dir)
     return rows.select(
-        "rec_id", *[render_chat("messages", t).alias(name) for name, t in TEMPLATES.items()]
+        "rec_id", *[pr.render_chat("messages", t).alias(name) for name, t in TEMPLATES.items()]
     )
 
 
@@ -198,15 +194,15 @@ def completion_span(spark, sf_dir):
     own = TEMPLATES[TEMPLATE].response_marker
     other = TEMPLATES[OTHER_TEMPLATE].response_marker
     rendered = records(spark, sf_dir).select(
-        "rec_id", render_chat("messages", TEMPLATES[TEMPLATE]).alias("text")
+        "rec_id", pr.render_chat("messages", TEMPLATES[TEMPLATE]).alias("text")
     )
     return rendered.select(
         "rec_id",
-        marker_found(text, own).alias("found"),
-        prompt_part(text, own).alias("prompt"),
-        completion(text, own).alias("completion"),
-        marker_found(text, other).alias("other_found"),
-        completion(text, other).alias("other_completion"),
+        pr.marker_found(text, own).alias("found"),
+        pr.prompt_part(text, own).alias("prompt"),
+        pr.completion(text, own).alias("completion"),
+        pr.marker_found(text, other).alias("other_found"),
+        pr.completion(text, other).alias("other_completion"),
     )
 
 
@@ -276,7 +272,7 @@ def cap_audit(spark, sf_dir):
 # ---- selection --------------------------------------------------------------
 
 @register
-def dedupe_queries(spark, sf_dir):
+def dedupe_first(spark, sf_dir):
     return pool(spark, sf_dir).select("rec_id", "db_id", "question", "sql", "bucket")
 
 
@@ -284,7 +280,9 @@ def dedupe_queries(spark, sf_dir):
 def dedupe_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     spaced = tx.strip(tx.one_blank(F.col("text")))
-    first = dedupe_first(docs, {"source": F.col("source"), "text": text_key(spaced)}, "doc_id")
+    first = dedupe.dedupe_first(
+        docs, {"source": F.col("source"), "text": dedupe.text_key(spaced)}, "doc_id"
+    )
     return first.select("doc_id", "source")
 
 
@@ -311,34 +309,34 @@ def _picks(sample_picks: DataFrame) -> DataFrame:
 
 
 @register
-def quota_sample(spark, sf_dir):
-    return _picks(quota_fill(pool(spark, sf_dir), QUOTAS, cap=CAP).picks)
+def quota_fill(spark, sf_dir):
+    return _picks(quota.quota_fill(pool(spark, sf_dir), QUOTAS, cap=CAP).picks)
 
 
 @register
 def quota_binding_cap(spark, sf_dir):
-    return _picks(quota_fill(pool(spark, sf_dir), QUOTAS, cap=BINDING_CAP).picks)
+    return _picks(quota.quota_fill(pool(spark, sf_dir), QUOTAS, cap=BINDING_CAP).picks)
 
 
 @register
 def quota_large_cap(spark, sf_dir):
-    return _picks(quota_fill(stage(pool(spark, sf_dir)), QUOTAS, cap=LARGE_CAP).picks)
+    return _picks(quota.quota_fill(stage(pool(spark, sf_dir)), QUOTAS, cap=LARGE_CAP).picks)
 
 
 @register
 def quota_topup(spark, sf_dir):
-    return _picks(quota_fill(pool(spark, sf_dir), HALF_QUOTAS, cap=CAP).top_up(SAMPLE).picks)
+    return _picks(quota.quota_fill(pool(spark, sf_dir), HALF_QUOTAS, cap=CAP).top_up(SAMPLE).picks)
 
 
 @register
 def quota_truncated(spark, sf_dir):
-    return _picks(quota_fill(pool(spark, sf_dir), QUOTAS, cap=CAP).head(TRUNCATED))
+    return _picks(quota.quota_fill(pool(spark, sf_dir), QUOTAS, cap=CAP).head(TRUNCATED))
 
 
 @register
-def quota_fill_counts(spark, sf_dir):
-    sample = quota_fill(pool(spark, sf_dir), HALF_QUOTAS, cap=CAP).top_up(SAMPLE)
-    return fill_counts(sample.picks)
+def fill_counts(spark, sf_dir):
+    sample = quota.quota_fill(pool(spark, sf_dir), HALF_QUOTAS, cap=CAP).top_up(SAMPLE)
+    return quota.fill_counts(sample.picks)
 
 
 @register
@@ -350,14 +348,14 @@ def remaining_pool(spark, sf_dir):
 # ---- split ------------------------------------------------------------------
 
 @register
-def split_corpus(spark, sf_dir):
+def stratified_split(spark, sf_dir):
     return labelled(spark, sf_dir).select("rec_id", "source", "bucket", "split")
 
 
 @register
 def split_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return stratified_split(docs, ["lang", "source"], SEED, row_id="doc_id").select(
+    return split.stratified_split(docs, ["lang", "source"], SEED, row_id="doc_id").select(
         "doc_id", "split"
     )
 
@@ -382,16 +380,16 @@ def group_size(spark, sf_dir):
 def split_union_roundtrip(spark, sf_dir):
     rows = labelled(spark, sf_dir).select("rec_id", "db_id", "sql", "split")
     parts = stage(rows, partition_by=["split"])
-    merged = union_splits(
+    merged = split.union_splits(
         {name: parts.where(F.col("split") == name).drop("split") for name in SPLITS}
     )
     return merged.select("rec_id", "db_id", "sql")
 
 
 @register
-def merged_positions(spark, sf_dir):
+def merged_order(spark, sf_dir):
     rows = labelled(spark, sf_dir).select("rec_id", "split")
-    return merged_order(rows, SEED + 1).select("rec_id", "split", "position")
+    return split.merged_order(rows, SEED + 1).select("rec_id", "split", "position")
 
 
 @register
@@ -449,16 +447,52 @@ def score_samples(spark, sf_dir):
     return jobs.samples(rows, pred)
 
 
-# ---- sources and sinks ------------------------------------------------------
+# ---- jobs over files: every record is written as JSON Lines and read back ---
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
 
-def _written(spark: SparkSession, df: DataFrame, order_by: list[str], columns: list[str]) -> str:
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+def _written(df: DataFrame, order_by: list[str], columns: list[str]) -> str:
+    path = _folder(df.sparkSession)
     write_jsonl(df, path, order_by, columns=columns)
     return path
 
 
 @register
 def jsonl_round_trip(spark, sf_dir):
-    path = _written(spark, records(spark, sf_dir), ["rec_id"], ["messages"])
+    path = _written(records(spark, sf_dir), ["rec_id"], ["messages"])
     back = read_chat(spark, path)
     return back.select("ord", message(1).alias("usr"), message(2).alias("target"))
+
+
+@register
+def build_subset(spark, sf_dir):
+    questions = corpus(spark, sf_dir).withColumnRenamed("sql_raw", "query")
+    columns = ["db_id", "query", "question"]
+    schemas = catalog(spark, sf_dir)
+    return jobs.build_subset(
+        spark,
+        _written(questions, ["rec_id"], columns),
+        _written(schemas, ["db_id"], schemas.columns),
+        _folder(spark), _folder(spark), SAMPLE, CAP, SEED, HALF_QUOTAS, array=False,
+    )
+
+
+@register
+def merge_and_split(spark, sf_dir):
+    rows = stage(records(spark, sf_dir), partition_by=["source"])
+    sources = {
+        name: _written(rows.where(F.col("source") == name), ["rec_id"], ["messages"])
+        for name in ("alpha", "beta")
+    }
+    return jobs.merge_and_split(spark, sources, _folder(spark), SEED)
+
+
+@register
+def score_predictions(spark, sf_dir):
+    gold = _written(records(spark, sf_dir), ["rec_id"], ["messages"])
+    pred = predictions(spark, sf_dir).withColumnRenamed("pred_raw", "sql")
+    return jobs.score_predictions(
+        spark, gold, _written(pred, ["rec_id"], ["sql"]), fenced=True
+    )
