@@ -17,7 +17,7 @@ BROADCAST_BYTES = 128 * 1024 * 1024
 HOT_SHARE = 64
 
 
-def _fits_broadcast(table: DataFrame) -> bool:
+def fits_broadcast(table: DataFrame) -> bool:
     """Measure a staged table: rows, and bytes of the fields as JSON text."""
     n, size = table.agg(
         F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct(*table.columns))))
@@ -55,7 +55,7 @@ def lookup_join(
     when the table is staged already, and ``fits`` when its size is known.
     """
     table = table if staged else stage(table)
-    if _fits_broadcast(table) if fits is None else fits:
+    if fits_broadcast(table) if fits is None else fits:
         return _join(df, F.broadcast(table), keys, how)
 
     counts = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))

@@ -1,10 +1,11 @@
-"""Seeded order, and exact ranks in it without sorting a whole group.
+"""Seeded order, and exact ranks in it without sorting a large group.
 
 The shuffle key of a row is the MD5 of seed and id, so the order is the same
-for any partitioning. Its leading hex digits divide every group into cells of
+for any partitioning. Its leading hex digits divide a group into cells of
 nearly equal size whatever the data looks like. A histogram over the cells
-tells in which cell a rank falls; only that cell is ever sorted, so a group
-that holds a third of a huge table costs one task 1/4096 of the group.
+tells in which cell a rank falls, and only that cell is sorted. Small groups
+are one cell; a group that holds a third of a huge table has up to 65,536, so
+no task ever ranks much more than ``ROWS_PER_CELL`` rows.
 """
 
 from __future__ import annotations
@@ -14,12 +15,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.operators.joins import lookup_join
+from corpusloom.operators.joins import fits_broadcast, lookup_join
 from corpusloom.sources.staging import stage
 
-CELL_DIGITS = 3
-MAX_CELL_DIGITS = 4
 ROWS_PER_CELL = 1_000_000
+MAX_CELL_DIGITS = 4
 # Up to this many rows orderBy().limit() merges the heads of all partitions.
 SMALL_LIMIT = 1_000
 
@@ -34,6 +34,12 @@ def with_shuffle_key(df: DataFrame, seed: int, row_id: str = "rec_id") -> DataFr
     return df.withColumn("shuffle_key", shuffle_key(seed, row_id))
 
 
+def _cell_digits(size: Column) -> Column:
+    """Digits that keep the cells of a group of this size small."""
+    steps = [(size <= ROWS_PER_CELL * 16**d, F.lit(d)) for d in range(MAX_CELL_DIGITS)]
+    return reduce(lambda chain, step: chain.when(*step), steps, F).otherwise(MAX_CELL_DIGITS)
+
+
 def rank_thresholds(
     rows: DataFrame,
     groups: Sequence[str],
@@ -42,41 +48,58 @@ def rank_thresholds(
 ) -> DataFrame:
     """The row at each cut of each group's shuffle order.
 
-    ``rows`` is read twice and should be a table that is cheap to read. ``cuts`` maps a name to a function from the group size to the number of
+    ``rows`` is read several times and should be a table that is cheap to read.
+    ``cuts`` maps a name to a function from the group size to the number of
     leading rows wanted. Returns a staged table with one row per group and per
     cut name a ``(shuffle_key, id)`` struct: exactly the rows up to it are
     inside the cut. It is null where a cut wants no rows.
     """
     narrow = rows.select(*groups, "shuffle_key", row_id)
-    cell = F.substring("shuffle_key", 1, CELL_DIGITS)
-    cells = narrow.groupBy(*groups, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
-    in_group = Window.partitionBy(*groups)
-    counted = cells.withColumns({
-        "_size": F.sum("_n").over(in_group),
-        "_upto": F.sum("_n").over(in_group.orderBy("_cell")),
-    })
+    sizes = stage(narrow.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size")))
+    sizes_fit = fits_broadcast(sizes)
+    size = F.col("_size")
+    celled = lookup_join(narrow, sizes, groups, staged=True, fits=sizes_fit).withColumn(
+        "_cell", F.substring("shuffle_key", F.lit(1), _cell_digits(size))
+    )
+
+    one_cell = sizes.where(size <= ROWS_PER_CELL).select(
+        *groups, "_size", F.lit("").alias("_cell"), size.alias("_n"), size.alias("_upto")
+    )
+    has_large = not sizes.where(size > ROWS_PER_CELL).isEmpty()
+    if has_large:
+        running = Window.partitionBy(*groups).orderBy("_cell")
+        many_cells = (
+            celled.where(size > ROWS_PER_CELL)
+            .groupBy(*groups, "_size", "_cell")
+            .agg(F.count(F.lit(1)).alias("_n"))
+            .withColumn("_upto", F.sum("_n").over(running))
+        )
+        one_cell = one_cell.unionByName(many_cells)
     wanted = F.array(*[
-        F.struct(F.lit(name).alias("_cut"), F.least(want(F.col("_size")), "_size").alias("_rank"))
+        F.struct(F.lit(name).alias("cut"), F.least(want(size), size).alias("rank"))
         for name, want in cuts.items()
     ])
+    before = F.col("_upto") - F.col("_n")
     # at most one cell per group and cut holds the row at the cut
-    edges = stage(
-        counted.select("*", F.inline(wanted))
-        .where((F.col("_rank") > F.col("_upto") - F.col("_n")) & (F.col("_rank") <= F.col("_upto")))
-        .select(*groups, "_cell", "_cut",
-                (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_take"))
-        .groupBy(*groups, "_cell")
-        .agg(F.collect_list(F.struct("_cut", "_take")).alias("_edge"))
-    )
+    edges = one_cell.select(
+        *groups, "_cell", before.alias("_before"),
+        F.filter(
+            wanted, lambda c: (c["rank"] > before) & (c["rank"] <= F.col("_upto"))
+        ).alias("_edge"),
+    ).where(F.size("_edge") > 0)
+    edges = stage(edges) if has_large else edges
+
     in_cell = Window.partitionBy(*groups, "_cell").orderBy("shuffle_key", row_id)
     hits = (
-        lookup_join(narrow.withColumn("_cell", cell), edges, [*groups, "_cell"], staged=True)
-        .withColumn("_rn", F.row_number().over(in_cell))
+        lookup_join(
+            celled, edges, [*groups, "_cell"], staged=True, fits=None if has_large else sizes_fit
+        )
+        .withColumn("_rn", F.row_number().over(in_cell) + F.col("_before"))
         .select(*groups, F.inline("_edge"), "_rn", F.struct("shuffle_key", row_id).alias("_at"))
-        .where(F.col("_rn") == F.col("_take"))
+        .where(F.col("_rn") == F.col("rank"))
     )
     return stage(hits.groupBy(*groups).agg(
-        *[F.max(F.when(F.col("_cut") == name, F.col("_at"))).alias(name) for name in cuts]
+        *[F.max(F.when(F.col("cut") == name, F.col("_at"))).alias(name) for name in cuts]
     ))
 
 
@@ -98,6 +121,19 @@ def label_by_rank(
     if narrow is None:
         narrow = stage(rows.select(*groups, "shuffle_key", row_id))
     thresholds = rank_thresholds(narrow, groups, cuts, row_id)
+    return label_by_thresholds(rows, groups, thresholds, rest, row_id, out)
+
+
+def label_by_thresholds(
+    rows: DataFrame,
+    groups: Sequence[str],
+    thresholds: DataFrame,
+    rest: str,
+    row_id: str = "rec_id",
+    out: str = "label",
+) -> DataFrame:
+    """Label each row with the first of the ``rank_thresholds`` it is not beyond."""
+    cuts = [name for name in thresholds.columns if name not in groups]
     at = F.struct("shuffle_key", row_id)
     label = reduce(
         lambda chain, name: chain.when(at <= F.col(f"_at_{name}"), name), cuts, F
@@ -158,3 +194,25 @@ def with_position(
         .withColumn(out, F.col("_shift") + F.col("_rn") - 1)
         .drop("_shift", "_rn", "_cell")
     )
+
+
+def in_order(
+    rows: DataFrame, major: str, sizes: Mapping[int, int], partitions: int
+) -> DataFrame:
+    """Move rows so that partitions follow the order (``major``, shuffle key).
+
+    A range partitioning would read its whole input once more to sample it. The
+    keys are known to be uniform, so their leading digits give the partition.
+    ``sizes`` holds the number of rows per value of ``major``.
+    """
+    total = max(sum(sizes.values()), 1)
+    digits = 6
+    place = F.conv(F.substring("shuffle_key", 1, digits), 16, 10).cast("long")
+    target, start = F, 0
+    for value, n in sorted(sizes.items()):
+        width = -(-partitions * n // total)
+        target = target.when(
+            F.col(major) == value, F.lit(start) + F.shiftright(place * width, 4 * digits)
+        )
+        start += width
+    return rows if not sizes else rows.repartitionById(start, target.cast("int"))

@@ -6,7 +6,9 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.operators.ordering import label_by_rank, with_position, with_shuffle_key
+from corpusloom.operators.ordering import (
+    label_by_rank, label_by_thresholds, rank_thresholds, with_position, with_shuffle_key,
+)
 from corpusloom.sources.readers import union_named
 
 # Split names in output order.
@@ -50,6 +52,24 @@ def stratified_split(
     )
 
 
+def split_thresholds(
+    keyed: DataFrame,
+    strata: Sequence[str],
+    val_frac: float = VAL_FRAC,
+    test_frac: float = TEST_FRAC,
+    row_id: str = "rec_id",
+) -> DataFrame:
+    """Where each stratum is cut, to label several tables of the same rows."""
+    return rank_thresholds(keyed, strata, _cuts(val_frac, test_frac), row_id)
+
+
+def split_by_thresholds(
+    keyed: DataFrame, strata: Sequence[str], thresholds: DataFrame, row_id: str = "rec_id"
+) -> DataFrame:
+    """Add ``split`` to rows that carry the same ``shuffle_key``."""
+    return label_by_thresholds(keyed, strata, thresholds, "train", row_id, "split")
+
+
 def stratified_split_by_window(
     df: DataFrame,
     strata: Sequence[str],

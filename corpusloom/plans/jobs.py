@@ -15,10 +15,12 @@ from corpusloom.functions.text import (
 from corpusloom.operators.checks import GateError, alignment, assert_none, gate, require_roles
 from corpusloom.operators.dedupe import dedupe_paraphrases
 from corpusloom.operators.joins import align, attach_schema
-from corpusloom.operators.ordering import head, with_position, with_shuffle_key
+from corpusloom.operators.ordering import head, in_order, with_position, with_shuffle_key
 from corpusloom.operators.quota import PER_GROUP_CAP, QUOTAS, SIZE, fill_counts, quota_fill
 from corpusloom.operators.scoring import score, score_by, score_rows
-from corpusloom.operators.split import TEST_FRAC, VAL_FRAC, split_rank, stratified_split
+from corpusloom.operators.split import (
+    TEST_FRAC, VAL_FRAC, split_by_thresholds, split_rank, split_thresholds,
+)
 from corpusloom.operators.stats import (
     distinct_dbs, feature_totals, length_profile, split_stats,
 )
@@ -166,18 +168,23 @@ def merge_and_split(
     rows = merge_rows({
         name: read_chat(spark, path, stored_ord) for name, path in sources.items()
     })
-    narrow = stage(rows.drop("messages"))
     strata = ["source", "bucket"]
-    order = ["_rank", "shuffle_key", "rec_id"]
+    narrow = stage(with_shuffle_key(rows.drop("messages"), seed))
+    cuts = split_thresholds(narrow, strata, val_frac, test_frac)
 
-    def labelled(df: DataFrame) -> DataFrame:
-        split = stratified_split(df, strata, seed, val_frac, test_frac, narrow=narrow)
+    def labelled(keyed: DataFrame) -> DataFrame:
+        split = split_by_thresholds(keyed, strata, cuts)
         return with_shuffle_key(split, seed + 1).withColumn("_rank", split_rank())
 
-    write_jsonl(labelled(rows), f"{outdir}/records", order, ["split"], ["rec_id", "messages"])
     manifest = stage(with_position(labelled(narrow), "_rank"))
-    write_jsonl(manifest, f"{outdir}/manifest", order, ["split"],
-                ["rec_id", "source", "bucket", "db", "position"])
+    sizes = dict(map(tuple, manifest.groupBy("_rank").count().collect()))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for df, name, columns in (
+        (labelled(with_shuffle_key(rows, seed)), "records", ["rec_id", "messages"]),
+        (manifest, "manifest", ["rec_id", "source", "bucket", "db", "position"]),
+    ):
+        write_jsonl(in_order(df, "_rank", sizes, partitions), f"{outdir}/{name}",
+                    ["_rank", "shuffle_key", "rec_id"], ["split"], columns, ranged=True)
     write_summary(split_stats(manifest), f"{outdir}/split_stats/counts")
     write_summary(
         distinct_dbs(manifest, "db").withColumn("seed", F.lit(seed)), f"{outdir}/split_stats/dbs"

@@ -77,9 +77,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a table that is read as fewer splits than there are
+    cores, which happens only to small files; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``rec_id, source, db_id, question, sql_raw``: one row per order."""
-    return spark.sql(CORPUS_SQL, orders=table(spark, sf_dir, "orders"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return spark.sql(CORPUS_SQL, orders=spread(orders, "o_orderkey"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -355,9 +355,10 @@ def stratified_split(spark, sf_dir):
 @register
 def split_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return split.stratified_split(docs, ["lang", "source"], SEED, row_id="doc_id").select(
-        "doc_id", "split"
+    labelled_docs = split.stratified_split(
+        docs, ["lang", "source"], SEED, row_id="doc_id", narrow=docs
     )
+    return labelled_docs.select("doc_id", "split")
 
 
 @register

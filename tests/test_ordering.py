@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import ordering
 from corpusloom.operators.ordering import (
-    head, label_by_rank, take_first, with_position, with_shuffle_key,
+    head, in_order, label_by_rank, take_first, with_position, with_shuffle_key,
 )
 
 
@@ -30,9 +30,9 @@ def by_group(rows):
     return {g: sorted(ids, key=lambda i: (models.key(7, i), i)) for g, ids in groups.items()}
 
 
-@pytest.mark.parametrize("digits", [1, 3])
-def test_label_by_rank_is_exact(spark, rows, monkeypatch, digits):
-    monkeypatch.setattr(ordering, "CELL_DIGITS", digits)
+@pytest.mark.parametrize("per_cell", [1, 30, 1_000_000])
+def test_label_by_rank_is_exact(spark, rows, monkeypatch, per_cell):
+    monkeypatch.setattr(ordering, "ROWS_PER_CELL", per_cell)
     cuts = {"first": lambda n: F.floor(n / 3), "second": lambda n: F.floor(n / 2) + 1}
     got = label_by_rank(with_shuffle_key(rows, 7), ["g", "h"], cuts, "rest")
     labels = {r["rec_id"]: r["label"] for r in got.collect()}
@@ -56,6 +56,7 @@ def test_labelling_does_not_shuffle_the_rows(spark, rows):
 @pytest.mark.parametrize("k", [0, 1, 777, 5000])
 def test_take_first_by_cells_equals_limit(spark, rows, monkeypatch, k):
     keyed = with_shuffle_key(rows, 7)
+    monkeypatch.setattr(ordering, "ROWS_PER_CELL", 100)
     limited = {r["rec_id"] for r in take_first(keyed, k).collect()} if k <= 1000 else None
     monkeypatch.setattr(ordering, "SMALL_LIMIT", -1)
     got = {r["rec_id"] for r in take_first(keyed, k).collect()}
@@ -90,3 +91,15 @@ def test_order_does_not_depend_on_partitioning(spark, rows):
 
 def test_head(spark, rows):
     assert [r["rec_id"] for r in head(rows, 3, "rec_id").collect()] == [0, 1, 2]
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 13])
+def test_in_order_ranges_without_sampling(spark, rows, partitions):
+    keyed = with_shuffle_key(rows, 7).withColumn("major", F.when(F.col("h") == "x", 2).otherwise(1))
+    sizes = dict(map(tuple, keyed.groupBy("major").count().collect()))
+    moved = in_order(keyed, "major", sizes, partitions).sortWithinPartitions("major", "shuffle_key")
+    placed = moved.select("major", "shuffle_key", F.spark_partition_id().alias("p")).collect()
+    in_file_order = [(r["major"], r["shuffle_key"]) for r in sorted(placed, key=lambda r: r["p"])]
+    assert in_file_order == sorted(in_file_order) and len(placed) == rows.count()
+    largest = max(sum(r["p"] == p for r in placed) for p in {r["p"] for r in placed})
+    assert largest < 1.5 * rows.count() / partitions + 50
