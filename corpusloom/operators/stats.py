@@ -38,6 +38,32 @@ def split_stats(df: DataFrame) -> DataFrame:
     )
 
 
+def split_summary(stats: DataFrame) -> DataFrame:
+    """``split_stats`` as one row of maps, the form in which it is published.
+
+    The maps have one entry per split, named source or bucket.
+    """
+
+    def counts(dimension: str, key: str, split: str | None = None) -> Column:
+        rows = F.col("dimension") == dimension
+        if split is not None:
+            rows &= F.col("split") == split
+        return F.map_from_entries(F.collect_list(F.when(rows, F.struct(key, "n"))))
+
+    merged = F.create_map(
+        F.lit("merged"), F.coalesce(F.max(F.when(F.col("dimension") == "merged", F.col("n"))),
+                                    F.lit(0)).cast("long")
+    )
+    return stats.agg(
+        F.map_concat(merged, counts("split", "split")).alias("counts"),
+        counts("source", "source").alias("by_source"),
+        counts("bucket", "bucket").alias("by_bucket"),
+        counts("split_bucket", "bucket", "train").alias("train_by_bucket"),
+        counts("split_bucket", "bucket", "validation").alias("val_by_bucket"),
+        counts("split_bucket", "bucket", "test").alias("test_by_bucket"),
+    )
+
+
 def distinct_dbs(df: DataFrame, db: str = "db_id", by: Sequence[str] = ()) -> DataFrame:
     """Exact number of distinct databases."""
     return df.groupBy(*by).agg(F.count_distinct(db).alias("distinct_dbs"))

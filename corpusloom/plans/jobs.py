@@ -22,7 +22,7 @@ from corpusloom.operators.split import (
     TEST_FRAC, VAL_FRAC, split_by_thresholds, split_rank, split_thresholds,
 )
 from corpusloom.operators.stats import (
-    distinct_dbs, feature_totals, length_profile, split_stats,
+    distinct_dbs, feature_totals, length_profile, split_stats, split_summary,
 )
 from corpusloom.sources.readers import (
     read_catalog, read_chat, read_predictions, read_questions, union_named,
@@ -129,9 +129,9 @@ def subset_summary(chosen: DataFrame, seed: int, per_db_cap: int) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("bucket_counts"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
     )
-    return per_bucket.crossJoin(distinct_dbs(chosen)).select(
-        "n", F.lit(seed).alias("seed"), F.lit(per_db_cap).alias("per_db_cap"),
-        "bucket_counts", "distinct_dbs",
+    return per_bucket.select(
+        "n", F.lit(seed).alias("seed"), F.lit(per_db_cap).alias("per_db_cap"), "bucket_counts",
+        F.lit(distinct_dbs(chosen).first()[0]).alias("distinct_dbs"),
     )
 
 
@@ -185,10 +185,10 @@ def merge_and_split(
     ):
         write_jsonl(in_order(df, "_rank", sizes, partitions), f"{outdir}/{name}",
                     ["_rank", "shuffle_key", "rec_id"], ["split"], columns, ranged=True)
-    write_summary(split_stats(manifest), f"{outdir}/split_stats/counts")
-    write_summary(
-        distinct_dbs(manifest, "db").withColumn("seed", F.lit(seed)), f"{outdir}/split_stats/dbs"
-    )
+    summary = split_summary(split_stats(manifest)).withColumns({
+        "distinct_dbs": F.lit(distinct_dbs(manifest, "db").first()[0]), "seed": F.lit(seed),
+    })
+    write_summary(summary, f"{outdir}/split_stats")
     return manifest.drop("shuffle_key", "_rank").orderBy("position")
 
 
@@ -248,7 +248,7 @@ def score_predictions(
     records = read_chat(spark, gold)
     answers = read_predictions(spark, pred)
     if first is not None:
-        records, answers = head(records, first), head(answers, first)
+        records, answers = [df.where(F.col("ord") < first) for df in (records, answers)]
     sql = unfence(F.col("sql")) if fenced else F.col("sql")
     flags = score_pairs(
         records.select("ord", message(2).alias("gold")), answers.select("ord", sql.alias("pred"))

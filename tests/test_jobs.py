@@ -127,11 +127,13 @@ def test_merge_and_split(spark, tmp_path):
         assert ids == [r["rec_id"] for r in manifest[start:start + n]]
         assert [r["position"] for r in listed] == list(range(start, start + n))
         start += n
-    assert {r["bucket"] for r in manifest} == {"simple", "single_join", "nested", "set_op"} - {"nested"}
+    assert {r["bucket"] for r in manifest} == {"simple", "single_join", "set_op"}
     assert read_chat(spark, str(out / "records/split=test")).count() == 7
-    stats = spark.read.json(str(out / "split_stats/counts"))
-    assert stats.where("dimension = 'merged'").first()["n"] == 72
-    assert spark.read.json(str(out / "split_stats/dbs")).first()["distinct_dbs"] == 7
+    (stats,) = lines(out / "split_stats")
+    assert stats["counts"] == {"merged": 72, **sizes}
+    assert stats["by_source"] == {"one": 50, "two": 22}
+    assert stats["test_by_bucket"] == {"simple": 5, "single_join": 2}
+    assert (stats["distinct_dbs"], stats["seed"]) == (7, 42)
 
 
 def test_profile(spark, folder):

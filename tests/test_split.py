@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators.split import (
     SPLITS, merged_order, share, stratified_split, stratified_split_by_window, union_splits,
 )
-from corpusloom.operators.stats import split_stats
+from corpusloom.operators.stats import split_stats, split_summary
 
 # Published sizes of the 15 strata of the two sources, and what each split got per bucket.
 STRATA = {
@@ -40,6 +40,22 @@ def test_published_split(spark):
     assert got == expected
 
 
+def test_published_summary(spark):
+    rows = [(s, b) for s, sizes in STRATA.items() for b, n in sizes.items() for _ in range(n)]
+    df = spark.createDataFrame(
+        [(i, s, b) for i, (s, b) in enumerate(rows)], "rec_id long, source string, bucket string"
+    )
+    got = split_summary(split_stats(stratified_split(df, ["source", "bucket"]))).first().asDict()
+    assert got == {
+        "counts": {"merged": 1000, "train": 798, "validation": 101, "test": 101},
+        "by_source": {"first": 500, "second": 500},
+        "by_bucket": {b: n + 2 * HELD_OUT[b] for b, n in TRAIN.items()},
+        "train_by_bucket": TRAIN,
+        "val_by_bucket": HELD_OUT,
+        "test_by_bucket": HELD_OUT,
+    }
+
+
 def test_share_rounds_like_python(spark):
     df = spark.range(0, 20000).select("id", *[
         share(F.col("id"), f).alias(str(i)) for i, f in enumerate((0.1, 0.15, 0.25, 0.5))
