@@ -154,8 +154,13 @@ def take_first(rows: DataFrame, k: int, row_id: str = "rec_id") -> DataFrame:
 
 
 def head(df: DataFrame, n: int, order_by: str = "ord") -> DataFrame:
-    """The first ``n`` rows of the input, for samples and previews."""
-    return df.orderBy(order_by).limit(n)
+    """The first ``n`` rows of the input, for samples and previews.
+
+    The position of the last one is looked up first. As a plain filter it
+    reaches the scan, which then skips nearly all of the wide columns.
+    """
+    last = df.select(order_by).orderBy(order_by).limit(n).agg(F.max(order_by)).first()[0]
+    return df.where(F.col(order_by) <= F.lit(last)).orderBy(order_by).limit(n)
 
 
 def with_position(

@@ -17,7 +17,7 @@ from corpusloom.operators.joins import BROADCAST_ROWS, remaining
 from corpusloom.operators.ordering import SMALL_LIMIT, label_by_rank, take_first
 from corpusloom.sources.staging import stage
 
-# The reference quotas, in priority order.
+# Default quotas, in priority order.
 QUOTAS = {
     "set_op": 50,
     "nested": 90,

@@ -121,8 +121,8 @@ def length_preview(
     df: DataFrame, text: str, n: int = 200, i: int = 100, order_by: str = "ord"
 ) -> DataFrame:
     """Token estimates of the first ``n`` rows: the i-th smallest and the largest."""
-    first = head(df.select(order_by, est_tokens(F.col(text)).alias("_tokens")), n, order_by)
-    lengths = first.agg(F.sort_array(F.collect_list("_tokens")).alias("_sorted"))
+    tokens = head(df, n, order_by).select(est_tokens(F.col(text)).alias("_tokens"))
+    lengths = tokens.agg(F.sort_array(F.collect_list("_tokens")).alias("_sorted"))
     return lengths.select(
         F.get("_sorted", F.lit(i)).alias("p50"), F.array_max("_sorted").alias("longest")
     )

@@ -189,7 +189,7 @@ def merge_and_split(
         "distinct_dbs": F.lit(distinct_dbs(manifest, "db").first()[0]), "seed": F.lit(seed),
     })
     write_summary(summary, f"{outdir}/split_stats")
-    return manifest.drop("shuffle_key", "_rank").orderBy("position")
+    return manifest.drop("shuffle_key", "_rank")
 
 
 # ---- profile --------------------------------------------------------------
@@ -261,4 +261,5 @@ def samples(gold: DataFrame, pred: DataFrame, n: int = 3) -> DataFrame:
     shown = head(gold.select(
         "ord", question_tail(message(1)).alias("question"), message(2).alias("gold")
     ), n)
-    return shown.join(pred.select("ord", F.col("sql").alias("pred")), "ord")
+    answers = pred.select("ord", F.col("sql").alias("pred"))
+    return answers.join(F.broadcast(shown), "ord")

@@ -64,9 +64,9 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.stratified_split(rows, ["source", "bucket"], SEED, narrow=rows)
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, target=tx.clean_target) -> DataFrame:
     """Chat records of the whole corpus: ``rec_id, source, messages``."""
-    rows = corpus(spark, sf_dir).withColumn("sql", tx.clean_target(F.col("sql_raw")))
+    rows = corpus(spark, sf_dir).withColumn("sql", target(F.col("sql_raw")))
     joined = attach_schema(rows, jobs.with_schema_text(catalog(spark, sf_dir)))
     chat = pr.to_chat(*map(F.col, ("db_id", "schema_text", "question", "sql")))
     return joined.select("rec_id", "source", chat.alias("messages"))
@@ -213,20 +213,10 @@ def role_check(spark, sf_dir):
     return checks.role_report(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role")
 
 
-def parsed_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus as the cleaning job sees it: target, ``fixed``, ``parses``."""
-    rows = records(spark, sf_dir).withColumn("ord", F.col("rec_id"))
-    # targets as they came, so that there is something to clean
-    raw = corpus(spark, sf_dir).select("rec_id", "sql_raw")
-    dirty = rows.join(raw, "rec_id").withColumn(
-        "messages", jobs.chat(message(0), message(1), F.col("sql_raw"))
-    )
-    return jobs.cleaned(dirty)
-
-
 @register
 def clean_records(spark, sf_dir):
-    return parsed_targets(spark, sf_dir).select(
+    as_they_came = records(spark, sf_dir, target=lambda sql: sql).withColumnRenamed("rec_id", "ord")
+    return jobs.cleaned(as_they_came).select(
         F.col("ord").alias("rec_id"), message(2).alias("sql"), "fixed", "parses"
     )
 

@@ -9,7 +9,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusloom.operators.joins import lookup_join
-from corpusloom.sources.staging import stage
 
 CHAT = "messages ARRAY<STRUCT<role: STRING, content: STRING>>"
 QUESTION = "db_id STRING, query STRING, question STRING"
@@ -36,25 +35,15 @@ def _number(scan: DataFrame) -> DataFrame:
     )
     # the unused count keeps the payload in the scan, so that both passes over
     # the input parse alike and see the same records
-    splits = stage(
-        marked.groupBy("_file", "_start").agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min("_run").alias("_first"),
-            F.count(scan.columns[0]).alias("_present"),
-        )
-    )
-    in_file = Window.partitionBy("_file").orderBy("_start")
-    files = splits.groupBy("_file").agg(F.sum("_n").alias("_n_file"))
-    # one row per file, fewer than the driver lists to plan the scan
-    before_file = F.sum("_n_file").over(Window.orderBy("_file")) - F.col("_n_file")
-    offsets = (
-        splits.withColumn("_before", F.sum("_n").over(in_file) - F.col("_n"))
-        .join(files.withColumn("_before_file", before_file), "_file")
-        .select(
-            "_file", "_start",
-            (F.col("_before_file") + F.col("_before") - F.col("_first")).alias("_shift"),
-        )
+    splits = marked.groupBy("_file", "_start").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min("_run").alias("_first"),
+        F.count(scan.columns[0]).alias("_present"),
     )
+    # a window without partitions, but over no more rows than the driver holds
+    # to plan the scan: one per input split
+    before = F.sum("_n").over(Window.orderBy("_file", "_start")) - F.col("_n")
+    offsets = splits.select("_file", "_start", (before - F.col("_first")).alias("_shift"), "_present")
     return (
         lookup_join(marked, offsets, ["_file", "_start"])
         .withColumn("ord", F.col("_run") + F.col("_shift"))

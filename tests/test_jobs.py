@@ -115,7 +115,8 @@ def test_merge_and_split(spark, tmp_path):
         record(f"e{i % 3}", f"SELECT {i} FROM t JOIN u") for i in range(20)] + [
         record("e0", "SELECT 1 UNION SELECT 2")] * 2)
     out = tmp_path / "out"
-    manifest = jobs.merge_and_split(spark, {"one": one, "two": two}, str(out)).collect()
+    manifest = jobs.merge_and_split(spark, {"one": one, "two": two}, str(out))
+    manifest = manifest.orderBy("position").collect()
     assert [r["position"] for r in manifest] == list(range(72))
     sizes = {"train": 58, "validation": 7, "test": 7}
     start = 0

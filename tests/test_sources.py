@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.prompts import message
+from corpusloom.operators import joins
 from corpusloom.sources import readers
 from corpusloom.sources.staging import purge, shared_folder, stage
 from corpusloom.sources.writers import write_jsonl, write_summary
@@ -25,7 +26,9 @@ def small_splits(spark):
         spark.conf.unset(name)
 
 
-def test_line_order_over_files_and_splits(spark, tmp_path, small_splits):
+@pytest.mark.parametrize("table_rows", [1_000_000, 1])
+def test_line_order_over_files_and_splits(spark, tmp_path, small_splits, monkeypatch, table_rows):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", table_rows)
     # the first file in name order is the smallest one
     sizes = {"a": 3, "b": 400, "c": 120}
     i = 0
