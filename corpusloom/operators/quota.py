@@ -13,8 +13,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from corpusloom.operators.joins import BROADCAST_ROWS, remaining
-from corpusloom.operators.ordering import SMALL_LIMIT, label_by_rank, take_first
+from corpusloom.operators import ordering
+from corpusloom.operators.joins import BROADCAST_ROWS, lookup_join, remaining
+from corpusloom.operators.ordering import SMALL_LIMIT, rank_thresholds, take_first
 from corpusloom.sources.staging import stage
 
 # Default quotas, in priority order.
@@ -31,9 +32,6 @@ QUOTAS = {
 PER_GROUP_CAP = 12
 SIZE = 500
 
-# Up to this cap a window limit keeps few enough rows per task and group.
-SMALL_CAP = 100
-
 
 class QuotaSample:
     """Picks of ``quota_fill`` and ``top_up``, with what is needed to go on.
@@ -114,6 +112,28 @@ class QuotaSample:
         return reduce(DataFrame.unionByName, whole) if whole else self.picks
 
 
+def _cut_large_groups(
+    pool: DataFrame, keys: list[str], cap: int, row_id: str
+) -> DataFrame:
+    """Drop what lies beyond the cap in groups too large for one task to rank.
+
+    Up to a certain cap the window limits each group to ``cap`` rows per task
+    before the shuffle; if that bounds a group well enough, nothing is to do.
+    """
+    limit = pool.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    if cap <= int(limit) and cap * pool.rdd.getNumPartitions() <= ordering.ROWS_PER_CELL:
+        return pool
+    sizes = pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.where(F.col("_n") > ordering.ROWS_PER_CELL).select(*keys)
+    if large.isEmpty():
+        return pool
+    narrow = stage(lookup_join(pool.select(*keys, "shuffle_key", row_id), large, keys))
+    cuts = rank_thresholds(narrow, keys, {"_last": lambda n: F.lit(cap)}, row_id)
+    inside = F.struct("shuffle_key", row_id) <= F.col("_last")
+    marked = lookup_join(pool, cuts, keys, "left", staged=True)
+    return marked.where(F.coalesce(inside, F.lit(True))).drop("_last")
+
+
 def within_cap(
     pool: DataFrame, group: str, cap: int, bucket: str = "bucket", row_id: str = "rec_id"
 ) -> DataFrame:
@@ -123,11 +143,7 @@ def within_cap(
     reached, not even by the top-up: each of those rows was either picked,
     which uses the cap up, or still comes first.
     """
-    rows = pool
-    if cap > SMALL_CAP:
-        rows = label_by_rank(
-            pool, [bucket, group], {"in": lambda n: F.lit(cap)}, "out", row_id, "_side"
-        ).where(F.col("_side") == "in").drop("_side")
+    rows = _cut_large_groups(pool, [bucket, group], cap, row_id)
     in_bucket = Window.partitionBy(bucket, group).orderBy("shuffle_key", row_id)
     return rows.withColumn("rank_in_bucket", F.row_number().over(in_bucket)).where(
         F.col("rank_in_bucket") <= cap
@@ -142,7 +158,11 @@ def quota_fill(
     bucket: str = "bucket",
     row_id: str = "rec_id",
 ) -> QuotaSample:
-    """Fill the quotas in the order given. ``pool`` needs a ``shuffle_key``."""
+    """Fill the quotas in the order given.
+
+    ``pool`` needs a ``shuffle_key``. It is read twice, so stage it if it is
+    expensive to compute.
+    """
     candidates = stage(within_cap(pool, group, cap, bucket, row_id), partition_by=[bucket])
     sample = QuotaSample(candidates, group, cap, row_id)
     for name, quota in quotas.items():

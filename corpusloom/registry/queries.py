@@ -300,12 +300,12 @@ def _picks(sample_picks: DataFrame) -> DataFrame:
 
 @register
 def quota_fill(spark, sf_dir):
-    return _picks(quota.quota_fill(pool(spark, sf_dir), QUOTAS, cap=CAP).picks)
+    return _picks(quota.quota_fill(stage(pool(spark, sf_dir)), QUOTAS, cap=CAP).picks)
 
 
 @register
 def quota_binding_cap(spark, sf_dir):
-    return _picks(quota.quota_fill(pool(spark, sf_dir), QUOTAS, cap=BINDING_CAP).picks)
+    return _picks(quota.quota_fill(stage(pool(spark, sf_dir)), QUOTAS, cap=BINDING_CAP).picks)
 
 
 @register
@@ -315,17 +315,18 @@ def quota_large_cap(spark, sf_dir):
 
 @register
 def quota_topup(spark, sf_dir):
-    return _picks(quota.quota_fill(pool(spark, sf_dir), HALF_QUOTAS, cap=CAP).top_up(SAMPLE).picks)
+    sample = quota.quota_fill(stage(pool(spark, sf_dir)), HALF_QUOTAS, cap=CAP)
+    return _picks(sample.top_up(SAMPLE).picks)
 
 
 @register
 def quota_truncated(spark, sf_dir):
-    return _picks(quota.quota_fill(pool(spark, sf_dir), QUOTAS, cap=CAP).head(TRUNCATED))
+    return _picks(quota.quota_fill(stage(pool(spark, sf_dir)), QUOTAS, cap=CAP).head(TRUNCATED))
 
 
 @register
 def fill_counts(spark, sf_dir):
-    sample = quota.quota_fill(pool(spark, sf_dir), HALF_QUOTAS, cap=CAP).top_up(SAMPLE)
+    sample = quota.quota_fill(stage(pool(spark, sf_dir)), HALF_QUOTAS, cap=CAP).top_up(SAMPLE)
     return quota.fill_counts(sample.picks)
 
 

@@ -52,12 +52,29 @@ def test_large_quotas_are_cut_by_cells(spark, monkeypatch):
     expected = models.greedy(rows, {"a": 50, "b": 20}, 40, 90)
     monkeypatch.setattr(ordering, "SMALL_LIMIT", 5)
     monkeypatch.setattr(quota, "SMALL_LIMIT", 5)
-    monkeypatch.setattr(quota, "SMALL_CAP", 5)
+    monkeypatch.setattr(ordering, "ROWS_PER_CELL", 30)
     sample = quota_fill(pool, {"a": 50, "b": 20}, cap=40).top_up(90)
     assert in_pick_order(sample.picks) == expected
     assert {r["rec_id"] for r in sample.head(60).collect()} == set(expected[:60])
 
 
+@pytest.mark.parametrize("cap", [1, 4, 60])
+def test_large_groups_are_cut_before_they_are_ranked(spark, monkeypatch, cap):
+    rows, pool = make_pool(spark, 2)
+    assert quota._cut_large_groups(pool, ["bucket", "db_id"], cap, "rec_id") is pool
+    monkeypatch.setattr(ordering, "ROWS_PER_CELL", 5)
+    cut = quota._cut_large_groups(pool, ["bucket", "db_id"], cap, "rec_id")
+    sizes, kept = {}, {}
+    for row_id, db, bucket in rows:
+        sizes.setdefault((bucket, db), []).append(row_id)
+    for r in cut.collect():
+        kept.setdefault((r["bucket"], r["db_id"]), set()).add(r["rec_id"])
+    assert cut.columns == pool.columns
+    assert kept == {
+        k: set(ids[:cap] if len(ids) > 5 else ids) for k, ids in sizes.items()
+    }
+
+
 def test_no_group_above_the_cap_and_counts(spark):
     _, pool = make_pool(spark, 4)
     picks = quota_fill(pool, {"a": 20, "b": 15, "c": 10}, cap=7).top_up(55).picks
