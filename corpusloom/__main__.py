@@ -42,8 +42,8 @@ def parser() -> argparse.ArgumentParser:
     split.add_argument("--seed", type=int, default=42)
     split.add_argument("--val-frac", type=float, default=VAL_FRAC)
     split.add_argument("--test-frac", type=float, default=TEST_FRAC)
-    split.add_argument("--stored-ord", action="store_true",
-                       help="the inputs were written by the clean job")
+    split.add_argument("--stored-ord", action="append", default=[], metavar="NAME",
+                       help="this source was written by the clean job")
 
     profile = job.add_parser("profile", help="print statistics of corpora")
     profile.add_argument("paths", nargs="+")

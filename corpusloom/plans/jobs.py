@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as F
 
@@ -154,19 +154,20 @@ def merge_and_split(
     seed: int = 42,
     val_frac: float = VAL_FRAC,
     test_frac: float = TEST_FRAC,
-    stored_ord: bool = False,
+    stored_ord: Collection[str] = (),
 ) -> DataFrame:
     """Merge the sources and split them by (source, bucket).
 
     Writes ``records/split=<name>`` (reading ``records`` as a whole gives the
     merged set), ``manifest/split=<name>`` in the same order and with the same
-    ``rec_id``, and ``split_stats``. Returns the manifest.
+    ``rec_id``, and ``split_stats``. Returns the manifest. Sources named in
+    ``stored_ord`` bring their own ``ord``.
 
     The split is decided on a narrow table; the records themselves are moved
     once, by the shuffle that puts the output in its random order.
     """
     rows = merge_rows({
-        name: read_chat(spark, path, stored_ord) for name, path in sources.items()
+        name: read_chat(spark, path, name in stored_ord) for name, path in sources.items()
     })
     strata = ["source", "bucket"]
     narrow = stage(with_shuffle_key(rows.drop("messages"), seed))

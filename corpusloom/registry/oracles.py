@@ -10,7 +10,7 @@ from corpusloom.functions.features import BUCKETS, FEATURES
 from corpusloom.functions.prompts import SYSTEM_PROMPT, TEMPLATES
 from corpusloom.registry.derived import CATALOG_SQL, CORPUS_SQL, EVIDENCE_SQL, PRED_SQL
 from corpusloom.registry.queries import (
-    BINDING_CAP, CAP, HALF_QUOTAS, LARGE_CAP, OTHER_TEMPLATE, SAMPLE, SEED, TAKE, TEMPLATE,
+    BINDING_CAP, CAP, HALF_QUOTAS, LARGE_CAP, SAMPLE, SEED, TAKE, TEMPLATE,
     TOKEN_CAP, TOP_K, TRUNCATED,
 )
 from corpusloom.operators.quota import QUOTAS

@@ -71,7 +71,9 @@ def read_chat(
     """
     if stored_ord:
         schema = f"ord BIGINT, {CHAT}"
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        records = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        missing = F.raise_error(F.lit("a record has no stored ord"))
+        return records.select(F.coalesce("ord", missing).alias("ord"), "messages")
     return _lines(spark, path, CHAT)
 
 

@@ -137,6 +137,18 @@ def test_merge_and_split(spark, tmp_path):
     assert (stats["distinct_dbs"], stats["seed"]) == (7, 42)
 
 
+def test_stored_ord_is_the_identity(spark, tmp_path):
+    items = [{"ord": 100 - i, **record("d", f"SELECT {i}")} for i in range(9)]
+    one = put(tmp_path / "one.jsonl", items)
+    two = put(tmp_path / "two.jsonl", [record("d", "SELECT 1")])
+    manifest = jobs.merge_and_split(
+        spark, {"one": one, "two": two}, str(tmp_path / "out"), stored_ord=["one"])
+    ids = {r["rec_id"] for r in manifest.collect()}
+    assert ids == {f"one|{100 - i}" for i in range(9)} | {"two|0"}
+    with pytest.raises(Exception, match="no stored ord"):
+        jobs.merge_and_split(spark, {"two": two}, str(tmp_path / "bad"), stored_ord=["two"])
+
+
 def test_profile(spark, folder):
     path = str(folder / "raw.jsonl")
     row = jobs.profile_corpus(spark, [path]).first()
