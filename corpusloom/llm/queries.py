@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import mixing, rule_cascade, simhash
+from corpusloom.llm import mixing, pii, rule_cascade, simhash
 from corpusloom.llm.common import documents
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(documents(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -23,6 +27,6 @@ def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_mixing, op7_simhash, op10_rule_cascade)
+    f.__name__: f for f in (op5_pii, op6_mixing, op7_simhash, op10_rule_cascade)
 }
 ORACLES: dict[str, str] = {}
