@@ -44,7 +44,6 @@ WINDOW = 80
 SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
-BROADCAST_TERMS = 100_000
 
 SPAN = "struct<start: int, no: int, kind: string, end: int, value: string>"
 
@@ -137,11 +136,10 @@ def found(docs: DataFrame, key: str, text: str) -> DataFrame:
     return stage(rows.withColumn("text", F.when(F.size("base") > 0, F.col("text"))))
 
 
-def term_frequencies(docs: DataFrame, text: str, terms: DataFrame, n_terms: int) -> DataFrame:
-    """``term, df``: how many documents hold each of the ``terms``."""
+def term_frequencies(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+    """``term, df``: how many documents hold each of the ``terms``. Counted
+    before the join, so that the join sees a row per term, not per occurrence."""
     own = docs.select(F.explode(F.array_distinct(_term_list(docs[f"`{text}`"]))).alias("term"))
-    if n_terms <= BROADCAST_TERMS:
-        return own.join(F.broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return own.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(terms, "term", "left_semi")
 
 
@@ -164,8 +162,7 @@ def disclosures(docs: DataFrame, text: str, held: DataFrame) -> DataFrame:
         .where(F.col("n") >= SUPPORT)
     )
     pairs = stage(together.join(entities, "entity"))
-    terms = stage(pairs.select("term").distinct())
-    frequencies = term_frequencies(docs, text, terms, terms.count())
+    frequencies = term_frequencies(docs, text, pairs.select("term").distinct())
     total = F.lit(float(docs.count()))
     ic = -F.log2(F.col("df_entity") / total)
     pmi = F.log2(total * F.col("n") / (F.col("df_entity") * F.col("df")))
