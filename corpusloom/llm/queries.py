@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import mixing, pii, rule_cascade, simhash
+from corpusloom.llm import bpe, mixing, pii, rule_cascade, simhash
 from corpusloom.llm.common import documents
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.digests(documents(spark, sf_dir), "doc_id", "text", ranks, public_tokenizers.PATTERN)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(documents(spark, sf_dir))
 
@@ -27,6 +33,6 @@ def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_pii, op6_mixing, op7_simhash, op10_rule_cascade)
+    f.__name__: f for f in (op2_bpe, op5_pii, op6_mixing, op7_simhash, op10_rule_cascade)
 }
 ORACLES: dict[str, str] = {}
