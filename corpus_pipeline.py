@@ -7,9 +7,10 @@ all that its predecessor kept. All but the last return the columns of
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import mixing, rule_cascade, simhash
+from corpusloom.llm import bpe, mixing, pii, rule_cascade, simhash
 from corpusloom.llm.common import documents
 from corpusloom.sources.staging import stage
 
@@ -24,15 +25,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_first(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced."""
+    return pii.sanitised(docs, n_chars="n_chars")
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mixed(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids; ``text`` is decoded from the ids."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.round_trip(docs, "text", ranks, public_tokenizers.PATTERN)
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("SimHash near-dedup", near_dedup),
+    ("PII", personal_data),
     ("mixing", mix_sources),
+    ("byte-level BPE", encode),
 ]
 
 # the fingerprints and the draw depend on a hash that SQL engines do not share
