@@ -140,7 +140,9 @@ def term_frequencies(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     """``term, df``: how many documents hold each of the ``terms``. Counted
     before the join, so that the join sees a row per term, not per occurrence."""
     own = docs.select(F.explode(F.array_distinct(_term_list(docs[f"`{text}`"]))).alias("term"))
-    return own.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(terms, "term", "left_semi")
+    counts = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # inner: a semi join would be pushed below the count
+    return counts.join(terms, "term")
 
 
 def disclosures(docs: DataFrame, text: str, held: DataFrame) -> DataFrame:
