@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, mixing, pii, rule_cascade, simhash
+from corpusloom.llm import bpe, mixing, pii, rule_cascade, simhash, weighted_sampling
 from corpusloom.llm.common import documents
 
 
@@ -28,11 +28,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(documents(spark, sf_dir))
 
 
+def op9_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.edits(documents(spark, sf_dir))
+
+
 def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_cascade.report(documents(spark, sf_dir), "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe, op5_pii, op6_mixing, op7_simhash, op10_rule_cascade)
+    f.__name__: f for f in (op2_bpe, op5_pii, op6_mixing, op7_simhash, op9_weighted_sampling, op10_rule_cascade)
 }
 ORACLES: dict[str, str] = {}
