@@ -5,10 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, mixing, pii, rule_cascade, simhash, weighted_sampling
-from corpusloom.llm.common import documents
+from corpusloom.llm import bpe, mixing, pii, quality_rank, rule_cascade, simhash, toxicity, weighted_sampling
+from corpusloom.llm.common import documents, held_out, labels
+
+
+def _held_out_first(rows: DataFrame, held: Column) -> DataFrame:
+    return rows.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op1_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = held_out(F.col("doc_id"), 4, 2)
+    ranking = quality_rank.train(docs, labels(spark, sf_dir), "doc_id", "text", "quality", ~held)
+    return _held_out_first(quality_rank.scored(docs, "doc_id", "text", ranking), held)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +39,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(documents(spark, sf_dir))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.train(docs, labels(spark, sf_dir), "doc_id", "text", "toxic", ~held)
+    return _held_out_first(toxicity.scored(docs, "doc_id", "text", model), held)
+
+
 def op9_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.edits(documents(spark, sf_dir))
 
@@ -37,6 +55,16 @@ def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe, op5_pii, op6_mixing, op7_simhash, op9_weighted_sampling, op10_rule_cascade)
+    f.__name__: f
+    for f in (
+        op1_quality_rank,
+        op2_bpe,
+        op5_pii,
+        op6_mixing,
+        op7_simhash,
+        op8_toxicity,
+        op9_weighted_sampling,
+        op10_rule_cascade,
+    )
 }
 ORACLES: dict[str, str] = {}
