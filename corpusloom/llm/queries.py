@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, mixing, pii, quality_rank, rule_cascade, simhash, toxicity, weighted_sampling
+from corpusloom.llm import bpe, mixing, pii, quality_rank, rule_cascade, simhash, token_frames, toxicity, weighted_sampling
 from corpusloom.llm.common import documents, held_out, labels
 
 
@@ -27,6 +27,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), "doc_id", "text", ranks, public_tokenizers.PATTERN)
 
 
+def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_frames.write_and_read(documents(spark, sf_dir), path, end_ids=[1])
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(documents(spark, sf_dir))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_rank,
         op2_bpe,
+        op3_token_frames,
         op5_pii,
         op6_mixing,
         op7_simhash,
