@@ -1,21 +1,19 @@
 """Byte-level BPE by ranked merges, encoding and decoding.
 
-*Merges.* The bytes of a word start as one piece each. One step finds the
-neighbours whose joined bytes have the lowest rank and joins the leftmost of
-them; a fold repeats it until no neighbours have a rank. In words of more than
-``SHORT_BYTES`` a step joins all neighbours of that rank: a merge cannot bring
-up a rank below its own, so the outcome is the same and the steps are few. The
-ranks are one literal value in the plan: hashed into buckets, because Spark
-finds a key of a map by scanning it.
-
-*Words.* Every text is cut by the pattern and each match is encoded alone.
-Equal words have equal ids: words are counted over the corpus and the most
-frequent distinct ones are folded once and become a second such literal. Its
-size is bounded by ``HEAD_WORDS`` and ``HEAD_BYTES`` per word. All other words
-are folded where they stand. No text is shuffled; only word counts are, summed
-before the shuffle.
-
-*Decoding* looks every id's bytes up and joins the pieces.
+*Distinct words.* Texts are cut by the pattern and each match is encoded alone,
+so equal words have equal ids. Words are counted over the corpus (summed before
+the shuffle), and the most frequent distinct ones are encoded by a fold of
+higher-order functions: the bytes of a word start as one piece each, a step
+joins the leftmost neighbours whose joined bytes have the lowest rank, until no
+neighbours have a rank. The ranks are one literal value in the plan, hashed into
+buckets because Spark finds a key of a map by scanning it. The result is a
+dictionary bounded by ``HEAD_WORDS`` and ``HEAD_BYTES`` per word.
+
+*Documents* are encoded in Arrow batches with the dictionary. A word outside of
+it is merged by the same ranks where it stands, in ``n log n`` for any length,
+and kept in a bounded memo. No text is shuffled. (Folding these words by
+higher-order functions in place gives the same ids at twice the cost; see the
+README.) Decoding concatenates the bytes of the ids.
 
 Null text is an empty text: no ids, no bytes. Repeated rows are encoded alike.
 Every byte is a token, so any text can be encoded. An empty table gives an
@@ -25,18 +23,29 @@ empty result.
 from __future__ import annotations
 
 import base64
-
+import hashlib
+import sys
+import types
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+
+import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from corpusloom.llm.common import let
 from corpusloom.sources.staging import stage
 
-HEAD_WORDS = 1 << 18
+# executors get the functions below by value, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+HEAD_WORDS = 1 << 17
 HEAD_BYTES = 64
-SHORT_BYTES = 64
 BUCKETS = 1 << 16
 NO_RANK = 2**31 - 1
+MEMO = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -65,33 +74,13 @@ def _look_up(buckets: Column, key: Column) -> Column:
     return F.try_element_at(F.get(buckets, _bucket(key)), key)
 
 
-def _as_buckets(entries: DataFrame) -> DataFrame:
-    """``key, value`` rows as one row with an array of small maps."""
-    slots = entries.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("slot"))
-    filled = entries.groupBy(_bucket(F.col("key")).alias("slot")).agg(
-        F.collect_list(F.struct("key", "value")).alias("items")
-    )
-    whole = slots.join(filled, "slot", "left").select(
-        "slot", F.coalesce("items", F.array().cast(filled.schema["items"].dataType)).alias("items")
-    )
-    in_order = F.sort_array(F.collect_list(F.struct("slot", "items")))
-    return whole.agg(F.transform(in_order, lambda s: F.map_from_entries(s["items"])).alias("buckets"))
-
-
 def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
-    """One row: buckets of ranks by hex bytes; per id its bytes and its own
-    little-endian form, both hex."""
+    """One row: ranks by hex bytes, in buckets."""
     slots: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for token, rank in ranks.items():
         key = token.hex().upper()
         slots[xxhash.xxh64_intdigest(key, 42) & (BUCKETS - 1)][key] = rank
-    by_id = {rank: token for token, rank in ranks.items()}
-    ids = range(max(by_id) + 1)
-    pieces = [by_id.get(i, b"").hex().upper() for i in ids]
-    forms = [i.to_bytes(4, "little").hex().upper() for i in ids]
-    return spark.createDataFrame(
-        [(slots, pieces, forms)], "buckets array<map<string,int>>, pieces array<string>, forms array<string>"
-    )
+    return spark.createDataFrame([(slots,)], "buckets array<map<string,int>>")
 
 
 # ---- merges ----
@@ -101,8 +90,8 @@ def _rank(buckets: Column, piece: Column) -> Column:
     return F.coalesce(_look_up(buckets, piece), F.lit(NO_RANK))
 
 
-def _fold_short(bytes_: Column, buckets: Column) -> Column:
-    """Ids of a word of two or more bytes, one merge at a time.
+def _merged(bytes_: Column, buckets: Column) -> Column:
+    """Ids of a word of two or more bytes, given in hex.
 
     The state holds the pieces and the ranks of neighbours; a merge changes one
     piece and two ranks.
@@ -148,132 +137,165 @@ def _fold_short(bytes_: Column, buckets: Column) -> Column:
     )
 
 
-def _fold_long(bytes_: Column, buckets: Column) -> Column:
-    """Ids of a long word; a step merges all neighbours of the lowest rank.
-
-    The pieces stand as ",61,,62,": cut at commas they are at odd places, and
-    replacing ",a,,b," merges whole pieces, left to right. A leading dot marks
-    a finished word.
-    """
-
-    def piece(parts: Column, i: Column) -> Column:
-        return F.get(parts, 2 * i + 1)
-
-    def count(parts: Column) -> Column:
-        return F.floor(F.size(parts) / 2).cast("int")
-
-    def merge(state: Column, parts: Column) -> Column:
-        done = F.concat(F.lit("."), state)
-        ranks = F.transform(
-            F.sequence(F.lit(0), count(parts) - 2),
-            lambda i: _rank(buckets, F.concat(piece(parts, i), piece(parts, i + 1))),
-        )
-
-        def join(ranked: Column, least: Column) -> Column:
-            def put(i: Column) -> Column:
-                a, b = piece(parts, i), piece(parts, i + 1)
-                old, new = F.concat(F.lit(","), a, F.lit(",,"), b, F.lit(",")), F.concat(F.lit(","), a, b, F.lit(","))
-                return F.replace(state, old, new)
-
-            place = (F.array_position(ranked, least) - 1).cast("int")
-            return F.when(least == NO_RANK, done).otherwise(let(place, put))
-
-        found = let(ranks, lambda ranked: let(F.array_min(ranked), lambda least: join(ranked, least)))
-        return F.when(count(parts) < 2, done).otherwise(found)
-
-    def step(state: Column, _: Column) -> Column:
-        finished = F.startswith(state, F.lit("."))
-        return F.when(finished, state).otherwise(let(F.split(state, ","), lambda parts: merge(state, parts)))
-
-    def ids(state: Column) -> Column:
-        return let(
-            F.split(state, ","),
-            lambda parts: F.transform(
-                F.sequence(F.lit(0), count(parts) - 1), lambda i: _look_up(buckets, piece(parts, i))
-            ),
-        )
-
-    start = F.regexp_replace(bytes_, "(..)", ",$1,")
-    return F.aggregate(F.sequence(F.lit(1), F.floor(F.length(bytes_) / 2).cast("int")), start, step, ids)
-
-
 def fold(word: Column, buckets: Column) -> Column:
     """Ids of one word that is not empty."""
 
     def of(bytes_: Column) -> Column:
-        short = F.length(bytes_) <= 2 * SHORT_BYTES
-        merged = F.when(short, _fold_short(bytes_, buckets)).otherwise(_fold_long(bytes_, buckets))
-        return let(_look_up(buckets, bytes_), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged))
+        return let(
+            _look_up(buckets, bytes_),
+            lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(_merged(bytes_, buckets)),
+        )
 
     return let(F.hex(word), of)
 
 
-def head(docs: DataFrame, text: str, pattern: str, table: DataFrame, words: int = HEAD_WORDS) -> DataFrame:
-    """One row: buckets of ids for the most frequent words, each folded once."""
+def head(docs: DataFrame, text: str, pattern: str, ranks: dict[bytes, int], words: int = HEAD_WORDS) -> DataFrame:
+    """``word, ids`` of the most frequent distinct words, at most ``words``."""
     own = docs.select(F.explode(split_words(docs[f"`{text}`"], pattern)).alias("word"))
-    counts = stage(own.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.octet_length("word") <= HEAD_BYTES)))
+    counts = own.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(counts.where((F.col("n") > 1) & (F.octet_length("word") <= HEAD_BYTES)))
     # the lowest count with at most ``words`` words at or above it; one row per
     # different count, and there are few of those
     by_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
     above = by_count.select("n", F.sum("words").over(Window.orderBy(F.desc("n"))).alias("total"))
     lowest = above.where(F.col("total") <= words).agg(F.min("n").alias("n")).first()["n"]
-    frequent = counts.where(F.col("n") >= (lowest if lowest is not None else NO_RANK))
-    folded = frequent.select("word", table.select("buckets").scalar().alias("buckets")).select(
-        F.col("word").alias("key"), let(F.col("buckets"), lambda b: fold(F.col("word"), b)).alias("value")
-    )
-    return _as_buckets(stage(folded))
-
-
-def encoded(docs: DataFrame, text: str, ranks: dict[bytes, int], pattern: str, *keep: Column) -> DataFrame:
-    """The columns ``keep`` and ``ids``, the ids of the whole text."""
-    table = rank_table(docs.sparkSession, ranks)
-    known = stage(head(docs, text, pattern, table))
-    # each literal is named once below, so that it reaches the expression as a
-    # reference and is not copied into rows
-    with_tables = docs.select(
-        *[k.alias(f"keep{i}") for i, k in enumerate(keep)],
-        split_words(docs[f"`{text}`"], pattern).alias("words"),
-        table.select("buckets").scalar().alias("buckets"),
-        known.select("buckets").scalar().alias("head"),
-    )
-
-    def ids(buckets: Column, frequent: Column) -> Column:
-        return F.flatten(F.transform("words", lambda w: F.coalesce(_look_up(frequent, w), fold(w, buckets))))
-
-    whole = let(F.col("buckets"), lambda b: let(F.col("head"), lambda h: ids(b, h)))
-    names = [docs.select(k).columns[0] for k in keep]
-    return with_tables.select(*[F.col(f"keep{i}").alias(n) for i, n in enumerate(names)], whole.alias("ids"))
-
-
-def _hexes(table_column: str) -> Column:
-    """The entries of a table, by id, for all ids of a row, joined."""
-    return let(F.col(table_column), lambda t: F.array_join(F.transform("ids", lambda i: F.get(t, i)), ""))
+    frequent = counts.where(F.col("n") >= lowest) if lowest is not None else counts.limit(0)
+    # the table is named once, so that it reaches the expression as a reference
+    # and is not copied into rows
+    with_ranks = frequent.select("word", rank_table(docs.sparkSession, ranks).select("buckets").scalar().alias("b"))
+    return stage(with_ranks.select("word", let(F.col("b"), lambda b: fold(F.col("word"), b)).alias("ids")))
+
+
+# ---- documents ----
+
+
+def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word: lowest rank first, leftmost first."""
+    if word in ranks:
+        return [ranks[word]]
+    n, get = len(word), ranks.get
+    # a piece is known by its start; ends[start] is where the next one starts
+    ends, before = list(range(1, n + 1)), list(range(-1, n))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(word[i : i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        _, i, end = heappop(heap)
+        middle = ends[i]
+        # outdated if either piece is gone or has grown
+        if not middle or middle >= n or ends[middle] != end:
+            continue
+        ends[i], ends[middle] = end, 0
+        if end < n:
+            before[end] = i
+            if (r := get(word[i : ends[end]])) is not None:
+                heappush(heap, (r, i, ends[end]))
+        if i:
+            left = before[i]
+            if (r := get(word[left:end])) is not None:
+                heappush(heap, (r, left, end))
+    ids, i = [], 0
+    while i < n:
+        ids.append(ranks[word[i : ends[i]]])
+        i = ends[i]
+    return ids
+
+
+class Coder(dict):
+    """Words to ids (four little-endian bytes each): the dictionary, and a
+    bounded memo of words merged here."""
+
+    def __init__(self, known: dict[str, list[int]], ranks: dict[bytes, int], pattern: str) -> None:
+        import regex
+
+        super().__init__((w, np.array(ids, "<u4").tobytes()) for w, ids in known.items())
+        self.ranks = ranks
+        self.cut = regex.compile(pattern).findall
+        self.pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.pieces[rank] = token
+        self.memo: list[str] = []
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(merge(word.encode(), self.ranks), "<u4").tobytes()
+        if len(word) <= HEAD_BYTES:
+            if len(self.memo) >= MEMO:
+                for old in self.memo:
+                    del self[old]
+                self.memo.clear()
+            self.memo.append(word)
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.cut(text)))
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def _coder_for(docs: DataFrame, text: str, ranks: dict[bytes, int], pattern: str):
+    """A function that gives a worker its coder; the dictionary is broadcast,
+    which ``HEAD_WORDS`` and ``HEAD_BYTES`` bound."""
+    known = {r["word"]: r["ids"] for r in head(docs, text, pattern, ranks).toLocalIterator()}
+    sent = docs.sparkSession.sparkContext.broadcast((known, ranks))
+    name = f"coder-{sent._jbroadcast.id()}-{docs.sparkSession.sparkContext.applicationId}"
+
+    def coder() -> Coder:
+        # workers outlive tasks, and so do their coder and its memo
+        store = sys.modules.setdefault("_bpe_store", types.ModuleType("_bpe_store")).__dict__
+        if name not in store:
+            for old in [k for k in store if k.startswith("coder-")]:
+                del store[old]
+            store[name] = Coder(*sent.value, pattern)
+        return store[name]
+
+    return coder
 
 
 def digests(docs: DataFrame, key: str, text: str, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Per row: key, number of ids, SHA-256 of the ids and of the decoded bytes."""
-    table = rank_table(docs.sparkSession, ranks)
-    coded = encoded(docs, text, ranks, pattern, docs[f"`{key}`"].alias("key"))
-    with_tables = coded.select(
-        "key", "ids", table.select("forms").scalar().alias("forms"), table.select("pieces").scalar().alias("pieces")
-    )
-    return with_tables.select(
-        F.col("key").alias(key),
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.unhex(_hexes("forms")), 256).alias("ids_sha256"),
-        F.sha2(F.unhex(_hexes("pieces")), 256).alias("decoded_sha256"),
-    )
+    coder = _coder_for(docs, text, ranks, pattern)
+    source = docs.select(docs[f"`{key}`"].alias("key"), docs[f"`{text}`"].alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder()
+        for batch in batches:
+            counts, sums, decoded = [], [], []
+            for t in batch["text"]:
+                ids = own.encode(t.as_py() or "")
+                counts.append(len(ids) // 4)
+                sums.append(hashlib.sha256(ids).hexdigest())
+                decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch["key"], pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(decoded, pa.string())],
+                ["key", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    kind = source.schema["key"].dataType.simpleString()
+    schema = f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return source.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def round_trip(docs: DataFrame, text: str, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """The documents with ``ids`` and with ``text`` decoded from them; a column
     that was called ``ids`` before gives way."""
-    table = rank_table(docs.sparkSession, ranks)
-    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
-    coded = encoded(docs, text, ranks, pattern, row)
-    with_tables = coded.select("row", "ids", table.select("pieces").scalar().alias("pieces"))
-    decoded = with_tables.select("row", "ids", F.unhex(_hexes("pieces")).cast("string").alias("decoded"))
-    kept = [
-        (F.col("decoded") if c == text else F.col("row")[c]).alias(c) for c in docs.columns if c.lower() != "ids"
-    ]
+    coder = _coder_for(docs, text, ranks, pattern)
+    others = [docs[f"`{c}`"] for c in docs.columns if c != text]
+    source = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), docs[f"`{text}`"].alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder()
+        for batch in batches:
+            coded = [own.encode(t.as_py() or "") for t in batch["text"]]
+            texts = pa.array([own.decode(ids).decode() for ids in coded], pa.string())
+            offsets = np.concatenate([[0], np.cumsum([len(ids) // 4 for ids in coded])]).astype(np.int32)
+            flat = pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(offsets), flat)
+            yield pa.RecordBatch.from_arrays([batch["row"], texts, ids], ["row", "text", "ids"])
+
+    schema = T.StructType(
+        [source.schema["row"], T.StructField("text", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    )
+    decoded = source.mapInArrow(run, schema)
+    kept = [(F.col("text") if c == text else F.col("row")[c]).alias(c) for c in docs.columns if c.lower() != "ids"]
     return decoded.select(*kept, "ids")

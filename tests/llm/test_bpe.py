@@ -60,31 +60,39 @@ def test_strange_texts(spark, ranks, library):
     check(list(enumerate(texts)), bpe.digests(docs, "doc_id", "text", ranks, PATTERN), library)
 
 
-def test_long_words_merge_all_at_once(spark, ranks, library):
-    rng = random.Random(5)
-    letters = "etaoinshrdlu"
-    words = ["".join(rng.choice(letters) for _ in range(n)) for n in (65, 66, 100, 400, 1500)]
-    words += ["a" * n for n in (65, 127, 5000)] + ["ab" * 500, "日本語" * 60, "zz" * 33 + "the" * 40]
+def test_fold_equals_the_library(spark, ranks, library):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdeinorst") for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    words += ["".join(chr(rng.randint(0x80, 0x7FF)) for _ in range(9)) for _ in range(50)] + ["a" * 64, "zz" * 20]
     frame = spark.createDataFrame(list(enumerate(words)), "i int, word string")
-    table = bpe.rank_table(spark, ranks)
-    coded = frame.select("i", "word", table.select("buckets").scalar().alias("b"))
+    coded = frame.select("i", "word", bpe.rank_table(spark, ranks).select("buckets").scalar().alias("b"))
     for r in coded.select("i", let(F.col("b"), lambda b: bpe.fold(F.col("word"), b)).alias("ids")).collect():
-        assert r["ids"] == library.encode_ordinary(words[r["i"]])
+        assert r["ids"] == library._encode_single_piece(words[r["i"]])
 
 
-def test_short_and_long_words_agree(spark, ranks, library):
-    rng = random.Random(6)
-    words = ["".join(rng.choice("abcdeinorst") for _ in range(rng.randint(2, 30))) for _ in range(400)]
-    frame = spark.createDataFrame(list(enumerate(words)), "i int, word string")
-    coded = frame.select("i", "word", bpe.rank_table(spark, ranks).select("buckets").scalar().alias("b"))
-    both = coded.select(
-        "i",
-        let(F.col("b"), lambda b: F.struct(
-            bpe._fold_short(F.hex("word"), b).alias("short"), bpe._fold_long(F.hex("word"), b).alias("long")
-        )).alias("ids"),
-    )
-    for r in both.collect():
-        assert r["ids"]["short"] == r["ids"]["long"]
+def test_merge_equals_the_library(ranks, library):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (1, 2, 65, 66, 100, 400, 20_000)]
+    words += ["a" * n for n in (65, 127, 50_000)] + ["ab" * 500, "日本語" * 60, "zz" * 33 + "the" * 40]
+    for word in words:
+        assert bpe.merge(word.encode(), ranks) == library._encode_single_piece(word)
+
+
+def test_head_is_bounded_and_whole(spark, ranks, library):
+    docs = spark.createDataFrame([("the cat the dog the cat a",), ("the " * 5 + "x" * 100 + " " + "x" * 100,)], "text string")
+    known = {r["word"]: r["ids"] for r in bpe.head(docs, "text", PATTERN, ranks, words=2).collect()}
+    assert set(known) == {" the"}
+    known = {r["word"]: r["ids"] for r in bpe.head(docs, "text", PATTERN, ranks).collect()}
+    assert known == {w: library._encode_single_piece(w) for w in ("the", " the", " cat")}
+
+
+def test_memo_is_bounded(ranks, library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 3)
+    coder = bpe.Coder({}, ranks, PATTERN)
+    for i in range(50):
+        text = f"word{i} qwrtp{i}xz again"
+        assert coder.encode(text) == struct.pack(f"<{len(ids := library.encode_ordinary(text))}I", *ids)
+        assert len(coder) <= 3 and coder.decode(coder.encode(text)) == text.encode()
 
 
 def test_empty_table(none, ranks):
