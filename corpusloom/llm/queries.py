@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, mixing, pii, quality_rank, rule_cascade, simhash, token_frames, toxicity, weighted_sampling
+from corpusloom.llm import bpe, licenses, mixing, pii, quality_rank, rule_cascade, simhash, token_frames, toxicity, weighted_sampling
 from corpusloom.llm.common import documents, held_out, labels
+from corpusloom.llm.oracles import ORACLES
 
 
 def _held_out_first(rows: DataFrame, held: Column) -> DataFrame:
@@ -32,6 +33,21 @@ def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.write_and_read(documents(spark, sf_dir), path, end_ids=[1])
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files: source/lang/hundred/name, where the first of a
+    hundred is its directory's licence file and those of a thousand their
+    parent's."""
+    docs = documents(spark, sf_dir)
+    i = F.col("doc_id")
+    hundred = F.concat_ws("/", "source", "lang", (i % 1000 - i % 100).cast("string"))
+    path = (
+        F.when(i % 20 == 0, F.concat(F.coalesce("source", F.lit("")), F.lit("/LICENSE-"), i))
+        .when(i % 20 == 1, F.concat(hundred, F.lit("/LICENSE-"), i))
+        .otherwise(F.concat(hundred, F.lit("/"), i, F.lit(".txt")))
+    )
+    return licenses.scan(docs, "doc_id", path)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(documents(spark, sf_dir))
 
@@ -65,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality_rank,
         op2_bpe,
         op3_token_frames,
+        op4_licenses,
         op5_pii,
         op6_mixing,
         op7_simhash,
@@ -73,4 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_rule_cascade,
     )
 }
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
