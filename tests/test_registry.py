@@ -5,10 +5,10 @@ import pytest
 from conftest import TESTDATA
 
 import __spark_entry__ as entry_point
+from corpusloom.registry.oracles import ORACLES
+from corpusloom.registry.queries import QUERIES
 
 SF = TESTDATA / "sf0.001"
-QUERIES = entry_point.queries()
-ORACLES = entry_point.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +26,8 @@ def rows_of(names, rows):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(ORACLES) <= set(entry_point.oracle_sql())
 
 
 @pytest.mark.parametrize("name", QUERIES)
