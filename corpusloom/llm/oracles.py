@@ -7,7 +7,7 @@ WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
 ), w AS (
   SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM d
 ), places AS (
   SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3
@@ -20,7 +20,7 @@ WITH d AS (
   FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS place FROM repeated) GROUP BY rid
 ), m AS (
   SELECT doc_id, len(words) AS n_words,
-         coalesce(CAST(list_sum(list_transform(words, x -> length(x))) AS BIGINT), 0) AS word_chars,
+         coalesce(CAST(list_sum(list_transform(words, lambda x: length(x))) AS BIGINT), 0) AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
          len(lines) - len(list_distinct(lines)) AS n_dup_lines,
          coalesce(n, 0) AS n_repeat_words
