@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from corpusloom.operators.quota import PER_GROUP_CAP, SIZE
 from corpusloom.operators.split import TEST_FRAC, VAL_FRAC
 from corpusloom.plans import jobs
+from corpusloom.sources.readers import read_manifest
 from corpusloom.sources.staging import purge
 
 
@@ -33,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
     subset.add_argument("--n", type=int, default=SIZE)
     subset.add_argument("--per-db-cap", type=int, default=PER_GROUP_CAP)
     subset.add_argument("--seed", type=int, default=42)
-    subset.add_argument("--json-lines", action="store_true", help="inputs are not JSON arrays")
+    subset.add_argument("--array", action="store_true", help="inputs are JSON arrays, not JSON Lines")
 
     split = job.add_parser("split", help="merge sources and split them")
     split.add_argument("--source", type=_named, action="append", required=True,
@@ -53,6 +54,8 @@ def parser() -> argparse.ArgumentParser:
     score.add_argument("pred")
     score.add_argument("--fenced", action="store_true")
     score.add_argument("--first", type=int)
+    score.add_argument("--manifest", help="manifest that the split job wrote, for scores by group")
+    score.add_argument("--keys", nargs="+", default=["source", "bucket"])
     return top
 
 
@@ -64,14 +67,17 @@ def main(argv: list[str] | None = None) -> None:
             print(jobs.clean_corpus(spark, a.inp, a.out))
         elif a.job == "subset":
             jobs.build_subset(spark, a.questions, a.catalog, a.out, a.manifest, a.n,
-                              a.per_db_cap, a.seed, array=not a.json_lines)
+                              a.per_db_cap, a.seed, array=a.array)
         elif a.job == "split":
             jobs.merge_and_split(spark, dict(a.source), a.outdir, a.seed, a.val_frac,
                                  a.test_frac, a.stored_ord)
         elif a.job == "profile":
             jobs.profile_corpus(spark, a.paths).show(len(a.paths), truncate=False, vertical=True)
         else:
-            jobs.score_predictions(spark, a.gold, a.pred, a.fenced, a.first).show(truncate=False)
+            listed = read_manifest(spark, a.manifest) if a.manifest else None
+            jobs.score_predictions(
+                spark, a.gold, a.pred, a.fenced, a.first, listed, a.keys, by_id=listed is not None
+            ).show(1000, truncate=False)
     finally:
         purge(spark)
 

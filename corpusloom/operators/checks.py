@@ -82,13 +82,6 @@ def alignment(aligned: DataFrame) -> DataFrame:
     )
 
 
-def assert_aligned(gold: DataFrame, pred: DataFrame) -> None:
-    """Fail if gold and predictions differ in length."""
-    n_gold, n_pred = gold.count(), pred.count()
-    if n_gold != n_pred:
-        raise GateError(f"{n_gold} gold records, {n_pred} predictions")
-
-
 def over_cap(df: DataFrame, text: str, cap: int) -> DataFrame:
     """Rows in all and rows whose token estimate is above the cap."""
     return df.agg(

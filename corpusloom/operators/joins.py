@@ -76,6 +76,15 @@ def attach_schema(df: DataFrame, catalog: DataFrame) -> DataFrame:
     return joined.withColumn("schema_text", F.coalesce("schema_text", missing))
 
 
+def attach_evidence(df: DataFrame, evidence: DataFrame, key: str = "question") -> DataFrame:
+    """Add ``evidence`` by question key; rows without any keep null. A key that
+    the evidence lists twice fails the job."""
+    listed = evidence.groupBy(key).agg(F.count(F.lit(1)).alias("_times"), F.first("evidence").alias("evidence"))
+    twice = F.raise_error(F.concat(F.lit("evidence is listed twice for "), F.col(key).cast("string")))
+    once = listed.select(key, F.when(F.col("_times") == 1, F.col("evidence")).otherwise(twice).alias("evidence"))
+    return lookup_join(df, once, [key], "left")
+
+
 def with_group_size(df: DataFrame, keys: Sequence[str], out: str = "group_size") -> DataFrame:
     """Add to each row the number of rows that share its ``keys``."""
     return lookup_join(df, df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)), keys)

@@ -221,3 +221,25 @@ def in_order(
         )
         start += width
     return rows if not sizes else rows.repartitionById(start, target.cast("int"))
+
+
+def rows_before(ranged: DataFrame) -> DataFrame:
+    """``_target, _ahead`` for rows moved by ``in_order``: how many rows the
+    partitions before hold. One row per partition."""
+    counts = ranged.groupBy(F.spark_partition_id().alias("_target")).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.sum("_n").over(Window.orderBy("_target")) - F.col("_n")
+    return stage(counts.select("_target", ahead.alias("_ahead")))
+
+
+def with_running_position(
+    ranged: DataFrame, ahead: DataFrame, out: str = "position"
+) -> DataFrame:
+    """Dense 0-based position of rows that lie in order in their partitions."""
+    marked = ranged.withColumns({
+        "_target": F.spark_partition_id(),
+        # the lower bits count the rows of a partition
+        "_nth": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)),
+    })
+    # as many rows as there are partitions
+    joined = marked.join(F.broadcast(ahead), "_target")
+    return joined.withColumn(out, F.col("_ahead") + F.col("_nth")).drop("_target", "_nth", "_ahead")

@@ -121,7 +121,7 @@ def _cut_large_groups(
     before the shuffle; if that bounds a group well enough, nothing is to do.
     """
     limit = pool.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
-    if cap <= int(limit) and cap * pool.rdd.getNumPartitions() <= ordering.ROWS_PER_CELL:
+    if cap <= int(limit):
         return pool
     sizes = pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.where(F.col("_n") > ordering.ROWS_PER_CELL).select(*keys)
@@ -163,7 +163,7 @@ def quota_fill(
     ``pool`` needs a ``shuffle_key``. It is read twice, so stage it if it is
     expensive to compute.
     """
-    candidates = stage(within_cap(pool, group, cap, bucket, row_id), partition_by=[bucket])
+    candidates = stage(within_cap(pool, group, cap, bucket, row_id))
     sample = QuotaSample(candidates, group, cap, row_id)
     for name, quota in quotas.items():
         sample._take(candidates.where(F.col(bucket) == name), "rank_in_bucket", quota)

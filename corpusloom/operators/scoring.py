@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.functions.parsing import parse_flag
+from corpusloom.functions.structure import structure_ok
 from corpusloom.functions.text import norm_sql
 
 
-def score_rows(pairs: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
-    """Add ``parse_ok`` and ``em`` (normalised exact match) to aligned rows."""
+def score_rows(
+    pairs: DataFrame,
+    gold: str = "gold",
+    pred: str = "pred",
+    gate: Callable[[Column], Column] = structure_ok,
+) -> DataFrame:
+    """Add ``parse_ok`` (what ``gate`` says of the prediction) and ``em``
+    (normalised exact match) to aligned rows."""
     return pairs.withColumns({
-        "parse_ok": parse_flag(F.col(pred)),
+        "parse_ok": F.coalesce(gate(F.col(pred)), F.lit(False)),
         "em": F.coalesce(norm_sql(F.col(gold)) == norm_sql(F.col(pred)), F.lit(False)),
     })
 
@@ -33,5 +39,13 @@ def score(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def score_by(
     scored: DataFrame, manifest: DataFrame, keys: Sequence[str], row_id: str = "rec_id"
 ) -> DataFrame:
-    """Scores per group of the manifest, for error analysis."""
-    return score(scored.join(manifest.select(row_id, *keys), row_id), keys)
+    """Scores per group of the manifest, for error analysis. A scored row that
+    the manifest does not list, or lists twice, fails the job with its id."""
+    listed = manifest.groupBy(row_id).agg(
+        F.count(F.lit(1)).alias("_times"), *[F.first(k).alias(k) for k in keys]
+    )
+    said = F.concat(F.lit("manifest rows for "), F.col(row_id).cast("string"), F.lit(": "),
+                    F.coalesce("_times", F.lit(0)).cast("string"))
+    once = F.coalesce(F.col("_times") == 1, F.lit(False))
+    joined = scored.join(listed, row_id, "left")
+    return score(joined.withColumn("em", F.when(once, F.col("em")).otherwise(F.raise_error(said))), keys)

@@ -2,39 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions.features import padded, uses_window, with_bucket, with_features
-from corpusloom.functions.parsing import parse_flag
 from corpusloom.functions.prompts import chat, message, render_schema, to_chat
+from corpusloom.functions.structure import structure_ok
 from corpusloom.functions.text import (
     clean_target, collapse_sql, db_of, had_semicolon, question_tail, unfence,
 )
 from corpusloom.operators.checks import GateError, alignment, assert_none, gate, require_roles
 from corpusloom.operators.dedupe import dedupe_paraphrases
 from corpusloom.operators.joins import align, attach_schema
-from corpusloom.operators.ordering import head, in_order, with_position, with_shuffle_key
+from corpusloom.operators.ordering import (
+    head, in_order, rows_before, with_position, with_running_position, with_shuffle_key,
+)
 from corpusloom.operators.quota import PER_GROUP_CAP, QUOTAS, SIZE, fill_counts, quota_fill
 from corpusloom.operators.scoring import score, score_by, score_rows
 from corpusloom.operators.split import (
     TEST_FRAC, VAL_FRAC, split_by_thresholds, split_rank, split_thresholds,
 )
 from corpusloom.operators.stats import (
-    distinct_dbs, feature_totals, length_profile, split_stats, split_summary,
+    cleaning_report, distinct_dbs, feature_totals, length_profile, split_stats, split_summary,
 )
 from corpusloom.sources.readers import (
-    read_catalog, read_chat, read_predictions, read_questions, union_named,
+    read_catalog, read_chat, read_manifest, read_predictions, read_questions, union_named,
 )
 from corpusloom.sources.staging import stage
 from corpusloom.sources.writers import write_jsonl, write_summary
 
+# An output partition holds about this much text.
+OUTPUT_BYTES = 128 * 1024 * 1024
+
 
 # ---- clean ----------------------------------------------------------------
 
-def cleaned(records: DataFrame) -> DataFrame:
-    """Chat records with a clean target, ``fixed`` and ``parses``."""
+Gate = Callable[[Column], Column]
+
+
+def cleaned(records: DataFrame, flag: Gate = structure_ok) -> DataFrame:
+    """Chat records with a clean target, ``fixed`` and ``parses``, which is what
+    ``flag`` says of the target."""
     target = require_roles(records).withColumns({
         "_sql": clean_target(message(2)),
         "fixed": had_semicolon(message(2)),
@@ -44,32 +53,24 @@ def cleaned(records: DataFrame) -> DataFrame:
         "ord",
         chat(message(0), message(1), sql).alias("messages"),
         "fixed",
-        parse_flag(sql, retry_masked=True).alias("parses"),
+        F.coalesce(flag(sql), F.lit(False)).alias("parses"),
     )
 
 
-def clean_corpus(spark: SparkSession, inp: str, out: str) -> dict[str, int]:
+def clean_corpus(spark: SparkSession, inp: str, out: str, flag: Gate = structure_ok) -> dict[str, int]:
     """Clean a chat corpus into ``out/records`` and return the report.
 
-    Reading, cleaning, the parse test and the report are one pass: the counts
-    are observed while the records are written. Records that do not parse are
-    written too; their ids go to ``out/rejects`` and the job then fails.
+    Records that the gate refuses are written too; their ids go to
+    ``out/rejects`` and the job then fails.
     """
-    seen = Observation()
-    flagged = cleaned(read_chat(spark, inp)).observe(
-        seen,
-        F.count(F.lit(1)).alias("records"),
-        F.count_if("fixed").alias("fixed_semicolons"),
-        F.count_if(~F.col("parses")).alias("unparseable"),
-    )
+    flagged = stage(cleaned(read_chat(spark, inp), flag))
     flagged.select("ord", "messages").write.json(f"{out}/records")
-    report = seen.get
-    write_summary(spark.createDataFrame([Row(**report)]), f"{out}/report")
-    if report["unparseable"]:
-        written = read_chat(spark, f"{out}/records", stored_ord=True)
-        again = written.select("ord", parse_flag(message(2), retry_masked=True).alias("parses"))
-        gate(again, "parses", path=f"{out}/rejects")
-    return report
+    report = cleaning_report(flagged)
+    write_summary(report, f"{out}/report")
+    counts = report.first().asDict()
+    if counts["unparseable"]:
+        gate(flagged, "parses", path=f"{out}/rejects")
+    return counts
 
 
 # ---- build a subset -------------------------------------------------------
@@ -100,7 +101,7 @@ def build_subset(
     per_db_cap: int = PER_GROUP_CAP,
     seed: int = 42,
     quotas: Mapping[str, int] = QUOTAS,
-    array: bool = True,
+    array: bool = False,
 ) -> DataFrame:
     """Pick ``n`` questions by quota, write them as chat records to ``out`` and
     the selection to ``manifest``. Returns the manifest records."""
@@ -158,10 +159,12 @@ def merge_and_split(
 ) -> DataFrame:
     """Merge the sources and split them by (source, bucket).
 
-    Writes ``records/split=<name>`` (reading ``records`` as a whole gives the
-    merged set), ``manifest/split=<name>`` in the same order and with the same
-    ``rec_id``, and ``split_stats``. Returns the manifest. Sources named in
-    ``stored_ord`` bring their own ``ord``.
+    Writes ``records/split=<name>`` and ``manifest/split=<name>``, line by line
+    the same records in the same order, with the same ``rec_id`` and
+    ``position``, and ``split_stats``. Positions run through training,
+    validation and test records: ``read_chat(..., stored_ord="position")`` of
+    ``records`` as a whole is the merged set in order. Returns the manifest.
+    Sources named in ``stored_ord`` bring their own ``ord``.
 
     The split is decided on a narrow table; the records themselves are moved
     once, by the shuffle that puts the output in its random order.
@@ -170,32 +173,40 @@ def merge_and_split(
         name: read_chat(spark, path, name in stored_ord) for name, path in sources.items()
     })
     strata = ["source", "bucket"]
-    narrow = stage(with_shuffle_key(rows.drop("messages"), seed))
+    size = F.octet_length(F.to_json("messages")).cast("long").alias("_bytes")
+    narrow = stage(with_shuffle_key(rows.select("*", size).drop("messages"), seed))
     cuts = split_thresholds(narrow, strata, val_frac, test_frac)
 
     def labelled(keyed: DataFrame) -> DataFrame:
         split = split_by_thresholds(keyed, strata, cuts)
         return with_shuffle_key(split, seed + 1).withColumn("_rank", split_rank())
 
-    manifest = stage(with_position(labelled(narrow), "_rank"))
-    sizes = dict(map(tuple, manifest.groupBy("_rank").count().collect()))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for df, name, columns in (
-        (labelled(with_shuffle_key(rows, seed)), "records", ["rec_id", "messages"]),
-        (manifest, "manifest", ["rec_id", "source", "bucket", "db", "position"]),
-    ):
-        write_jsonl(in_order(df, "_rank", sizes, partitions), f"{outdir}/{name}",
-                    ["_rank", "shuffle_key", "rec_id"], ["split"], columns, ranged=True)
-    summary = split_summary(split_stats(manifest)).withColumns({
-        "distinct_dbs": F.lit(distinct_dbs(manifest, "db").first()[0]), "seed": F.lit(seed),
+    listed = stage(labelled(narrow))
+    measured = listed.groupBy("_rank").agg(F.count(F.lit(1)).alias("n"), F.sum("_bytes").alias("b")).collect()
+    sizes = {r["_rank"]: r["n"] for r in measured}
+    partitions = max(len(sizes), -(-sum(r["b"] for r in measured) // OUTPUT_BYTES))
+    order = ["_rank", "shuffle_key", "rec_id"]
+
+    def written(df: DataFrame, name: str, columns: list[str], positions: DataFrame | None) -> DataFrame:
+        ranged = in_order(df, "_rank", sizes, partitions).sortWithinPartitions("split", *order)
+        if positions is not None:
+            ranged = with_running_position(ranged, positions)
+        write_jsonl(ranged, f"{outdir}/{name}", [], ["split"], columns)
+        return ranged
+
+    ahead = rows_before(in_order(listed, "_rank", sizes, partitions))
+    written(labelled(with_shuffle_key(rows, seed)), "records", ["rec_id", "position", "messages"], ahead)
+    written(listed, "manifest", ["rec_id", "source", "bucket", "db", "position"], ahead)
+    summary = split_summary(split_stats(listed)).withColumns({
+        "distinct_dbs": F.lit(distinct_dbs(listed, "db").first()[0]), "seed": F.lit(seed),
     })
     write_summary(summary, f"{outdir}/split_stats")
-    return manifest.drop("shuffle_key", "_rank")
+    return read_manifest(spark, f"{outdir}/manifest")
 
 
 # ---- profile --------------------------------------------------------------
 
-def profile(records: DataFrame, by: str) -> DataFrame:
+def profile(records: DataFrame, by: str, flag: Gate = structure_ok) -> DataFrame:
     """One row of statistics per value of ``by``."""
     rows = records.select(
         by,
@@ -203,7 +214,7 @@ def profile(records: DataFrame, by: str) -> DataFrame:
         F.length(message(1)).alias("_length"),
         F.substring_index(message(1), "\n", 1).alias("_first_line"),
     )
-    flags = with_features(rows.withColumn("parses", parse_flag(F.col("_sql"))), "_sql")
+    flags = with_features(rows.withColumn("parses", F.coalesce(flag(F.col("_sql")), F.lit(False))), "_sql")
     narrow = stage(flags.drop("_sql"))
     parsed = narrow.groupBy(by).agg(F.count_if("parses").alias("parse_ok"))
     return (
@@ -239,14 +250,17 @@ def score_predictions(
     first: int | None = None,
     manifest: DataFrame | None = None,
     keys: Sequence[str] = (),
+    by_id: bool = False,
 ) -> DataFrame:
     """Parse rate and normalised exact match of a prediction file.
 
     ``fenced`` takes generated answers and unfences them; ``first`` scores the
-    leading gold records only; with ``manifest`` (``ord`` and ``keys``) the
-    scores are broken down by ``keys``.
+    leading gold records only; with ``manifest`` the scores are broken down by
+    its ``keys``. Its rows are found by line number (``ord``) or, with
+    ``by_id``, by the ``rec_id`` that the gold records carry, as those of the
+    merge job do.
     """
-    records = read_chat(spark, gold)
+    records = read_chat(spark, gold, with_id=by_id)
     answers = read_predictions(spark, pred)
     if first is not None:
         records, answers = [df.where(F.col("ord") < first) for df in (records, answers)]
@@ -254,7 +268,11 @@ def score_predictions(
     flags = score_pairs(
         records.select("ord", message(2).alias("gold")), answers.select("ord", sql.alias("pred"))
     )
-    return score_by(flags, manifest, keys, "ord") if manifest is not None else score(flags)
+    if manifest is None:
+        return score(flags)
+    if by_id:
+        flags = flags.join(records.select("ord", "rec_id"), "ord")
+    return score_by(flags, manifest, keys, "rec_id" if by_id else "ord")
 
 
 def samples(gold: DataFrame, pred: DataFrame, n: int = 3) -> DataFrame:

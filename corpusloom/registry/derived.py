@@ -54,6 +54,52 @@ SELECT rec_id,
 FROM {corpus}
 """
 
+# Texts for which the features and gates have both outcomes.
+CASES_SQL = """
+SELECT rec_id, source, db_id,
+  CASE rec_id % 14
+    WHEN 0 THEN concat('SELECT RANK() OVER (ORDER BY a) FROM t', cast(rec_id % 5 AS string))
+    WHEN 1 THEN 'SELECT selected_at FROM t'
+    WHEN 2 THEN 'SELECT a FROM t WHERE n = ''union all'''
+    WHEN 3 THEN concat(sql_raw, ' ''open')
+    WHEN 4 THEN concat(sql_raw, '))')
+    WHEN 5 THEN ''
+    WHEN 6 THEN 'SELECT a FROM t WHERE n = ''((( having'' AND "b)" = 1'
+    WHEN 7 THEN 'SELECT a AS rover (b) FROM t'
+    WHEN 8 THEN 'no statement at all'
+    WHEN 9 THEN 'SELECT DISTINCT FROM t'
+    WHEN 10 THEN ') SELECT a FROM t ('
+    WHEN 11 THEN 'select sum( a) over(partition by b) from t'
+    WHEN 12 THEN 'WITH x AS (SELECT 1) SELECT `it''s` FROM x'
+    ELSE 'SELECT a FROM t LIMIT 1'
+  END AS sql_raw,
+  rec_id % 14 IN (0, 1, 2, 6, 7, 11, 12, 13) AS sound,
+  CASE rec_id % 5
+    WHEN 1 THEN << 'user', 'system', 'assistant' >>
+    WHEN 2 THEN << 'system', 'user' >>
+    WHEN 3 THEN << 'system', 'user', 'assistant', 'user' >>
+    ELSE << 'system', 'user', 'assistant' >>
+  END AS roles
+FROM {corpus}
+"""
+
+# Result rows per candidate; 0 is gold. 1 is identical, 2 loses duplicates, 3
+# differs on even questions, 4 exists for some questions only.
+CANDIDATES_SQL = """
+SELECT question_id, 0 AS cand_idx, row_json FROM {results}
+UNION ALL SELECT question_id, 1, row_json FROM {results}
+UNION ALL SELECT DISTINCT question_id, 2, row_json FROM {results}
+UNION ALL SELECT question_id, 3,
+                 CASE WHEN question_id % 2 = 0 THEN concat(row_json, 'x') ELSE row_json END
+          FROM {results}
+UNION ALL SELECT DISTINCT question_id, 4, row_json FROM {results} WHERE question_id % 4 = 0
+"""
+RESULTS_SQL = """
+SELECT l_orderkey % 50 AS question_id,
+       concat(cast(l_partkey % 5 AS string), '|', cast(l_linenumber AS string)) AS row_json
+FROM {lineitem}
+"""
+
 # One database per customer; a third of them has no foreign key.
 CATALOG_SQL = """
 SELECT concat('db_', cast(c_custkey AS string)) AS db_id,
@@ -77,17 +123,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a table that is read as fewer splits than there are
-    cores, which happens only to small files; larger tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``rec_id, source, db_id, question, sql_raw``: one row per order."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return spark.sql(CORPUS_SQL, orders=spread(orders, "o_orderkey"))
+    return spark.sql(CORPUS_SQL, orders=table(spark, sf_dir, "orders"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,3 +137,14 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schema catalog, one database per customer."""
     text = CATALOG_SQL.replace("<<", "array(").replace(">>", ")")
     return spark.sql(text, customer=table(spark, sf_dir, "customer"))
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rec_id, source, db_id, sql_raw, sound, roles``: sound and broken texts."""
+    text = CASES_SQL.replace("<<", "array(").replace(">>", ")")
+    return spark.sql(text, corpus=corpus(spark, sf_dir))
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``question_id, cand_idx, row_json``: result rows of candidate answers."""
+    results = spark.sql(RESULTS_SQL, lineitem=table(spark, sf_dir, "lineitem"))
+    return spark.sql(CANDIDATES_SQL, results=results)

@@ -6,14 +6,34 @@ windows over whole strata, lists, and one CTE pair per quota pass.
 
 from __future__ import annotations
 
-from corpusloom.functions.features import BUCKETS, FEATURES
-from corpusloom.functions.prompts import SYSTEM_PROMPT, TEMPLATES
-from corpusloom.registry.derived import CATALOG_SQL, CORPUS_SQL, EVIDENCE_SQL, PRED_SQL
+from corpusloom.registry.derived import (
+    CANDIDATES_SQL, CASES_SQL, CATALOG_SQL, CORPUS_SQL, EVIDENCE_SQL, PRED_SQL, RESULTS_SQL,
+)
 from corpusloom.registry.queries import (
-    BINDING_CAP, CAP, HALF_QUOTAS, LARGE_CAP, SAMPLE, SEED, TAKE, TEMPLATE,
-    TOKEN_CAP, TOP_K, TRUNCATED,
+    BINDING_CAP, CAP, LARGE_CAP, SAMPLE, SEED, TAKE, TEMPLATE, TOKEN_CAP, TOP_K, TRUNCATED,
 )
-from corpusloom.operators.quota import QUOTAS
+
+# Fixed values, stated here again so that a wrong constant of an operator shows.
+QUOTAS = {
+    "set_op": 50,
+    "nested": 90,
+    "having": 70,
+    "multi_join": 100,
+    "group_by": 80,
+    "single_join": 60,
+    "single_table_analytic": 50,
+    "simple": 0,
+}
+HALF_QUOTAS = {name: quota // 2 for name, quota in QUOTAS.items()}
+BUCKETS = (*QUOTAS,)
+FEATURES = ("join", "group_by", "having", "order_by", "agg", "nested", "set_op", "window")
+SYSTEM_PROMPT = "You are an expert SQL generator. Return only executable SQL with no explanation."
+# Text before a role, between role and content, after the content.
+TEMPLATES = {
+    "im_start": ("<|im_start|>", "\n", "<|im_end|>\n"),
+    "header_id": ("<|start_header_id|>", "<|end_header_id|>\n\n", "<|eot_id|>"),
+    "im_sep": ("<|im_start|>", "<|im_sep|>", "<|im_end|>"),
+}
 
 # ASCII white space is enough for the derived corpus; documents need all of it.
 BLANKS = "chr(9) || chr(10) || chr(13) || ' '"
@@ -106,14 +126,14 @@ def share(n: str, fraction: float) -> str:
 
 
 def rendered(name: str, target: str = "target") -> str:
-    t = TEMPLATES[name]
+    before, after, end = TEMPLATES[name]
 
     def quoted(s: str) -> str:
         return " || chr(10) || ".join(f"'{part}'" for part in s.split("\n"))
 
     turns = [("system", "sys"), ("user", "usr"), ("assistant", target)]
     return " || ".join(
-        f"{quoted(t.before + role + t.after)} || {column} || {quoted(t.end)}"
+        f"{quoted(before + role + after)} || {column} || {quoted(end)}"
         for role, column in turns
     )
 
@@ -129,6 +149,7 @@ CORPUS = f"corpus AS ({CORPUS_SQL.format(orders='orders')})"
 PRED = f"pred AS ({PRED_SQL.format(corpus='corpus')})"
 CATALOG = "catalog AS (" + CATALOG_SQL.format(customer="customer").replace("<<", "[").replace(
     ">>", "]") + ")"
+CASES = "cases AS (" + CASES_SQL.format(corpus="corpus").replace("<<", "[").replace(">>", "]") + ")"
 SCHEMAS = r"""
 schemas AS (
   SELECT db_id,
@@ -227,6 +248,10 @@ def with_(*ctes: str) -> str:
 
 ON_POOL = (CORPUS, CLASSIFIED, POOL)
 ON_RECORDS = (CORPUS, CATALOG, SCHEMAS, RECORDS)
+MEASURES = """count(*) AS n, count(*) FILTER (WHERE parse_ok) AS parse_ok,
+        count(*) FILTER (WHERE em) AS em,
+        count(*) FILTER (WHERE parse_ok)::DOUBLE / count(*) AS parse_rate,
+        count(*) FILTER (WHERE em)::DOUBLE / count(*) AS normalized_em"""
 PICKS = "SELECT rec_id, db_id, bucket, pick_pass FROM picks"
 
 ORACLES: dict[str, str] = {}
@@ -275,7 +300,7 @@ def _prompts() -> None:
         SELECT rec_id, {user_prompt(hint)} AS prompt FROM corpus JOIN schemas USING (db_id)"""
     ORACLES["render_chat"] = with_(*ON_RECORDS) + "SELECT rec_id, " + ", ".join(
         f"{rendered(name)} AS {name}" for name in TEMPLATES) + " FROM records"
-    end = TEMPLATES[TEMPLATE].end
+    end = TEMPLATES[TEMPLATE][2]
     ORACLES["completion_span"] = with_(*ON_RECORDS) + f"""
         SELECT rec_id, true AS found,
                left(text, length(text) - length(target) - {len(end)}) AS prompt,
@@ -406,14 +431,10 @@ def _scores() -> None:
                   FROM corpus JOIN pred USING (rec_id) JOIN classified USING (rec_id, source)),
         flags AS (SELECT *, NOT {breaks('answer')} AS parse_ok,
                          {norm('gold')} = {norm('answer')} AS em FROM pairs)"""
-    measures = """count(*) AS n, count(*) FILTER (WHERE parse_ok) AS parse_ok,
-        count(*) FILTER (WHERE em) AS em,
-        count(*) FILTER (WHERE parse_ok)::DOUBLE / count(*) AS parse_rate,
-        count(*) FILTER (WHERE em)::DOUBLE / count(*) AS normalized_em"""
     base = with_(CORPUS, CLASSIFIED, PRED, pairs)
-    ORACLES["score"] = base + f"SELECT {measures} FROM flags"
+    ORACLES["score"] = base + f"SELECT {MEASURES} FROM flags"
     ORACLES["score_by_stratum"] = base + f"""
-        SELECT source, bucket, {measures} FROM flags GROUP BY source, bucket"""
+        SELECT source, bucket, {MEASURES} FROM flags GROUP BY source, bucket"""
     ORACLES["score_samples"] = with_(*ON_RECORDS, PRED) + f"""
         SELECT rec_id AS ord,
                {strip("substr(string_split(usr, 'Question:')[-1], 1, 120)")} AS question,
@@ -444,6 +465,93 @@ def _jobs() -> None:
     ORACLES["score_predictions"] = ORACLES["score"]
 
 
+def _cases() -> None:
+    flags = tests("sql_raw")
+    base = with_(CORPUS, CASES)
+    ORACLES["case_features"] = base + f"SELECT rec_id, {bucket('sql_raw')} AS bucket, " + ", ".join(
+        f"{flags[name]} AS has_{name}" for name in FEATURES) + " FROM cases"
+    ORACLES["case_window_audit"] = base + f"""
+        SELECT count(*) AS n, count(*) FILTER (WHERE {flags['window']}) AS n_window FROM cases"""
+    # sound by construction
+    ORACLES["case_structure"] = base + "SELECT rec_id, sound FROM cases"
+    ORACLES["case_roles"] = base + """
+        SELECT rec_id FROM cases WHERE roles <> ['system', 'user', 'assistant']"""
+
+
+def _audits() -> None:
+    ORACLES["duplicate_audit"] = with_(CORPUS) + f"""
+        SELECT min(rec_id) AS first_id, count(*) AS n FROM corpus
+        GROUP BY db_id, {norm('sql_raw')} HAVING count(*) > 1"""
+    ORACLES["duplicate_documents"] = """
+        SELECT min(doc_id) AS first_id, count(*) AS n FROM documents
+        GROUP BY text HAVING count(*) > 1"""
+    ORACLES["leak_audit"] = """
+        SELECT DISTINCT doc_id
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+        WHERE line IN (SELECT unnest(string_split(text, chr(10))) FROM benchmark)"""
+    ORACLES["split_leak_audit"] = with_(*ON_POOL, SPLIT) + """
+        , spread AS (SELECT upper(sql) AS s, string_agg(DISTINCT split, ',' ORDER BY split) AS splits
+                     FROM labelled GROUP BY upper(sql) HAVING count(DISTINCT split) > 1)
+        SELECT rec_id, split, splits FROM labelled JOIN spread ON upper(sql) = s"""
+    results = f"""results AS ({RESULTS_SQL.format(lineitem='lineitem')}),
+        candidates AS ({CANDIDATES_SQL.format(results='results')}),
+        bags AS (SELECT question_id, cand_idx, list_sort(list(row_json)) AS bag
+                 FROM candidates GROUP BY question_id, cand_idx)"""
+    ORACLES["result_match"] = with_(results) + """
+        SELECT b.question_id, b.cand_idx, b.bag = g.bag AS matches
+        FROM bags b JOIN bags g ON b.question_id = g.question_id AND g.cand_idx = 0
+        WHERE b.cand_idx > 0"""
+    ORACLES["vote"] = with_(results) + """
+        SELECT question_id, min(cand_idx) AS cand_idx, count(*) AS votes
+        FROM bags WHERE cand_idx > 0 GROUP BY question_id, bag
+        QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY count(*) DESC, min(cand_idx)) = 1"""
+    ORACLES["evidence_attach"] = with_(CORPUS) + """
+        SELECT rec_id, question,
+               CASE WHEN length(question) % 2 = 0 THEN 'see ' || question END AS evidence
+        FROM corpus"""
+
+
+def _written_jobs() -> None:
+    ORACLES["reader_layout_change"] = with_(CORPUS, PRED) + """
+        SELECT row_number() OVER (ORDER BY rec_id) - 1 AS ord, length(pred_raw) AS chars FROM pred"""
+    numbered = f"""
+        numbered AS (
+          SELECT source || '|' || (row_number() OVER (PARTITION BY source ORDER BY rec_id) - 1)
+                   AS rec_id, source, {bucket('target')} AS bucket, usr, target
+          FROM records)"""
+    order = f"""CASE split WHEN 'train' THEN 1 WHEN 'validation' THEN 2 ELSE 3 END,
+          {key(SEED + 1, 'rec_id')}, rec_id"""
+    merged = with_(*ON_RECORDS, numbered, split_cte("numbered", "source, bucket", "rec_id"))
+    ORACLES["merged_records"] = merged + f"""
+        SELECT row_number() OVER (ORDER BY {order}) - 1 AS ord, rec_id, usr, target FROM labelled"""
+    ORACLES["named_splits"] = merged + f"""
+        SELECT split, row_number() OVER (PARTITION BY split ORDER BY {order}) - 1 AS ord, target
+        FROM labelled"""
+    answer = "CASE WHEN length(target) % 3 = 0 THEN 'SELECT FROM WHERE' ELSE lower(target) END"
+    ORACLES["score_by_manifest"] = merged + f"""
+        , flags AS (SELECT source, bucket, NOT {breaks('answer')} AS parse_ok,
+                           {norm('target')} = {norm('answer')} AS em
+                    FROM (SELECT *, {answer} AS answer FROM labelled WHERE split = 'test'))
+        SELECT source, bucket, {MEASURES} FROM flags GROUP BY source, bucket"""
+    ORACLES["subset_records"] = with_(
+        *ON_RECORDS, CLASSIFIED, POOL, quota_ctes(HALF_QUOTAS, CAP, SAMPLE)
+    ) + f"""
+        SELECT row_number() OVER (ORDER BY {key(SEED + 1, 'rec_id')}, rec_id) - 1 AS ord,
+               usr, sql AS target
+        FROM picks JOIN (SELECT rec_id, usr FROM records) USING (rec_id)
+                   JOIN (SELECT rec_id, sql FROM classified) USING (rec_id)"""
+    ORACLES["clean_job"] = with_(CORPUS) + f"""
+        SELECT row_number() OVER (ORDER BY rec_id) - 1 AS ord, {clean('sql_raw')} AS sql,
+               count(*) OVER () AS records,
+               count(*) FILTER (WHERE ends_with({strip('sql_raw')}, ';')) OVER () AS fixed_semicolons,
+               0::BIGINT AS unparseable
+        FROM corpus WHERE NOT {breaks('sql_raw')}"""
+    ORACLES["profile_paths"] = ORACLES["profile_corpus"].replace("SELECT source, count", "SELECT source AS path, count")
+    ORACLES["questions_array"] = with_(CORPUS) + """
+        SELECT row_number() OVER (ORDER BY rec_id) - 1 AS ord, db_id, sql_raw AS query, question
+        FROM corpus"""
+
+
 for _part in (_text, _structure, _prompts, _gates, _selection, _split, _statistics, _scores,
-              _jobs):
+              _jobs, _cases, _audits, _written_jobs):
     _part()

@@ -11,17 +11,23 @@ from corpusloom.functions import text as tx
 from corpusloom.functions.features import (
     FEATURES, padded, uses_window, with_bucket, with_features,
 )
-from corpusloom.functions.parsing import parse_flag
 from corpusloom.functions import prompts as pr
 from corpusloom.functions.prompts import TEMPLATES, message
-from corpusloom.operators import checks, dedupe, quota, scoring, split, stats
-from corpusloom.operators.joins import align, attach_schema, remaining, with_group_size
+from corpusloom.functions.structure import structure_ok
+from corpusloom.operators import audits, checks, dedupe, quota, results, scoring, split, stats
+from corpusloom.operators.joins import (
+    align, attach_evidence, attach_schema, remaining, with_group_size,
+)
 from corpusloom.operators.ordering import head, take_first, with_shuffle_key
 from corpusloom.operators.quota import QUOTAS
 from corpusloom.operators.split import SPLITS
 from corpusloom.plans import jobs
-from corpusloom.registry.derived import EVIDENCE_SQL, catalog, corpus, predictions, table
-from corpusloom.sources.readers import read_chat
+from corpusloom.registry.derived import (
+    EVIDENCE_SQL, candidates, cases, catalog, corpus, predictions, table,
+)
+from corpusloom.sources.readers import (
+    read_chat, read_manifest, read_predictions, read_questions, read_splits,
+)
 from corpusloom.sources.staging import shared_folder, stage
 from corpusloom.sources.writers import write_jsonl
 
@@ -223,8 +229,9 @@ def clean_records(spark, sf_dir):
 
 @register
 def parse_gate(spark, sf_dir):
+    """Ids the structural gate refuses; it tests structure, not grammar."""
     rows = corpus(spark, sf_dir).select(
-        "rec_id", parse_flag(F.col("sql_raw"), retry_masked=True).alias("parses")
+        "rec_id", structure_ok(F.col("sql_raw")).alias("parses")
     )
     return checks.rejects(rows, "parses", "rec_id")
 
@@ -234,7 +241,7 @@ def cleaning_report(spark, sf_dir):
     raw = F.col("sql_raw")
     rows = corpus(spark, sf_dir).select(
         tx.had_semicolon(raw).alias("fixed"),
-        parse_flag(tx.clean_target(raw), retry_masked=True).alias("parses"),
+        structure_ok(tx.clean_target(raw)).alias("parses"),
     )
     return stats.cleaning_report(rows)
 
@@ -371,7 +378,7 @@ def group_size(spark, sf_dir):
 @register
 def split_union_roundtrip(spark, sf_dir):
     rows = labelled(spark, sf_dir).select("rec_id", "db_id", "sql", "split")
-    parts = stage(rows, partition_by=["split"])
+    parts = stage(rows)
     merged = split.union_splits(
         {name: parts.where(F.col("split") == name).drop("split") for name in SPLITS}
     )
@@ -438,6 +445,75 @@ def score_samples(spark, sf_dir):
     pred = answers(spark, sf_dir)[1].withColumnRenamed("pred", "sql")
     return jobs.samples(rows, pred)
 
+# ---- texts with both outcomes -------------------------------------------------
+
+@register
+def case_features(spark, sf_dir):
+    rows = with_bucket(with_features(cases(spark, sf_dir), "sql_raw"), "sql_raw")
+    return rows.select("rec_id", "bucket", *[f"has_{name}" for name in FEATURES])
+
+
+@register
+def case_window_audit(spark, sf_dir):
+    rows = cases(spark, sf_dir).select(padded(F.col("sql_raw")).alias("s"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(uses_window(F.col("s"))).alias("n_window"))
+
+
+@register
+def case_structure(spark, sf_dir):
+    return cases(spark, sf_dir).select("rec_id", structure_ok(F.col("sql_raw")).alias("sound"))
+
+
+@register
+def case_roles(spark, sf_dir):
+    turns = F.transform("roles", lambda r: F.struct(r.alias("role"), F.col("sql_raw").alias("content")))
+    return checks.check_roles(cases(spark, sf_dir).select("rec_id", turns.alias("messages")), "rec_id")
+
+
+# ---- audits, results, evidence ----------------------------------------------
+
+@register
+def duplicate_audit(spark, sf_dir):
+    rows = corpus(spark, sf_dir)
+    return audits.duplicates(rows, [F.col("db_id"), tx.norm_sql(F.col("sql_raw"))], "rec_id")
+
+
+@register
+def duplicate_documents(spark, sf_dir):
+    return audits.duplicates(table(spark, sf_dir, "documents"), [F.col("text")], "doc_id")
+
+
+@register
+def leak_audit(spark, sf_dir):
+    """Lines of documents that are a whole benchmark text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    wanted = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("line"))
+    return audits.leaks(docs, wanted, ["line"], "doc_id").distinct()
+
+
+@register
+def split_leak_audit(spark, sf_dir):
+    rows = labelled(spark, sf_dir).select("rec_id", "split", F.upper("sql").alias("sql"))
+    return audits.split_leaks(rows, ["sql"])
+
+
+@register
+def result_match(spark, sf_dir):
+    return results.result_match(candidates(spark, sf_dir))
+
+
+@register
+def vote(spark, sf_dir):
+    return results.vote(candidates(spark, sf_dir))
+
+
+@register
+def evidence_attach(spark, sf_dir):
+    rows = corpus(spark, sf_dir).select("rec_id", "question")
+    listed = rows.select("question").distinct().where(F.length("question") % 2 == 0)
+    known = listed.withColumn("evidence", F.concat(F.lit("see "), F.col("question")))
+    return attach_evidence(rows, known)
+
 
 # ---- jobs over files: every record is written as JSON Lines and read back ---
 
@@ -458,8 +534,7 @@ def jsonl_round_trip(spark, sf_dir):
     return back.select("ord", message(1).alias("usr"), message(2).alias("target"))
 
 
-@register
-def build_subset(spark, sf_dir):
+def _subset(spark: SparkSession, sf_dir: str, out: str, manifest: str) -> DataFrame:
     questions = corpus(spark, sf_dir).withColumnRenamed("sql_raw", "query")
     columns = ["db_id", "query", "question"]
     schemas = catalog(spark, sf_dir)
@@ -467,18 +542,30 @@ def build_subset(spark, sf_dir):
         spark,
         _written(questions, ["rec_id"], columns),
         _written(schemas, ["db_id"], schemas.columns),
-        _folder(spark), _folder(spark), SAMPLE, CAP, SEED, HALF_QUOTAS, array=False,
+        out, manifest, SAMPLE, CAP, SEED, HALF_QUOTAS,
     )
 
 
-@register
-def merge_and_split(spark, sf_dir):
-    rows = stage(records(spark, sf_dir), partition_by=["source"])
+def _merged(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with what the merge job writes."""
+    rows = stage(records(spark, sf_dir))
     sources = {
         name: _written(rows.where(F.col("source") == name), ["rec_id"], ["messages"])
         for name in ("alpha", "beta")
     }
-    return jobs.merge_and_split(spark, sources, _folder(spark), SEED)
+    out = _folder(spark)
+    jobs.merge_and_split(spark, sources, out, SEED)
+    return out
+
+
+@register
+def build_subset(spark, sf_dir):
+    return _subset(spark, sf_dir, _folder(spark), _folder(spark))
+
+
+@register
+def merge_and_split(spark, sf_dir):
+    return read_manifest(spark, f"{_merged(spark, sf_dir)}/manifest")
 
 
 @register
@@ -488,3 +575,96 @@ def score_predictions(spark, sf_dir):
     return jobs.score_predictions(
         spark, gold, _written(pred, ["rec_id"], ["sql"]), fenced=True
     )
+
+@register
+def reader_layout_change(spark, sf_dir):
+    """Records numbered under one layout of the scan and read under another."""
+    answers_ = predictions(spark, sf_dir).withColumnRenamed("pred_raw", "sql")
+    path = _written(answers_, ["rec_id"], ["sql"])
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.set(name, 16)
+        numbered = read_predictions(spark, path)
+        spark.conf.set(name, 1)
+        return stage(numbered.select("ord", F.length("sql").alias("chars")))
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+@register
+def merged_records(spark, sf_dir):
+    """The merged set as the job writes it, in its order."""
+    out = _merged(spark, sf_dir)
+    back = read_chat(spark, f"{out}/records", stored_ord="position", with_id=True)
+    return back.select("ord", "rec_id", message(1).alias("usr"), message(2).alias("target"))
+
+
+@register
+def named_splits(spark, sf_dir):
+    """Every split read by name, its lines numbered from 0."""
+    out = _merged(spark, sf_dir)
+    splits = read_splits(spark, {name: f"{out}/records/split={name}" for name in SPLITS})
+    return splits.select("split", "ord", message(2).alias("target"))
+
+
+@register
+def subset_records(spark, sf_dir):
+    """The subset's chat records as the job writes them, in their order."""
+    out = _folder(spark)
+    _subset(spark, sf_dir, out, _folder(spark))
+    return read_chat(spark, out).select("ord", message(1).alias("usr"), message(2).alias("target"))
+
+
+@register
+def score_by_manifest(spark, sf_dir):
+    """Predictions for the written test split, scored by the written manifest."""
+    out = _merged(spark, sf_dir)
+    test = f"{out}/records/split=test"
+    gold = read_chat(spark, test, with_id=True).select("ord", message(2).alias("target"))
+    answer = F.when(F.length("target") % 3 == 0, F.lit("SELECT FROM WHERE")).otherwise(F.lower("target"))
+    pred = _written(gold.select("ord", answer.alias("sql")), ["ord"], ["sql"])
+    return jobs.score_predictions(
+        spark, test, pred, manifest=read_manifest(spark, f"{out}/manifest"),
+        keys=["source", "bucket"], by_id=True,
+    )
+
+
+@register
+def clean_job(spark, sf_dir):
+    """The clean job over a written file without broken targets."""
+    sound = records(spark, sf_dir, target=lambda sql: sql).where(structure_ok(message(2)))
+    out = _folder(spark)
+    jobs.clean_corpus(spark, _written(sound, ["rec_id"], ["messages"]), out)
+    back = read_chat(spark, f"{out}/records", stored_ord=True)
+    report = spark.read.json(f"{out}/report").select("records", "fixed_semicolons", "unparseable")
+    return back.select("ord", message(2).alias("sql")).join(F.broadcast(report))
+
+
+@register
+def profile_paths(spark, sf_dir):
+    """The profile job over two written files."""
+    rows = stage(records(spark, sf_dir))
+    paths = {
+        _written(rows.where(F.col("source") == name), ["rec_id"], ["messages"]): name
+        for name in ("alpha", "beta")
+    }
+    named = F.create_map(*[F.lit(x) for pair in paths.items() for x in pair])
+    return jobs.profile_corpus(spark, list(paths)).withColumn("path", named[F.col("path")])
+
+
+@register
+def questions_array(spark, sf_dir):
+    """Questions from several files of one JSON array each."""
+    rows = corpus(spark, sf_dir).select("rec_id", "db_id", F.col("sql_raw").alias("query"), "question")
+    chunk = F.floor(F.col("rec_id") / 4000)
+    arrays = rows.groupBy(chunk.alias("chunk")).agg(
+        F.to_json(F.transform(
+            F.sort_array(F.collect_list(F.struct("rec_id", "db_id", "query", "question"))),
+            lambda r: F.struct(r["db_id"].alias("db_id"), r["query"].alias("query"), r["question"].alias("question")),
+        )).alias("value")
+    )
+    path = _folder(spark)
+    n = arrays.count()
+    arrays.repartitionByRange(n, "chunk").sortWithinPartitions("chunk").select("value").write.text(path)
+    return read_questions(spark, path, array=True)

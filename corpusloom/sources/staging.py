@@ -6,9 +6,9 @@ and has an exact size, which ``lookup_join`` checks before it broadcasts.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,17 +23,18 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables of this application."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        # one process, so its own folder is shared by all its tasks
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = _local_folder()
     return f"{folder.rstrip('/')}/corpusloom/{spark.conf.get('spark.app.id')}"
 
 
-def stage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def purge(spark: SparkSession) -> None:

@@ -13,17 +13,15 @@ def write_jsonl(
     order_by: Sequence[str] = (),
     partition_by: Sequence[str] = (),
     columns: Sequence[str] | None = None,
-    ranged: bool = False,
 ) -> None:
     """Write one JSON object per line, with all columns or with ``columns``.
 
-    With ``order_by`` the rows are range partitioned, unless their partitions
-    are ``ranged`` already, and sorted, so the files in name order hold the
-    rows in that order. Null fields are left out.
+    With ``order_by`` the rows are range partitioned and sorted, so the files in
+    the order of their numbers hold the rows in that order. Without, the rows
+    stay as they lie. Null fields are left out.
     """
     if order_by:
-        if not ranged:
-            df = df.repartitionByRange(*order_by)
+        df = df.repartitionByRange(*order_by)
         # sorted by partition column first, as the partitioned write wants it:
         # otherwise it would sort again and lose the order
         df = df.sortWithinPartitions(*partition_by, *order_by)

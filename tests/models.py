@@ -4,6 +4,11 @@ import re
 from collections import defaultdict
 from hashlib import md5
 
+from pyspark.sql import Window, functions as F
+
+from corpusloom.operators.ordering import with_shuffle_key
+from corpusloom.operators.split import _cuts
+
 
 def key(seed, row_id):
     return md5(f"{seed}|{row_id}".encode()).hexdigest()
@@ -87,3 +92,20 @@ def split(rows, val_frac, test_frac, seed):
                 "test" if place < test else "validation" if place < test + val else "train"
             )
     return out
+
+
+def stratified_split_by_window(
+    df, strata, seed=42, val_frac=0.1, test_frac=0.1, row_id="rec_id"
+):
+    """The same split by sorting every stratum in one task: simple, and the
+    yardstick for ``stratified_split`` in tests, but only for small strata."""
+    in_stratum = Window.partitionBy(*strata)
+    keyed = with_shuffle_key(df, seed, row_id).withColumns({
+        "_n": F.count(F.lit(1)).over(in_stratum),
+        "_rn": F.row_number().over(in_stratum.orderBy("shuffle_key", row_id)),
+    })
+    cuts = _cuts(val_frac, test_frac)
+    label = F
+    for name, want in cuts.items():
+        label = label.when(F.col("_rn") <= want(F.col("_n")), name)
+    return keyed.withColumn("split", label.otherwise("train")).drop("_n", "_rn")

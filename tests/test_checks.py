@@ -52,12 +52,6 @@ def test_assert_none(spark):
         checks.assert_none(more, condition, "window functions")
 
 
-def test_assert_aligned(spark):
-    checks.assert_aligned(spark.range(3), spark.range(3))
-    with pytest.raises(checks.GateError, match="3 gold records, 2 predictions"):
-        checks.assert_aligned(spark.range(3), spark.range(2))
-
-
 def test_over_cap(spark):
     df = spark.createDataFrame([("a" * 7,), ("a" * 10,), ("a" * 11,)], "t string")
     assert tuple(checks.over_cap(df, "t", 2).first()) == (3, 1)

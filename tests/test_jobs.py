@@ -75,7 +75,7 @@ def test_subset(spark, folder):
     quotas = {"set_op": 10, "nested": 10, "having": 5, "single_join": 200}
     listed = jobs.build_subset(
         spark, str(folder / "q.json"), str(folder / "c.json"), str(folder / "subset"),
-        str(folder / "manifest"), n=60, per_db_cap=9, quotas=quotas,
+        str(folder / "manifest"), n=60, per_db_cap=9, quotas=quotas, array=True,
     ).orderBy("i").collect()
     # six databases at nine rows each
     assert [r["i"] for r in listed] == list(range(54))
@@ -99,7 +99,8 @@ def test_subset_refuses_window_functions(spark, folder, tmp_path):
     bad = put(tmp_path / "q.json",
               [{"db_id": "db0", "query": "SELECT RANK() OVER (x) FROM t", "question": "q"}], True)
     with pytest.raises(GateError, match="window functions"):
-        jobs.build_subset(spark, bad, str(folder / "c.json"), str(tmp_path / "o"), str(tmp_path / "m"))
+        jobs.build_subset(
+            spark, bad, str(folder / "c.json"), str(tmp_path / "o"), str(tmp_path / "m"), array=True)
 
 
 def lines(folder):
@@ -127,6 +128,7 @@ def test_merge_and_split(spark, tmp_path):
         assert len(ids) == n and ids == [r["rec_id"] for r in listed]
         assert ids == [r["rec_id"] for r in manifest[start:start + n]]
         assert [r["position"] for r in listed] == list(range(start, start + n))
+        assert [r["position"] for r in records] == list(range(start, start + n))
         start += n
     assert {r["bucket"] for r in manifest} == {"simple", "single_join", "set_op"}
     assert read_chat(spark, str(out / "records/split=test")).count() == 7
@@ -137,6 +139,68 @@ def test_merge_and_split(spark, tmp_path):
     assert (stats["distinct_dbs"], stats["seed"]) == (7, 42)
 
 
+def test_layout_may_change_inside_the_merge_job(spark, tmp_path, monkeypatch):
+    name = "spark.sql.files.minPartitionNum"
+    n = 20_000
+    one = put(tmp_path / "one.jsonl", [record(f"d{i % 4}", f"SELECT {i} FROM t") for i in range(n)])
+    stage = jobs.stage
+
+    def stage_then_change(df):
+        out = stage(df)
+        spark.conf.set(name, 3)
+        return out
+
+    monkeypatch.setattr(jobs, "stage", stage_then_change)
+    try:
+        spark.conf.set(name, 16)
+        manifest = jobs.merge_and_split(spark, {"one": one}, str(tmp_path / "out"))
+    finally:
+        spark.conf.unset(name)
+    back = read_chat(spark, str(tmp_path / "out" / "records"), stored_ord="position", with_id=True)
+    both = back.join(manifest, [back["ord"] == manifest["position"], back["rec_id"] == manifest["rec_id"]])
+    assert (back.count(), manifest.count(), both.count()) == (n, n, n)
+
+
+def test_read_back_in_order_over_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "OUTPUT_BYTES", 2000)
+    one = put(tmp_path / "one.jsonl", [record(f"d{i % 4}", f"SELECT {i} FROM t") for i in range(300)])
+    out = tmp_path / "out"
+    manifest = jobs.merge_and_split(spark, {"one": one}, str(out)).orderBy("position").collect()
+    assert len(list((out / "records" / "split=train").glob("part-*"))) > 5
+    ids = []
+    for split in ("train", "validation", "test"):
+        rows = read_chat(spark, str(out / "records" / f"split={split}"), with_id=True).orderBy("ord")
+        ids += [r["rec_id"] for r in rows.collect()]
+    assert ids == [r["rec_id"] for r in manifest]
+
+
+@pytest.mark.parametrize("partitions", [1, 8])
+def test_cleaned_records_split_alike_for_any_layout(spark, tmp_path, partitions):
+    raw = put(tmp_path / "raw.jsonl", [record(f"d{i % 4}", f"SELECT {i} FROM t") for i in range(60)])
+    jobs.clean_corpus(spark, raw, str(tmp_path / "clean"))
+    again = str(tmp_path / "again")
+    spark.read.json(str(tmp_path / "clean" / "records")).repartition(partitions).write.json(again)
+    listed = jobs.merge_and_split(spark, {"one": again}, str(tmp_path / "out"), stored_ord=["one"])
+    plain = jobs.merge_and_split(spark, {"one": raw}, str(tmp_path / "plain"))
+    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_scores_by_the_written_manifest(spark, tmp_path):
+    raw = put(tmp_path / "raw.jsonl", [record(f"d{i % 4}", f"SELECT {i} FROM t") for i in range(60)])
+    out = tmp_path / "out"
+    manifest = jobs.merge_and_split(spark, {"one": raw}, str(out))
+    test = out / "records" / "split=test"
+    targets = [r["messages"][2]["content"] for r in lines(test)]
+    pred = put(tmp_path / "pred.jsonl", [{"sql": t if i else "x"} for i, t in enumerate(targets)])
+    by = jobs.score_predictions(
+        spark, str(test), pred, manifest=manifest, keys=["source", "bucket"], by_id=True)
+    assert [tuple(r)[:5] for r in by.collect()] == [("one", "simple", 6, 5, 5)]
+    for change, said in ((manifest.where("position < 55"), ": 0"), (manifest.union(manifest), ": 2")):
+        with pytest.raises(Exception, match=rf"manifest rows for one\|\d+{said}"):
+            jobs.score_predictions(
+                spark, str(test), pred, manifest=change, keys=["source"], by_id=True).collect()
+
+
 def test_stored_ord_is_the_identity(spark, tmp_path):
     items = [{"ord": 100 - i, **record("d", f"SELECT {i}")} for i in range(9)]
     one = put(tmp_path / "one.jsonl", items)

@@ -5,11 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators.split import (
-    SPLITS, merged_order, share, stratified_split, stratified_split_by_window, union_splits,
+    SPLITS, merged_order, share, stratified_split, union_splits,
 )
 from corpusloom.operators.stats import split_stats, split_summary
 
-# Published sizes of the 15 strata of the two sources, and what each split got per bucket.
+# Published sizes of the 15 strata of the two sources, and what each split got per bucket.
 STRATA = {
     "first": {"group_by": 26, "having": 4, "multi_join": 109, "nested": 36, "set_op": 1,
               "simple": 43, "single_join": 221, "single_table_analytic": 60},
@@ -77,7 +77,7 @@ def rows(spark):
 def test_split_equals_model_and_window(rows, val, test):
     data, df = rows
     expected = models.split(data, val, test, 42)
-    for operator in (stratified_split, stratified_split_by_window):
+    for operator in (stratified_split, models.stratified_split_by_window):
         got = operator(df, ["stratum"], 42, val, test)
         assert {r["rec_id"]: r["split"] for r in got.collect()} == expected
 
