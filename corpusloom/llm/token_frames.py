@@ -15,7 +15,8 @@ that no manifest names. The manifest, a row per file, is a table; running sums
 over it give the position of each file's first id.
 
 *Encoding.* Blanks never are inside a token, so a text may be cut at blanks;
-equal pieces have equal ids, and a bounded memo per worker keeps them.
+equal pieces have equal ids, and bounded memos per worker keep them. A piece of
+letters only is one word to the tokenizer and goes straight to its merge model.
 
 Null text is an empty text: the end id only. Null keys come first; equal keys
 follow each other in the order of a hash of their texts. Repeated rows are
@@ -30,6 +31,7 @@ import types
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -62,48 +64,89 @@ INDEX_TAIL = "<BII"
 # ---- encoding ----
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if
+    printable, else one from 256 upwards."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Memo:
+    """A bounded map; what was used lately survives when it is full."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def put(self, key: str, value: bytes) -> bytes:
+        if len(self.young) >= MEMO:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+        return value
+
+
 class Encoder:
-    """Ids of texts by a tokenizer file, with a bounded memo of pieces."""
+    """Ids of texts by a tokenizer file, with bounded memos of pieces."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.pieces: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.letter = "H" if self.width == 2 else "I"
+        self.pieces, self.cores = Memo(), Memo()
+        self.letters = byte_letters()
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
     def plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def core(self, text: str) -> bytes:
-        key = text.lower() if text.isascii() else text
-        found = self.cores.get(key)
-        if found is None:
-            found = self.cores[key] = self.plain(key)
-        return found
+        """Ids of a piece, or of its part without a mark at the end."""
+        low = text.lower()
+        word = low.isalpha() and (
+            # lower case by letter: only that of sigma depends on its place
+            text.isascii() or (len(low) == len(text) and "\u03a3" not in text and is_normalized("NFC", text))
+        )
+        key = low if word or text.isascii() else text
+        found = self.cores.young.get(key)
+        if found is not None:
+            return found
+        found = self.cores.old.get(key)
+        if found is None and word:
+            # letters only: one token of the cutting pattern
+            letters = key.encode().decode("latin-1").translate(self.letters)
+            found = self.packed([t.id for t in self.model.tokenize(letters)])
+        elif found is None:
+            found = self.plain(key)
+        return self.cores.put(key, found)
 
     def piece(self, text: str) -> bytes:
-        """Ids of a piece between blanks that the memo does not hold."""
+        """Ids of a piece between blanks that the young memo does not hold."""
         if len(text) > MEMO_LENGTH:
             return self.plain(text)
-        if len(self.pieces) >= MEMO:
-            self.pieces.clear()
-        if len(self.cores) >= MEMO:
-            self.cores.clear()
-        # a mark behind a letter or digit begins a token of its own
-        if len(text) > 1 and text[-1] in ",." and len(low := text[-2].lower()) == 1 and low.isalnum():
-            found = self.core(text[:-1]) + self.core(text[-1])
-        else:
-            found = self.core(text)
-        self.pieces[text] = found
-        return found
+        found = self.pieces.old.get(text)
+        if found is None:
+            # a mark behind a letter or digit begins a token of its own
+            if len(text) > 1 and text[-1] in ",." and len(low := text[-2].lower()) == 1 and low.isalnum():
+                found = self.core(text[:-1]) + self.core(text[-1])
+            else:
+                found = self.core(text)
+        return self.pieces.put(text, found)
 
     def ids(self, text: str) -> bytes:
-        known, piece = self.pieces.get, self.piece
-        return b"".join([known(p) or piece(p) for p in text.replace("\n", " ").split(" ") if p])
+        known, piece = self.pieces.young.get, self.piece
+        out = []
+        for p in text.replace("\n", " ").split(" "):
+            if p:
+                out.append(known(p) or piece(p))
+        return b"".join(out)
 
 
 def encoder_of(path: str) -> Encoder:
