@@ -1,23 +1,38 @@
 """Quota sampling by bucket under a cap per group that all buckets share.
 
 The rule is greedy and sequential: buckets in priority order, rows of a bucket
-in shuffle order, rows of a full group skipped, until the quota is met. Within
-one bucket a row is reached exactly when its rank among its own group's rows is
-within what the group has left, so each bucket is one filter and one limit.
+in shuffle order, rows of a full group skipped, until the quota is met; then a
+top-up from the rest of the pool by the same rule. It touches few rows:
+
+- a row with ``cap`` rows of its group before it is never reached, neither in
+  its bucket nor by the top-up;
+- a row that is skipped has its group's room used up by an earlier pick, and no
+  pick does that to more than one row. So a bucket needs no more than its quota
+  plus all earlier quotas, and the top-up no more rows than it fills up to.
+
+These heads are found in one pass, by limits that work before the shuffle. The
+sequence then runs over them in one task, whose rows the quotas bound, however
+large the pool is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import reduce
+import sys
+from collections.abc import Iterator, Mapping
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.operators import ordering
-from corpusloom.operators.joins import BROADCAST_ROWS, lookup_join, remaining
-from corpusloom.operators.ordering import SMALL_LIMIT, rank_thresholds, take_first
+from corpusloom.operators.joins import BROADCAST_ROWS, lookup_join
+from corpusloom.operators.ordering import rank_thresholds
 from corpusloom.sources.staging import stage
 
+# executors get the function below by value, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Default quotas, in priority order.
 QUOTAS = {
     "set_op": 50,
@@ -33,83 +48,128 @@ PER_GROUP_CAP = 12
 SIZE = 500
 
 
+def greedy_picks(
+    rows: list[tuple], quotas: Mapping[str, int], cap: int, size: int | None
+) -> list[tuple]:
+    """(id, pass) in pick order for (pass, id, group) rows in shuffle order;
+    ``quotas`` holds the quota of each bucket's pass, None stands for the top-up."""
+    used: dict[object, int] = {}
+    picks: dict[object, int] = {}
+    by_pass: dict[int, list[tuple]] = {}
+    for number, row_id, group in rows:
+        by_pass.setdefault(number, []).append((row_id, group))
+    wanted = [q for q in quotas.values() if q > 0]
+    if size is not None and size > 0:
+        wanted.append(None)
+    for number, quota in enumerate(wanted):
+        room = size - len(picks) if quota is None else quota
+        for row_id, group in by_pass.get(number, ()):
+            if room <= 0:
+                break
+            if row_id not in picks and used.get(group, 0) < cap:
+                picks[row_id] = number
+                used[group] = used.get(group, 0) + 1
+                room -= 1
+    return list(picks.items())
+
+
 class QuotaSample:
-    """Picks of ``quota_fill`` and ``top_up``, with what is needed to go on.
+    """Picks of ``quota_fill`` and ``top_up``.
 
     ``picks`` has the pool's columns plus ``pick_pass``; pick order is
-    (``pick_pass``, ``shuffle_key``, id). ``counts`` holds the rows per pass.
+    (``pick_pass``, ``shuffle_key``, id).
     """
 
-    def __init__(self, candidates: DataFrame, group: str, cap: int, row_id: str):
-        self.candidates = candidates
-        self.group = group
-        self.cap = cap
-        self.row_id = row_id
-        self.passes: list[DataFrame] = []
-        self.counts: list[int] = []
-
-    @property
-    def size(self) -> int:
-        return sum(self.counts)
-
-    @property
-    def picks(self) -> DataFrame:
-        if not self.passes:
-            return self.candidates.drop("rank_in_bucket").withColumn(
-                "pick_pass", F.lit(0)
-            ).limit(0)
-        return reduce(DataFrame.unionByName, self.passes)
-
-    def _bounded(self, df: DataFrame) -> DataFrame:
-        # nothing derived from the picks has more rows than there are picks
-        return F.broadcast(df) if self.size <= BROADCAST_ROWS else df
-
-    def _under_cap(self, rows: DataFrame, rank: str) -> DataFrame:
-        """Rows whose rank is within what their group has left."""
-        if not self.passes:
-            return rows.where(F.col(rank) <= self.cap)
-        used = self.picks.groupBy(F.col(self.group).alias("_group")).agg(
-            F.count(F.lit(1)).alias("_used")
-        )
-        left = F.lit(self.cap) - F.coalesce("_used", F.lit(0))
-        return (
-            rows.join(self._bounded(used), F.col(self.group).eqNullSafe(F.col("_group")), "left")
-            .where(F.col(rank) <= left)
-            .drop("_group", "_used")
-        )
-
-    def _take(self, rows: DataFrame, rank: str, k: int) -> None:
-        if k <= 0:
-            return
-        taken = take_first(self._under_cap(rows, rank), k, self.row_id)
-        picked = stage(taken.drop(rank).withColumn("pick_pass", F.lit(len(self.passes))))
-        self.passes.append(picked)
-        self.counts.append(picked.count())
+    def __init__(
+        self, pool: DataFrame, quotas: Mapping[str, int], group: str, cap: int, bucket: str, row_id: str
+    ):
+        self.pool, self.quotas, self.cap = pool, quotas, cap
+        self.group, self.bucket, self.row_id = group, bucket, row_id
+        self.up_to: int | None = None
 
     def top_up(self, n: int) -> "QuotaSample":
         """Fill up to ``n`` rows from the rest of the pool, cap still on."""
-        if self.size >= n:
-            return self
-        rest = self.candidates.drop("rank_in_bucket")
-        if self.passes:
-            rest = remaining(rest, self._bounded(self.picks.select(self.row_id)), self.row_id)
-        in_group = Window.partitionBy(self.group).orderBy("shuffle_key", self.row_id)
-        ranked = rest.withColumn("_rank", F.row_number().over(in_group))
-        self._take(ranked, "_rank", n - self.size)
-        return self
+        more = QuotaSample(self.pool, self.quotas, self.group, self.cap, self.bucket, self.row_id)
+        more.up_to = n
+        return more
+
+    def _heads(self) -> DataFrame:
+        """``pass, id, group`` and order of all rows the sequence can touch."""
+        names = {"_bucket": self.bucket, "_group": self.group, "shuffle_key": "shuffle_key", "_id": self.row_id}
+        narrow = stage(self.pool.select(*[F.col(old).alias(new) for new, old in names.items()]))
+        need, before = {}, 0
+        for name, quota in self.quotas.items():
+            if quota > 0:
+                before += quota
+                need[name] = (len(need), before)
+        parts = []
+        if need:
+            reachable = within_cap(narrow, "_group", self.cap, "_bucket", "_id")
+            wanted = reachable.where(F.col("_bucket").isin(list(need)))
+            first = _first_rows(wanted, "_bucket", before, "_id")
+            number = _by_name({name: at for name, (at, _) in need.items()}, F.col("_bucket"))
+            enough = _by_name({name: rows for name, (_, rows) in need.items()}, F.col("_bucket"))
+            parts.append(first.where(F.col("_nth") <= enough).withColumn("_pass", number))
+        if self.up_to:
+            everywhere = narrow.withColumn("_bucket", F.lit(""))
+            reachable = within_cap(everywhere, "_group", self.cap, "_bucket", "_id")
+            first = _first_rows(reachable, "_bucket", max(self.up_to, before), "_id")
+            parts.append(first.withColumn("_pass", F.lit(len(need))))
+        columns = ("_pass", "shuffle_key", "_id", "_group")
+        if not parts:
+            return narrow.select(F.lit(0).alias("_pass"), *columns[1:]).limit(0)
+        return reduce(DataFrame.union, [part.select(*columns) for part in parts])
+
+    @cached_property
+    def picks(self) -> DataFrame:
+        quotas, cap, size = self.quotas, self.cap, self.up_to
+        heads = self._heads().repartition(1).sortWithinPartitions("_pass", "shuffle_key", "_id")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows, kind = [], None
+            for batch in batches:
+                kind = batch["_id"].type
+                rows += zip(*[batch[c].to_pylist() for c in ("_pass", "_id", "_group")])
+            if rows:
+                ids, passes = zip(*found) if (found := greedy_picks(rows, quotas, cap, size)) else ((), ())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, kind), pa.array(passes, pa.int32())], ["_id", "pick_pass"]
+                )
+
+        kind = self.pool.schema[self.row_id].dataType.simpleString()
+        chosen = stage(heads.mapInArrow(run, f"_id {kind}, pick_pass int"))
+        # no more rows than the quotas ask for
+        bound = sum(self.quotas.values()) + (self.up_to or 0)
+        small = F.broadcast(chosen) if bound <= BROADCAST_ROWS else chosen
+        joined = self.pool.join(small, F.col(self.row_id) == F.col("_id")).drop("_id")
+        return stage(joined.select(*self.pool.columns, "pick_pass"))
+
+    @property
+    def size(self) -> int:
+        return self.picks.count()
 
     def head(self, n: int) -> DataFrame:
         """The first ``n`` picks in pick order."""
-        if n <= SMALL_LIMIT:
-            return self.picks.orderBy("pick_pass", "shuffle_key", self.row_id).limit(n)
-        whole, before = [], 0
-        for picked, count in zip(self.passes, self.counts):
-            if before + count <= n:
-                whole.append(picked)
-            elif before < n:
-                whole.append(take_first(picked, n - before, self.row_id))
-            before += count
-        return reduce(DataFrame.unionByName, whole) if whole else self.picks
+        return self.picks.orderBy("pick_pass", "shuffle_key", self.row_id).limit(n)
+
+
+def _by_name(values: Mapping[str, int], name: Column) -> Column:
+    pairs = [F.lit(x) for pair in values.items() for x in pair]
+    return F.try_element_at(F.create_map(*pairs), name)
+
+
+def _first_rows(rows: DataFrame, of: str, n: int, row_id: str) -> DataFrame:
+    """The first ``n`` rows of each value of ``of`` in shuffle order, with their
+    place ``_nth``. The limit works before the shuffle or, for a large ``n``, by
+    the row at the cut, so that no task ranks much more than ``n`` rows."""
+    limit = int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if n > limit:
+        rows = stage(rows)
+        cuts = rank_thresholds(rows, [of], {"_last": lambda size: F.lit(n)}, row_id)
+        marked = lookup_join(rows, cuts, [of], "left", staged=True)
+        rows = marked.where(F.struct("shuffle_key", row_id) <= F.col("_last")).drop("_last")
+    in_order = Window.partitionBy(of).orderBy("shuffle_key", row_id)
+    return rows.withColumn("_nth", F.row_number().over(in_order)).where(F.col("_nth") <= n)
 
 
 def _cut_large_groups(
@@ -163,11 +223,7 @@ def quota_fill(
     ``pool`` needs a ``shuffle_key``. It is read twice, so stage it if it is
     expensive to compute.
     """
-    candidates = stage(within_cap(pool, group, cap, bucket, row_id))
-    sample = QuotaSample(candidates, group, cap, row_id)
-    for name, quota in quotas.items():
-        sample._take(candidates.where(F.col(bucket) == name), "rank_in_bucket", quota)
-    return sample
+    return QuotaSample(pool, quotas, group, cap, bucket, row_id)
 
 
 def fill_counts(picks: DataFrame, bucket: str = "bucket") -> DataFrame:

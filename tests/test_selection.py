@@ -39,7 +39,7 @@ def test_quota_fill_equals_the_greedy_loop(spark, cap, quotas, size):
     rows, pool = make_pool(spark, cap)
     sample = quota_fill(pool, quotas, cap=cap)
     if size is not None:
-        sample.top_up(size)
+        sample = sample.top_up(size)
     expected = models.greedy(rows, quotas, cap, size)
     assert in_pick_order(sample.picks) == expected
     assert sample.size == len(expected)
@@ -50,12 +50,57 @@ def test_quota_fill_equals_the_greedy_loop(spark, cap, quotas, size):
 def test_large_quotas_are_cut_by_cells(spark, monkeypatch):
     rows, pool = make_pool(spark, 1)
     expected = models.greedy(rows, {"a": 50, "b": 20}, 40, 90)
-    monkeypatch.setattr(ordering, "SMALL_LIMIT", 5)
-    monkeypatch.setattr(quota, "SMALL_LIMIT", 5)
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
     monkeypatch.setattr(ordering, "ROWS_PER_CELL", 30)
-    sample = quota_fill(pool, {"a": 50, "b": 20}, cap=40).top_up(90)
-    assert in_pick_order(sample.picks) == expected
-    assert {r["rec_id"] for r in sample.head(60).collect()} == set(expected[:60])
+    spark.conf.set(name, 10)
+    try:
+        sample = quota_fill(pool, {"a": 50, "b": 20}, cap=40).top_up(90)
+        assert in_pick_order(sample.picks) == expected
+        assert {r["rec_id"] for r in sample.head(60).collect()} == set(expected[:60])
+    finally:
+        spark.conf.unset(name)
+
+
+def test_heads_hold_all_that_the_sequence_touches():
+    """The bounds of the module's text against the whole greedy loop."""
+    rng = random.Random(3)
+    for _ in range(2000):
+        n, cap = rng.randint(1, 40), rng.randint(1, 5)
+        rows = [(i, rng.choice("xxyz"), rng.choice("aab")) for i in range(n)]
+        quotas = {b: rng.randint(0, 8) for b in rng.sample("abc", 3)}
+        size = rng.choice([None, rng.randint(0, 20)])
+        heads, before, number = [], 0, 0
+
+        def reachable(some):
+            seen, out = {}, []
+            for r in some:
+                seen[r[1]] = seen.get(r[1], 0) + 1
+                if seen[r[1]] <= cap:
+                    out.append(r)
+            return out
+
+        for name, wanted in quotas.items():
+            if wanted > 0:
+                before += wanted
+                own = reachable([r for r in rows if r[2] == name])[:before]
+                heads += [(number, r[0], r[1]) for r in own]
+                number += 1
+        if size:
+            heads += [(number, r[0], r[1]) for r in reachable(rows)[: max(size, before)]]
+        found = [i for i, _ in quota.greedy_picks(heads, quotas, cap, size)]
+        assert found == models.greedy(rows, quotas, cap, size)
+
+
+def test_jobs_per_sample(spark):
+    _, pool = make_pool(spark, 1)
+    pool = pool.cache()
+    pool.count()
+    group = "quota-jobs"
+    spark.sparkContext.setJobGroup(group, "count")
+    quota_fill(pool, {"a": 20, "b": 15, "c": 10}, cap=7).top_up(55).picks
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(jobs) <= 12
 
 
 @pytest.mark.parametrize("cap", [1, 4, 60])
@@ -63,7 +108,10 @@ def test_large_groups_are_cut_before_they_are_ranked(spark, monkeypatch, cap):
     rows, pool = make_pool(spark, 2)
     assert quota._cut_large_groups(pool, ["bucket", "db_id"], cap, "rec_id") is pool
     monkeypatch.setattr(ordering, "ROWS_PER_CELL", 5)
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    spark.conf.set(name, 0)
     cut = quota._cut_large_groups(pool, ["bucket", "db_id"], cap, "rec_id")
+    spark.conf.unset(name)
     sizes, kept = {}, {}
     for row_id, db, bucket in rows:
         sizes.setdefault((bucket, db), []).append(row_id)
