@@ -13,16 +13,18 @@ from corpusloom.sources.staging import stage
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 128 * 1024 * 1024
 # A key is hot when it holds more than this share of the rows, so there are
-# fewer than HOT_SHARE hot keys however large the data is.
+# fewer than HOT_SHARE hot keys however large the data is. The rows of a hot key
+# are dealt to SALTS tasks.
 HOT_SHARE = 64
+SALTS = 64
 
 
 def fits_broadcast(table: DataFrame) -> bool:
-    """Measure a staged table: rows, and bytes of the fields as JSON text."""
-    n, size = table.agg(
-        F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct(*table.columns))))
-    ).first()
-    return n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+    """Measure a staged table: rows, then bytes of the fields as JSON text."""
+    if table.count() > BROADCAST_ROWS:
+        return False
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct(*table.columns))))).first()[0]
+    return (size or 0) <= BROADCAST_BYTES
 
 
 def _match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -49,10 +51,11 @@ def lookup_join(
     """Many-to-one join to a lookup table; null keys match null keys.
 
     The table is staged and measured. If it is small it is broadcast and ``df``
-    is not shuffled at all. If not, the rows of hot keys are joined to the few
-    table rows they need, which is a bounded broadcast, and only the other rows
-    go through a shuffle join, where no key is hot any more. Pass ``staged``
-    when the table is staged already, and ``fits`` when its size is known.
+    is not shuffled at all. If not, the keys of ``df`` are counted, the rows of
+    hot keys get a salt, the few table rows they need are repeated once per
+    salt, and one shuffle join follows, in which no key is hot any more. Pass
+    ``staged`` when the table is staged already, and ``fits`` when its size is
+    known.
     """
     table = table if staged else stage(table)
     if fits_broadcast(table) if fits is None else fits:
@@ -60,13 +63,17 @@ def lookup_join(
 
     counts = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
     total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = counts.where(F.col("_n") > total / HOT_SHARE).select(*keys, F.lit(True).alias("_hot"))
-    marked = _join(df, F.broadcast(hot), keys, "left")
-    hot_table = _join(table, F.broadcast(hot), keys, "inner").drop("_hot")
-    is_hot = F.col("_hot").isNotNull()
-    of_hot = _join(marked.where(is_hot), F.broadcast(hot_table), keys, how)
-    of_rest = _join(marked.where(~is_hot), table, keys, how)
-    return of_hot.unionByName(of_rest).drop("_hot")
+    # fewer than HOT_SHARE rows of keys
+    hot = F.broadcast(
+        counts.where(F.col("_n") > total / HOT_SHARE).select(*keys, F.lit(True).alias("_hot"))
+    )
+    dealt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    salted = _join(df, hot, keys, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), dealt).otherwise(F.lit(0))
+    ).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = _join(table, hot, keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return _join(salted, repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def attach_schema(df: DataFrame, catalog: DataFrame) -> DataFrame:
