@@ -271,10 +271,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, m
     # bounded by MAX_LABELLED, so it may be sent to every task
     sample = known.orderBy(F.xxhash64("k"), "k").limit(MAX_LABELLED)
     source = docs.select(docs[f"`{key}`"].alias("k"), F.coalesce(docs[f"`{text}`"], F.lit("")).alias("t"))
-    texts = stage(source.join(F.broadcast(sample), "k"))
+    # one text per label, however often its id occurs
+    texts = stage(source.join(F.broadcast(sample), "k").groupBy("k").agg(F.max("y").alias("y"), F.min("t").alias("t")))
     lexicon = learn_lexicon(texts)
     rows = vectors(texts.select("t", F.struct("k", "y").alias("id")), "id", "t", lexicon).collect()
-    rows.sort(key=lambda r: (r["key"]["k"], r["x"]))
+    rows.sort(key=lambda r: r["key"]["k"])
     y = np.array([float(r["key"]["y"] == 1) for r in rows])
     if not len(y) or y.min() == y.max():
         return None
