@@ -19,12 +19,18 @@ HOT_SHARE = 64
 SALTS = 64
 
 
+def measured(table: DataFrame, *more: Column) -> tuple:
+    """Whether a staged table may be broadcast, by its rows and the bytes of its
+    fields as JSON text; with the values of further aggregates."""
+    bytes_ = F.sum(F.octet_length(F.to_json(F.struct(*table.columns))))
+    n, size, *values = table.agg(F.count(F.lit(1)), bytes_, *more).first()
+    return (n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES, *values)
+
+
 def fits_broadcast(table: DataFrame) -> bool:
-    """Measure a staged table: rows, then bytes of the fields as JSON text."""
-    if table.count() > BROADCAST_ROWS:
-        return False
-    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct(*table.columns))))).first()[0]
-    return (size or 0) <= BROADCAST_BYTES
+    """The same for a table of any size: the rows, which cost no scan, are
+    counted first."""
+    return table.count() <= BROADCAST_ROWS and measured(table)[0]
 
 
 def _match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:

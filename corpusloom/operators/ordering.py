@@ -15,7 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.operators.joins import fits_broadcast, lookup_join
+from corpusloom.operators.joins import lookup_join, measured
 from corpusloom.sources.staging import stage
 
 ROWS_PER_CELL = 1_000_000
@@ -56,7 +56,7 @@ def rank_thresholds(
     """
     narrow = rows.select(*groups, "shuffle_key", row_id)
     sizes = stage(narrow.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size")))
-    sizes_fit = fits_broadcast(sizes)
+    sizes_fit, largest = measured(sizes, F.max("_size"))
     size = F.col("_size")
     celled = lookup_join(narrow, sizes, groups, staged=True, fits=sizes_fit).withColumn(
         "_cell", F.substring("shuffle_key", F.lit(1), _cell_digits(size))
@@ -65,7 +65,7 @@ def rank_thresholds(
     one_cell = sizes.where(size <= ROWS_PER_CELL).select(
         *groups, "_size", F.lit("").alias("_cell"), size.alias("_n"), size.alias("_upto")
     )
-    has_large = not sizes.where(size > ROWS_PER_CELL).isEmpty()
+    has_large = (largest or 0) > ROWS_PER_CELL
     if has_large:
         running = Window.partitionBy(*groups).orderBy("_cell")
         many_cells = (
@@ -194,8 +194,9 @@ def with_position(
     )
     in_cell = Window.partitionBy(major, "_cell").orderBy("shuffle_key", row_id)
     ranked = celled.withColumn("_rn", F.row_number().over(in_cell))
+    # at most 16^digits rows per value of major
     return (
-        lookup_join(ranked, shifts, [major, "_cell"])
+        lookup_join(ranked, shifts, [major, "_cell"], staged=True, fits=True)
         .withColumn(out, F.col("_shift") + F.col("_rn") - 1)
         .drop("_shift", "_rn", "_cell")
     )
