@@ -4,8 +4,8 @@
 whose name says that it is a licence file is one more passage as a whole.
 *Vectors.* Terms are lower-case words and numbers. A term's IDF comes from all
 passages, ``ln((1 + N) / (1 + df)) + 1``. Vectors are rows (passage, term,
-weight); the dot products with the templates are a join on the term, so a
-passage meets only templates that share a term with it. The most similar
+weight); joined with the templates' weights of the term, they are summed to the
+passage's length and its dot product with each template. The most similar
 template names the passage's licence if the cosine is at least ``THRESHOLD``,
 and a file takes the licence of its best passage (ties: the first name).
 *Inheritance.* A licence file speaks for its directory (several: the most
@@ -25,6 +25,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusloom.llm.common import let
 from corpusloom.sources.staging import stage
 
 THRESHOLD = 0.7
@@ -73,41 +74,61 @@ def passages(files: DataFrame) -> DataFrame:
     return lines.union(whole.select("path", F.lit(-1).alias("line"), "text"))
 
 
+def _counted(terms: Column) -> Column:
+    """Different terms of a text with their counts, as runs of the sorted terms."""
+
+    def runs(ordered: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (ordered[i] != F.get(ordered, i - 1))
+        )
+        return let(
+            starts,
+            lambda at: F.transform(at, lambda i, k: F.struct(
+                F.xxhash64(ordered[i]).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(ordered)) - i).alias("tf")
+            )),
+        )
+
+    none = F.array().cast("array<struct<term: bigint, tf: int>>")
+    return let(F.sort_array(terms), lambda s: F.when(F.size(s) == 0, none).otherwise(runs(s)))
+
+
 def similarities(found: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """``path, line, license, score``: the closest template of each passage."""
+    """``path, line, license, score``: the closest template of each passage that
+    shares a term with one. Passages go by a number and terms by a 64-bit hash,
+    so that no text is shuffled."""
     spark = found.sparkSession
-    # equal lines, of which there are many, are compared once
-    texts = stage(found.groupBy("text").agg(F.count(F.lit(1)).alias("times")))
-    terms = stage(
-        texts.select("text", "times", F.explode(_terms(F.col("text"))).alias("term"))
-        .groupBy("text", "times", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    total = texts.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()["n"]
-    rarity = terms.groupBy("term").agg((F.log((1 + F.lit(float(total))) / (1 + F.sum("times"))) + 1).alias("idf"))
-    weighted = terms.join(rarity, "term").select("text", "term", (F.col("tf") * F.col("idf")).alias("weight"))
-    weighted = stage(weighted)
-    listed = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(templates)], "template int, license string, wording string")
-    own = listed.select("template", "license", F.explode(_terms(F.col("wording"))).alias("term"))
-    own = own.groupBy("template", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
+    numbered = stage(found.withColumn("id", F.monotonically_increasing_id()))
+    terms = numbered.select("id", F.inline(_counted(_terms(F.col("text")))))
+    total = F.lit(float(numbered.count()))
+    rarity = terms.groupBy("term").agg((F.log((1 + total) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
+
+    listed = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(templates)], "template int, wording string")
+    own = listed.select("template", F.inline(_counted(_terms(F.col("wording")))))
     # a term that no passage holds is as rare as can be
-    unseen = F.lit(float(total))
-    own = own.join(rarity, "term", "left").select(
-        "template", "license", "term",
-        (F.col("tf") * F.coalesce("idf", F.log(1 + unseen) + 1)).alias("other"),
+    own = stage(own.join(rarity, "term", "left").select(
+        "template", "term", (F.col("tf") * F.coalesce("idf", F.log(1 + total) + 1)).alias("weight")
+    ))
+    lengths = own.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
+    scaled = own.join(lengths, "template").groupBy("term").agg(
+        F.map_from_entries(F.collect_list(F.struct("template", F.col("weight") / F.col("length")))).alias("of")
     )
-    own = stage(own)
-    lengths = own.groupBy("template").agg(F.sqrt(F.sum(F.col("other") * F.col("other"))).alias("length"))
     # as many rows as the templates have terms
-    vectors = F.broadcast(own.join(lengths, "template"))
-    norms = weighted.groupBy("text").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = weighted.join(vectors, "term").groupBy("text", "template", "license").agg(
-        F.sum(F.col("weight") * F.col("other") / F.col("length")).alias("dot")
-    )
-    scored = dots.join(norms, "text").select("text", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
-    best = scored.groupBy("text").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
-    named = best.select("text", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
-    return found.join(named, "text").select("path", "line", "license", "score")
+    vectors = F.broadcast(scaled)
+
+    weighted = terms.join(rarity, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    known = weighted.join(vectors, "term", "left")
+    dots = [
+        F.sum(F.col("w") * F.coalesce(F.try_element_at("of", F.lit(i)), F.lit(0.0))).alias(f"dot{i}")
+        for i in range(len(templates))
+    ]
+    sums = known.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
+    ranked = F.array(*[
+        F.struct((-F.round(F.col(f"dot{i}") / F.col("norm"), 6)).alias("minus"), F.lit(name).alias("license"))
+        for i, (name, _) in enumerate(templates)
+    ])
+    best = sums.select("id", F.array_min(ranked).alias("best")).where(F.col("best.minus") < 0)
+    closest = best.select("id", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
+    return numbered.select("id", "path", "line").join(closest, "id").select("path", "line", "license", "score")
 
 
 def inherited(directories: DataFrame, speaking: DataFrame) -> DataFrame:
@@ -128,8 +149,7 @@ def scan(files: DataFrame, key: str, path: Column, text: str = "text") -> DataFr
     """Per row: key, path, ``own_license`` with its ``score``, and ``license``
     with the directory it was inherited from, if it was."""
     given = files.select(files[f"`{key}`"].alias("key"), path.alias("path"), files[f"`{text}`"].alias("text"))
-    found = stage(passages(given.select("path", "text")))
-    close = similarities(found).where(F.col("score") >= THRESHOLD)
+    close = similarities(passages(given.select("path", "text"))).where(F.col("score") >= THRESHOLD)
     order = F.struct((-F.col("score")).alias("minus"), F.col("license"))
     own = close.groupBy("path").agg(F.min(order).alias("best"))
     own = stage(own.select("path", F.col("best.license").alias("own_license"), (-F.col("best.minus")).alias("score")))
