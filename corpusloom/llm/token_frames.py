@@ -30,7 +30,7 @@ import sys
 import types
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from unicodedata import is_normalized
 
 import numpy as np
@@ -46,7 +46,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS_PER_FILE = 20_000
 LEVEL = 3
-MEMO = 400_000
+MEMO = 600_000
 MEMO_LENGTH = 32
 
 # fixed values of the zstandard skippable and seekable formats
@@ -72,18 +72,25 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class Memo:
-    """A bounded map; what was used lately survives when it is full."""
+class Memo(dict):
+    """A bounded map that computes what it lacks; what was used lately survives
+    when it is full."""
 
-    def __init__(self) -> None:
-        self.young: dict[str, bytes] = {}
+    def __init__(self, compute: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.compute = compute
         self.old: dict[str, bytes] = {}
 
-    def put(self, key: str, value: bytes) -> bytes:
-        if len(self.young) >= MEMO:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-        return value
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(key) <= MEMO_LENGTH:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
 
 
 class Encoder:
@@ -98,8 +105,8 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.letter = "H" if self.width == 2 else "I"
-        self.pieces, self.cores = Memo(), Memo()
         self.letters = byte_letters()
+        self.pieces, self.words, self.others = Memo(self.piece), Memo(self.word), Memo(self.plain)
 
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.letter}", *ids)
@@ -107,46 +114,30 @@ class Encoder:
     def plain(self, text: str) -> bytes:
         return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def word(self, low: str) -> bytes:
+        """Ids of lower-case letters: one token of the cutting pattern."""
+        letters = low.encode().decode("latin-1").translate(self.letters)
+        return self.packed([t.id for t in self.model.tokenize(letters)])
+
     def core(self, text: str) -> bytes:
         """Ids of a piece, or of its part without a mark at the end."""
-        low = text.lower()
-        word = low.isalpha() and (
-            # lower case by letter: only that of sigma depends on its place
-            text.isascii() or (len(low) == len(text) and "\u03a3" not in text and is_normalized("NFC", text))
-        )
-        key = low if word or text.isascii() else text
-        found = self.cores.young.get(key)
-        if found is not None:
-            return found
-        found = self.cores.old.get(key)
-        if found is None and word:
-            # letters only: one token of the cutting pattern
-            letters = key.encode().decode("latin-1").translate(self.letters)
-            found = self.packed([t.id for t in self.model.tokenize(letters)])
-        elif found is None:
-            found = self.plain(key)
-        return self.cores.put(key, found)
+        low, ascii_ = text.lower(), text.isascii()
+        # lower case by letter: only that of sigma depends on its place
+        if low.isalpha() and (
+            ascii_ or (len(low) == len(text) and "\u03a3" not in text and is_normalized("NFC", text))
+        ):
+            return self.words[low]
+        return self.others[low if ascii_ else text]
 
     def piece(self, text: str) -> bytes:
-        """Ids of a piece between blanks that the young memo does not hold."""
-        if len(text) > MEMO_LENGTH:
-            return self.plain(text)
-        found = self.pieces.old.get(text)
-        if found is None:
-            # a mark behind a letter or digit begins a token of its own
-            if len(text) > 1 and text[-1] in ",." and len(low := text[-2].lower()) == 1 and low.isalnum():
-                found = self.core(text[:-1]) + self.core(text[-1])
-            else:
-                found = self.core(text)
-        return self.pieces.put(text, found)
+        """Ids of a piece between blanks."""
+        # a mark behind a letter or digit begins a token of its own
+        if len(text) > 1 and text[-1] in ",." and len(low := text[-2].lower()) == 1 and low.isalnum():
+            return self.core(text[:-1]) + self.core(text[-1])
+        return self.core(text)
 
     def ids(self, text: str) -> bytes:
-        known, piece = self.pieces.young.get, self.piece
-        out = []
-        for p in text.replace("\n", " ").split(" "):
-            if p:
-                out.append(known(p) or piece(p))
-        return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def encoder_of(path: str) -> Encoder:
