@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.llm.common import let, packed, unit_hash, words
+from corpusloom.llm.common import MATCH, let, matching, packed, unit_hash, words
 from corpusloom.sources.staging import stage
 
 WEIGHTS = (5, 2, 1)
@@ -149,11 +149,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: each document as often as it is taken, all its columns."""
     drawn = draw(docs, key, text, source).where(F.col("epochs") > 0)
-    # rows with one key, text and source are equal to the draw: spread their copies
-    counts = drawn.groupBy("key", "digest").agg(F.sum("epochs").alias("copies"), F.count(F.lit(1)).alias("same"))
-    whole = packed(docs, k=docs[f"`{key}`"], d=F.xxhash64(docs[f"`{text}`"]))
-    taken = whole.join(counts, whole["k"].eqNullSafe(counts["key"]) & (whole["d"] == counts["digest"]))
-    once = F.row_number().over(Window.partitionBy("k", "d").orderBy(F.lit(0)))
+    # rows with one key and text are equal to the draw: spread their copies
+    counts = (
+        drawn.select(*matching(F.col("key"), F.col("digest")), "epochs")
+        .groupBy(*MATCH)
+        .agg(F.sum("epochs").alias("copies"), F.count(F.lit(1)).alias("same"))
+    )
+    whole = packed(docs, key=docs[f"`{key}`"], digest=F.xxhash64(docs[f"`{text}`"]))
+    taken = whole.select("row", *matching(F.col("key"), F.col("digest"))).join(counts, MATCH)
+    once = F.row_number().over(Window.partitionBy(*MATCH).orderBy(F.lit(0)))
     share = taken.withColumn("nth", once).select(
         "row",
         (F.floor(F.col("copies") / F.col("same")) + F.when(F.col("nth") <= F.col("copies") % F.col("same"), 1).otherwise(0)).alias("n"),

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.llm.common import packed
+from corpusloom.llm.common import MATCH, matching, packed
 from corpusloom.sources.staging import stage
 
 # executors get the functions below by value, so the package need not be installed there
@@ -335,8 +335,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, with the columns it came with."""
     found = labelled(docs, key, text)
-    chosen = found.select(F.col("first.key").alias("key"), F.col("first.digest").alias("digest")).distinct()
-    whole = packed(docs, k=docs[f"`{key}`"], d=F.xxhash64(docs[f"`{text}`"]))
-    kept = whole.join(chosen, whole["k"].eqNullSafe(chosen["key"]) & (whole["d"] == chosen["digest"]))
-    nth = F.row_number().over(Window.partitionBy("k", "d").orderBy(F.lit(0)))
+    chosen = found.select(*matching(F.col("first.key"), F.col("first.digest"))).distinct()
+    row = packed(docs, key=docs[f"`{key}`"], digest=F.xxhash64(docs[f"`{text}`"]))
+    kept = row.select("row", *matching(F.col("key"), F.col("digest"))).join(chosen, MATCH)
+    nth = F.row_number().over(Window.partitionBy(*MATCH).orderBy(F.lit(0)))
     return kept.withColumn("nth", nth).where("nth = 1").select("row.*")
