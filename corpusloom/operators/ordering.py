@@ -131,6 +131,7 @@ def label_by_thresholds(
     rest: str,
     row_id: str = "rec_id",
     out: str = "label",
+    fits: bool | None = None,
 ) -> DataFrame:
     """Label each row with the first of the ``rank_thresholds`` it is not beyond."""
     cuts = [name for name in thresholds.columns if name not in groups]
@@ -139,7 +140,7 @@ def label_by_thresholds(
         lambda chain, name: chain.when(at <= F.col(f"_at_{name}"), name), cuts, F
     ).otherwise(rest)
     renamed = thresholds.withColumnsRenamed({name: f"_at_{name}" for name in cuts})
-    joined = lookup_join(rows, renamed, groups, "left", staged=True)
+    joined = lookup_join(rows, renamed, groups, "left", staged=True, fits=fits)
     return joined.withColumn(out, label).drop(*[f"_at_{name}" for name in cuts])
 
 

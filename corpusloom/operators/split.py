@@ -64,10 +64,15 @@ def split_thresholds(
 
 
 def split_by_thresholds(
-    keyed: DataFrame, strata: Sequence[str], thresholds: DataFrame, row_id: str = "rec_id"
+    keyed: DataFrame,
+    strata: Sequence[str],
+    thresholds: DataFrame,
+    row_id: str = "rec_id",
+    fits: bool | None = None,
 ) -> DataFrame:
-    """Add ``split`` to rows that carry the same ``shuffle_key``."""
-    return label_by_thresholds(keyed, strata, thresholds, "train", row_id, "split")
+    """Add ``split`` to rows that carry the same ``shuffle_key``; ``fits`` tells
+    whether the thresholds may be broadcast, if that is known."""
+    return label_by_thresholds(keyed, strata, thresholds, "train", row_id, "split", fits)
 
 
 def split_rank(split: str = "split") -> Column:

@@ -14,7 +14,7 @@ from corpusloom.functions.text import (
 )
 from corpusloom.operators.checks import GateError, alignment, assert_none, gate, require_roles
 from corpusloom.operators.dedupe import dedupe_paraphrases
-from corpusloom.operators.joins import align, attach_schema
+from corpusloom.operators.joins import align, attach_schema, fits_broadcast
 from corpusloom.operators.ordering import (
     head, in_order, rows_before, with_position, with_running_position, with_shuffle_key,
 )
@@ -176,9 +176,10 @@ def merge_and_split(
     size = F.octet_length(F.to_json("messages")).cast("long").alias("_bytes")
     narrow = stage(with_shuffle_key(rows.select("*", size).drop("messages"), seed))
     cuts = split_thresholds(narrow, strata, val_frac, test_frac)
+    fits = fits_broadcast(cuts)
 
     def labelled(keyed: DataFrame) -> DataFrame:
-        split = split_by_thresholds(keyed, strata, cuts)
+        split = split_by_thresholds(keyed, strata, cuts, fits=fits)
         return with_shuffle_key(split, seed + 1).withColumn("_rank", split_rank())
 
     listed = stage(labelled(narrow))

@@ -51,10 +51,11 @@ def _number(scan: DataFrame, *columns: Column) -> DataFrame:
     # to plan the scan: one per input split
     in_order = Window.orderBy(natural_order(F.col("_file")), "_file", "_start")
     before = F.sum("_n").over(in_order) - F.col("_n")
-    offsets = splits.select("_file", "_start", (before - F.col("_first")).alias("_shift"))
+    offsets = stage(splits.select("_file", "_start", (before - F.col("_first")).alias("_shift")))
     lost = F.raise_error(F.concat(F.lit("no offset for a split of "), F.col("_file")))
     names = [c for c in frozen.columns if c not in ("_file", "_start", "_run")]
-    return lookup_join(frozen, offsets, ["_file", "_start"], "left").select(
+    # for the same reason the offsets are few enough to send to every task
+    return lookup_join(frozen, offsets, ["_file", "_start"], "left", staged=True, fits=True).select(
         (F.col("_run") + F.coalesce("_shift", lost)).alias("ord"), *names
     )
 
