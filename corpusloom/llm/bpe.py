@@ -35,7 +35,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from corpusloom.llm.common import let
+from corpusloom.llm.common import let, slices
 from corpusloom.sources.staging import stage
 
 # executors get the functions below by value, so the package need not be installed there
@@ -45,7 +45,7 @@ HEAD_WORDS = 1 << 17
 HEAD_BYTES = 64
 BUCKETS = 1 << 16
 NO_RANK = 2**31 - 1
-MEMO = 400_000
+MEMO = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -201,28 +201,26 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Coder(dict):
-    """Words to ids (four little-endian bytes each): the dictionary, and a
-    bounded memo of words merged here."""
+    """Words to ids (four little-endian bytes each), as a bounded memo in front
+    of the dictionary and the merges."""
 
-    def __init__(self, known: dict[str, list[int]], ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, known: dict[str, bytes], ranks: dict[bytes, int], pattern: str) -> None:
         import regex
 
-        super().__init__((w, np.array(ids, "<u4").tobytes()) for w, ids in known.items())
-        self.ranks = ranks
+        super().__init__()
+        self.known, self.ranks = known, ranks
         self.cut = regex.compile(pattern).findall
         self.pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.pieces[rank] = token
-        self.memo: list[str] = []
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(merge(word.encode(), self.ranks), "<u4").tobytes()
+        ids = self.known.get(word)
+        if ids is None:
+            ids = np.array(merge(word.encode(), self.ranks), "<u4").tobytes()
         if len(word) <= HEAD_BYTES:
-            if len(self.memo) >= MEMO:
-                for old in self.memo:
-                    del self[old]
-                self.memo.clear()
-            self.memo.append(word)
+            if len(self) >= MEMO:
+                self.clear()
             self[word] = ids
         return ids
 
@@ -236,7 +234,9 @@ class Coder(dict):
 def _coder_for(docs: DataFrame, text: str, ranks: dict[bytes, int], pattern: str):
     """A function that gives a worker its coder; the dictionary is broadcast,
     which ``HEAD_WORDS`` and ``HEAD_BYTES`` bound."""
-    known = {r["word"]: r["ids"] for r in head(docs, text, pattern, ranks).toLocalIterator()}
+    known = {
+        r["word"]: np.array(r["ids"], "<u4").tobytes() for r in head(docs, text, pattern, ranks).toLocalIterator()
+    }
     sent = docs.sparkSession.sparkContext.broadcast((known, ranks))
     name = f"coder-{sent._jbroadcast.id()}-{docs.sparkSession.sparkContext.applicationId}"
 
@@ -259,7 +259,7 @@ def digests(docs: DataFrame, key: str, text: str, ranks: dict[bytes, int], patte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder()
-        for batch in batches:
+        for batch in slices(batches):
             counts, sums, decoded = [], [], []
             for t in batch["text"]:
                 ids = own.encode(t.as_py() or "")
@@ -285,7 +285,7 @@ def round_trip(docs: DataFrame, text: str, ranks: dict[bytes, int], pattern: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder()
-        for batch in batches:
+        for batch in slices(batches):
             coded = [own.encode(t.as_py() or "") for t in batch["text"]]
             texts = pa.array([own.decode(ids).decode() for ids in coded], pa.string())
             offsets = np.concatenate([[0], np.cumsum([len(ids) // 4 for ids in coded])]).astype(np.int32)

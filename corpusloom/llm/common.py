@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+# executors get the functions below by value, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # the six ASCII blanks that separate words
 BLANKS = " \t\n\u000b\f\r"
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
@@ -42,6 +48,16 @@ def packed(docs: DataFrame, **columns: Column) -> DataFrame:
     return docs.select(row, *[column.alias(name) for name, column in columns.items()])
 
 
+def matching(key: Column, digest: Column) -> list[Column]:
+    """Columns ``k, k_null, d`` that are equal where key and digest are, null
+    keys included. Plain equality lets a window after a join use its shuffle."""
+    plain = F.coalesce(key.cast("string"), F.lit(""))
+    return [plain.alias("k"), key.isNull().alias("k_null"), digest.alias("d")]
+
+
+MATCH = ["k", "k_null", "d"]
+
+
 def held_out(doc_id: Column, modulus: int, rest: int) -> Column:
     """Whether crc32 of the decimal id leaves ``rest``; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == rest, F.lit(False))
@@ -51,3 +67,10 @@ def unit_hash(*columns: Column | str, salt: int = 0) -> Column:
     """A number in (0, 1) that depends on the given columns only."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(salt), *columns), 11)
     return (bits.cast("double") + 0.5) / F.lit(float(2**53))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller pieces, so that what is made of them stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusloom.llm.common import slices
+
 # executors get the functions below by value, so the package need not be installed there
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -190,7 +192,7 @@ def edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
         waiting = None  # part, key, text, samples of the row whose successor is due
-        for batch in batches:
+        for batch in slices(batches):
             keys, rows = [], []
             for part, guest, row_key, row_text in zip(
                 batch["part"].to_pylist(), batch["guest"].to_pylist(), batch["key"], batch["text"].to_pylist()
