@@ -1,4 +1,4 @@
-"""Audits of exact repetition: inside a table, and between two tables.
+"""Audits of repetition: inside a table, and between two tables.
 
 Keys are compared by a digest of their whole text, so what is shuffled is
 narrow however long the texts are; nothing is capped or sampled. Equal texts are
@@ -12,6 +12,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusloom.operators.joins import lookup_join
+
+# Words in a row that make a passage, and the fewest a shorter whole text needs to count as one.
+PASSAGE = 13
+LEAST = 8
+KEY = ["n", "a", "b"]
+
 
 def digest(*columns: Column) -> Column:
     """SHA-256 of the columns' texts; null and empty differ, and so do ways to
@@ -35,6 +42,44 @@ def leaks(df: DataFrame, other: DataFrame, keys: Sequence[str], row_id: str) ->
     return mine.join(theirs, "d", "left_semi").select(row_id)
 
 
+def _word_hashes(text: Column) -> Column:
+    """Lower-case runs of letters and digits, hashed in order."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+    return F.transform(found, lambda w: F.xxhash64(w))
+
+
+def _windows(words: Column, n: Column, name: Column) -> Column:
+    """Keys of all runs of ``n`` words, as ``name`` and 96 bits of hash."""
+
+    def key(i: Column) -> Column:
+        run = F.slice(words, i, n)
+        return F.struct(name.alias("n"), F.xxhash64(run).alias("a"), F.hash(run).alias("b"))
+
+    none = F.array().cast("array<struct<n: int, a: bigint, b: int>>")
+    return F.when((n > 0) & (F.size(words) >= n), F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), key)).otherwise(none)
+
+
+def passage_leaks(df: DataFrame, other: DataFrame, text: str, row_id: str) -> DataFrame:
+    """Ids of the rows whose text shares a passage with a text of ``other``:
+    ``PASSAGE`` words in a row, whatever their case, marks and line breaks. A
+    text of ``other`` with fewer words must occur whole; below ``LEAST`` words
+    it must be all of the row's text. Once per id."""
+    theirs = other.select(_word_hashes(other[text]).alias("words")).withColumn("size", F.size("words"))
+    length = F.least("size", F.lit(PASSAGE))
+    name = F.when(F.col("size") < LEAST, 0).otherwise(length)
+    # at most one value for each of LEAST to PASSAGE
+    lengths = sorted(r["n"] for r in theirs.where(F.col("size") >= LEAST).select(length.alias("n")).distinct().collect())
+    wanted = theirs.select(F.inline(_windows(F.col("words"), length, name))).distinct()
+
+    def keys(words: Column) -> Column:
+        whole = F.when(F.size(words) < LEAST, F.size(words)).otherwise(0)
+        return F.concat(_windows(words, whole, F.lit(0)), *[_windows(words, F.lit(n), F.lit(n)) for n in lengths])
+
+    # bound once per row by the outer lambda
+    own = F.transform(F.array(_word_hashes(df[text])), keys)[0]
+    return lookup_join(df.select(row_id, F.inline(own)), wanted, KEY, "left_semi").select(row_id).distinct()
+
+
 def split_leaks(rows: DataFrame, keys: Sequence[str], row_id: str = "rec_id") -> DataFrame:
     """Rows whose key occurs in more than one split: ``row_id, split, splits``."""
     marked = rows.select(row_id, "split", digest(*[rows[k] for k in keys]).alias("d"))

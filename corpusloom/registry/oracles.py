@@ -489,6 +489,17 @@ def _audits() -> None:
         SELECT DISTINCT doc_id
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
         WHERE line IN (SELECT unnest(string_split(text, chr(10))) FROM benchmark)"""
+    ORACLES["benchmark_leaks"] = r"""
+        WITH b AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+        d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+        sized AS (SELECT w, least(len(w), 13) AS n FROM b),
+        wanted AS (SELECT DISTINCT n, array_to_string(w[i:i + n - 1], ' ') AS run
+                   FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM sized WHERE n >= 8)),
+        own AS (SELECT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS run
+                FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                      FROM d, (SELECT DISTINCT n FROM wanted) WHERE len(w) >= n))
+        SELECT DISTINCT doc_id FROM own SEMI JOIN wanted USING (n, run)
+        UNION SELECT doc_id FROM d WHERE len(w) BETWEEN 1 AND 7 AND w IN (SELECT w FROM b)"""
     ORACLES["split_leak_audit"] = with_(*ON_POOL, SPLIT) + """
         , spread AS (SELECT upper(sql) AS s, string_agg(DISTINCT split, ',' ORDER BY split) AS splits
                      FROM labelled GROUP BY upper(sql) HAVING count(DISTINCT split) > 1)

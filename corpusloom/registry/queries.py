@@ -485,12 +485,19 @@ def duplicate_documents(spark, sf_dir):
 
 @register
 def leak_audit(spark, sf_dir):
-    """Lines of documents that are a whole benchmark text."""
+    """Documents with a line that is a line of a benchmark text, to the letter;
+    leaked passages are found by ``benchmark_leaks``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     wanted = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("line"))
     return audits.leaks(docs, wanted, ["line"], "doc_id").distinct()
 
 
+@register
+def benchmark_leaks(spark, sf_dir):
+    """Documents that share a passage with a benchmark text."""
+    return audits.passage_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "text", "doc_id")
+
+
 @register
 def split_leak_audit(spark, sf_dir):
     rows = labelled(spark, sf_dir).select("rec_id", "split", F.upper("sql").alias("sql"))

@@ -20,6 +20,28 @@ def test_leaks(spark):
     assert sorted(r["id"] for r in audits.leaks(df, other, ["t"], "id").collect()) == [1, 4]
 
 
+def test_passages_leak_inside_and_across_lines(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [
+        (1, f"before it {item} and after it"),
+        (2, item.replace("w7 ", "W7,\n").upper()),
+        (3, "x " + " ".join(item.split()[4:17]) + " y"),
+        (4, "x " + " ".join(item.split()[4:16]) + " y"),
+        (5, "Thing.\nw0 w1"),
+        (6, "so: One two three four; five six seven eight nine!"),
+        (7, "one two three four five six seven eight"),
+        (8, "Few words."),
+        (9, "a few words more"),
+        (10, None), (11, ""), (1, item),
+    ]
+    df = spark.createDataFrame(rows, "id int, t string")
+    texts = [(item,), ("Thing.",), ("one two three four five six seven eight nine",), ("few words",), (None,), ("",)]
+    other = spark.createDataFrame(texts, "t string")
+    got = audits.passage_leaks(df, other, "t", "id").collect()
+    assert sorted(r["id"] for r in got) == [1, 2, 3, 6, 8]
+    assert audits.passage_leaks(df, other.limit(0), "t", "id").count() == 0
+
+
 def test_split_leaks(spark):
     rows = [(1, "a", "train"), (2, "a", "test"), (3, "b", "train"), (4, "b", "train"), (5, "c", "test")]
     df = spark.createDataFrame(rows, "rec_id int, q string, split string")
