@@ -7,12 +7,11 @@ so that they neither recurse nor rescan a long run of one kind of character.
 
 *Disclosing terms.* An entity is the value of a base span. Its information
 content is ``IC = -log2(df / N)``; a term next to it has ``PMI = log2(N * n /
-(df_entity * df_term))``. ``n`` counts the different contexts in which the two
-stand together, so copies of one passage count once; the document frequencies
-cover all documents. A term with ``PMI >= GENERALISE * IC`` tells most of what
+(df_entity * df_term))``. ``N``, ``n`` and both frequencies count different
+texts, so copies of one text count once on every side. A term with ``PMI >= GENERALISE * IC`` tells most of what
 the entity would tell and is generalised in every document that holds the
-entity; with ``PMI >= REMOVE * IC`` it is removed. ``SUPPORT`` contexts are
-needed for evidence.
+entity; with ``PMI >= REMOVE * IC`` it is removed. ``SUPPORT`` texts are needed
+for evidence.
 
 All of it is built-in expressions and joins. Terms come from a window of
 ``WINDOW`` code points around a span, so the pairs grow with the spans, not with
@@ -25,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.llm.common import let, packed
+from corpusloom.operators.joins import lookup_join
 from corpusloom.sources.staging import stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -136,10 +136,21 @@ def found(docs: DataFrame, key: str, text: str) -> DataFrame:
     return stage(rows.withColumn("text", F.when(F.size("base") > 0, F.col("text"))))
 
 
-def term_frequencies(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
-    """``term, df``: how many documents hold each of the ``terms``. Counted
+def different_texts(docs: DataFrame, text: str, held: DataFrame) -> DataFrame:
+    """``text`` of the documents, copies once. Only texts that have copies are
+    shuffled, one per task."""
+    body = docs[f"`{text}`"]
+    rows = docs.select(F.xxhash64(body).alias("digest"), F.coalesce(body, F.lit("")).alias("text"))
+    counts = held.groupBy("digest").agg(F.count(F.lit(1)).alias("times"))
+    marked = lookup_join(rows, counts.where("times > 1").select("digest", F.lit(True).alias("again")), ["digest"], "left")
+    several = marked.where("again").groupBy("digest").agg(F.first("text").alias("text"))
+    return marked.where(F.col("again").isNull()).select("text").union(several.select("text"))
+
+
+def term_frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``term, df``: how many of the ``texts`` hold each of the ``terms``. Counted
     before the join, so that the join sees a row per term, not per occurrence."""
-    own = docs.select(F.explode(F.array_distinct(_term_list(docs[f"`{text}`"]))).alias("term"))
+    own = texts.select(F.explode(F.array_distinct(_term_list(F.col("text")))).alias("term"))
     counts = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # inner: a semi join would be pushed below the count
     return counts.join(terms, "term")
@@ -148,24 +159,21 @@ def term_frequencies(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame, text: str, held: DataFrame) -> DataFrame:
     """``entity, term, share`` for terms that tell at least ``GENERALISE`` of an
     entity's information; ``share`` is PMI / IC."""
-    spans = held.where(F.size("base") > 0).select("key", "digest", "text", F.explode("base").alias("span"))
-    contexts = spans.select(
-        _entity(F.col("span")).alias("entity"),
-        F.struct("key", "digest").alias("doc"),
-        _near(F.col("text"), F.col("span")).alias("terms"),
-    )
-    contexts = stage(contexts.withColumn("context", F.xxhash64("terms")))
-    entities = contexts.groupBy("entity").agg(F.countDistinct("doc").alias("df_entity"))
+    spans = held.where(F.size("base") > 0).select("digest", "text", F.explode("base").alias("span"))
+    contexts = stage(spans.select(
+        _entity(F.col("span")).alias("entity"), "digest", _near(F.col("text"), F.col("span")).alias("terms")
+    ))
+    entities = contexts.groupBy("entity").agg(F.countDistinct("digest").alias("df_entity"))
     together = (
-        contexts.select("entity", "context", F.explode(F.array_distinct("terms")).alias("term"))
+        contexts.select("entity", "digest", F.explode(F.array_distinct("terms")).alias("term"))
         .distinct()
         .groupBy("entity", "term")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= SUPPORT)
     )
     pairs = stage(together.join(entities, "entity"))
-    frequencies = term_frequencies(docs, text, pairs.select("term").distinct())
-    total = F.lit(float(docs.count()))
+    frequencies = term_frequencies(different_texts(docs, text, held), pairs.select("term").distinct())
+    total = F.lit(float(held.select("digest").distinct().count()))
     ic = -F.log2(F.col("df_entity") / total)
     pmi = F.log2(total * F.col("n") / (F.col("df_entity") * F.col("df")))
     scored = pairs.join(frequencies, "term").withColumn("share", F.try_divide(pmi, ic))

@@ -96,6 +96,18 @@ def test_disclosing_terms(secrets):
     assert {t for _, t in told} <= {"zebulon", "note"}
 
 
+def test_copies_count_once_on_every_side(spark):
+    """Three texts in a thousand copies each."""
+    rows = [(1000 * c + i, f"part{c} Zebulon me@x.org") for c in range(3) for i in range(1000)]
+    rows += [(10_000 + i, f"other text {i}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    held = pii.found(docs, "doc_id", "text")
+    told = {r["term"]: r["share"] for r in pii.disclosures(docs, "text", held).collect()}
+    assert told == {"zebulon": pytest.approx(1.0)}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
+    assert clean[0] == clean[999] == "part0  <EMAIL>" and clean[10_007] == "other text 7"
+
+
 def test_sanitised_text(secrets):
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(secrets).collect()}
     assert clean[0] == " 0 alpha0 <EMAIL>  knows beta0 the rest"
