@@ -6,16 +6,17 @@ matches add up to them, so no text is searched twice. The patterns are written
 so that they neither recurse nor rescan a long run of one kind of character.
 
 *Disclosing terms.* An entity is the value of a base span. Its information
-content is ``IC = -log2(df / N)``; a term next to it has ``PMI = log2(N * n /
+content is ``IC = -log2(df / N)``; a term of the same text has ``PMI = log2(N * n /
 (df_entity * df_term))``. ``N``, ``n`` and both frequencies count different
 texts, so copies of one text count once on every side. A term with ``PMI >= GENERALISE * IC`` tells most of what
 the entity would tell and is generalised in every document that holds the
 entity; with ``PMI >= REMOVE * IC`` it is removed. ``SUPPORT`` texts are needed
 for evidence.
 
-All of it is built-in expressions and joins. Terms come from a window of
-``WINDOW`` code points around a span, so the pairs grow with the spans, not with
-their square. Null text is an empty text; repeated rows are judged alike; rows
+All of it is built-in expressions and joins. An entity meets all terms of its
+texts outside base spans. Pairs are bounded before they are made, exactly: ``n``
+is at most ``df_entity``, so an entity needs ``SUPPORT`` texts, and a share of
+``GENERALISE`` needs ``df_term <= N ** (1 - GENERALISE) * df_entity ** GENERALISE``. Null text is an empty text; repeated rows are judged alike; rows
 with a null key are treated like others; an empty table gives an empty result.
 """
 
@@ -40,7 +41,6 @@ NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM = "[\\p{L}\\p{N}]{3,}"
 
-WINDOW = 80
 SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
@@ -115,25 +115,40 @@ def _term_list(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Whole terms next to a span; a term cut by the window is left out."""
-    left = F.substring(text, F.greatest(span["start"] - WINDOW, F.lit(0)) + 1, F.least(span["start"], F.lit(WINDOW)))
-    right = F.substring(text, span["end"] + 1, F.lit(WINDOW))
-    before = F.when(span["start"] > WINDOW, F.regexp_replace(left, "^[\\p{L}\\p{N}]+", "")).otherwise(left)
-    after = F.when(F.length(right) == WINDOW, F.regexp_replace(right, "[\\p{L}\\p{N}]++$", "")).otherwise(right)
-    return F.concat(_term_list(before), _term_list(after))
+def _masked(text: Column, base: Column) -> Column:
+    """The text with blanks in place of base spans, as long as before."""
+
+    def blank(done: Column, s: Column) -> Column:
+        before = F.substring(text, done["at"] + 1, s["start"] - done["at"])
+        gap = F.repeat(F.lit(" "), s["end"] - F.greatest(done["at"], s["start"]))
+        return F.struct(
+            F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["out"], before, gap).alias("out")
+        )
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    rest = lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(base, zero, blank, rest))
+
+
+def _own_terms(text: Column, base: Column) -> Column:
+    """Different terms of a text outside its base spans."""
+    return F.array_distinct(_term_list(_masked(text, base)))
 
 
 def found(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, digest, base, text`` of every row; the text only where it holds
-    base spans. Staged."""
+    """``key, digest, base, text, own`` of every row; text and own terms only where
+    there are base spans. Staged."""
     body = docs[f"`{text}`"]
     rows = docs.select(
         docs[f"`{key}`"].alias("key"),
         F.xxhash64(body).alias("digest"),
         F.coalesce(body, F.lit("")).alias("text"),
     ).select("key", "digest", "text", base_spans(F.col("text")).alias("base"))
-    return stage(rows.withColumn("text", F.when(F.size("base") > 0, F.col("text"))))
+    some = F.size("base") > 0
+    return stage(rows.select(
+        "key", "digest", "base", F.when(some, F.col("text")).alias("text"),
+        F.when(some, _own_terms(F.col("text"), F.col("base"))).alias("own"),
+    ))
 
 
 def different_texts(docs: DataFrame, text: str, held: DataFrame) -> DataFrame:
@@ -150,7 +165,7 @@ def different_texts(docs: DataFrame, text: str, held: DataFrame) -> DataFrame:
 def term_frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, df``: how many of the ``texts`` hold each of the ``terms``. Counted
     before the join, so that the join sees a row per term, not per occurrence."""
-    own = texts.select(F.explode(F.array_distinct(_term_list(F.col("text")))).alias("term"))
+    own = texts.select(F.explode(_own_terms(F.col("text"), base_spans(F.col("text")))).alias("term"))
     counts = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # inner: a semi join would be pushed below the count
     return counts.join(terms, "term")
@@ -159,24 +174,37 @@ def term_frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame, text: str, held: DataFrame) -> DataFrame:
     """``entity, term, share`` for terms that tell at least ``GENERALISE`` of an
     entity's information; ``share`` is PMI / IC."""
-    spans = held.where(F.size("base") > 0).select("digest", "text", F.explode("base").alias("span"))
-    contexts = stage(spans.select(
-        _entity(F.col("span")).alias("entity"), "digest", _near(F.col("text"), F.col("span")).alias("terms")
+    copies = held.where(F.size("base") > 0).select("digest", "base", "own").groupBy("digest")
+    holders = stage(copies.agg(F.first("base").alias("base"), F.first("own").alias("terms")).select(
+        "digest", F.array_distinct(F.transform("base", _entity)).alias("entities"), "terms"
     ))
-    entities = contexts.groupBy("entity").agg(F.countDistinct("digest").alias("df_entity"))
+    owners = holders.select("digest", F.explode("entities").alias("entity"))
+    entities = stage(owners.groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")).where(F.col("df_entity") >= SUPPORT))
+    largest = entities.agg(F.max("df_entity")).first()[0]
+    if largest is None:
+        return docs.sparkSession.createDataFrame([], "entity string, term string, share double")
+    of = lookup_join(owners, entities, ["entity"], staged=True).groupBy("digest").agg(
+        F.collect_list(F.struct("entity", "df_entity")).alias("of")
+    )
+    owned = stage(holders.select("digest", "terms").join(of, "digest").select("of", F.explode("terms").alias("term")))
+    several = owned.groupBy("term").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= SUPPORT).select("term")
+    frequencies = term_frequencies(different_texts(docs, text, held), several)
+    total = F.lit(float(held.select("digest").distinct().count()))
+
+    def rare(df_entity: Column) -> Column:
+        # a little more than the bound, as the share is tested below
+        return F.col("df") <= 1.000001 * F.pow(total, F.lit(1 - GENERALISE)) * F.pow(df_entity, F.lit(GENERALISE))
+
+    pairs = lookup_join(owned, frequencies.where(rare(F.lit(float(largest)))), ["term"]).select("term", "df", F.inline("of"))
     together = (
-        contexts.select("entity", "digest", F.explode(F.array_distinct("terms")).alias("term"))
-        .distinct()
-        .groupBy("entity", "term")
+        pairs.where(rare(F.col("df_entity").cast("double")))
+        .groupBy("entity", "df_entity", "term", "df")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= SUPPORT)
     )
-    pairs = stage(together.join(entities, "entity"))
-    frequencies = term_frequencies(different_texts(docs, text, held), pairs.select("term").distinct())
-    total = F.lit(float(held.select("digest").distinct().count()))
     ic = -F.log2(F.col("df_entity") / total)
     pmi = F.log2(total * F.col("n") / (F.col("df_entity") * F.col("df")))
-    scored = pairs.join(frequencies, "term").withColumn("share", F.try_divide(pmi, ic))
+    scored = together.withColumn("share", F.try_divide(pmi, ic))
     return stage(scored.where(F.col("share") >= GENERALISE).select("entity", "term", "share"))
 
 
@@ -198,9 +226,6 @@ def flagged(docs: DataFrame, text: str, held: DataFrame) -> DataFrame:
 def _term_spans(text: Column, base: Column, terms: Column) -> Column:
     """Spans of the given terms outside base spans."""
 
-    def outside(s: Column) -> Column:
-        return ~F.exists(base, lambda b: (s["start"] < b["end"]) & (s["end"] > b["start"]))
-
     def named(s: Column) -> Column:
         removed = F.try_element_at(terms, F.lower(s["value"])) >= REMOVE
         return F.struct(
@@ -211,10 +236,8 @@ def _term_spans(text: Column, base: Column, terms: Column) -> Column:
             s["value"].alias("value"),
         )
 
-    hits = F.filter(
-        _located(text, TERM, 4, "generalise"),
-        lambda s: F.array_contains(F.map_keys(terms), F.lower(s["value"])) & outside(s),
-    )
+    located = let(_masked(text, base), lambda masked: _located(masked, TERM, 4, "generalise"))
+    hits = F.filter(located, lambda s: F.array_contains(F.map_keys(terms), F.lower(s["value"])))
     return F.transform(hits, named)
 
 

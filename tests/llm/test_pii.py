@@ -108,6 +108,16 @@ def test_copies_count_once_on_every_side(spark):
     assert clean[0] == clean[999] == "part0  <EMAIL>" and clean[10_007] == "other text 7"
 
 
+def test_terms_far_from_the_entity(spark):
+    far = "und so weiter " * 30
+    rows = [(i, f"Zebulon {far} part{i} me@x.org 日本語me@x.org") for i in range(3)]
+    rows += [(10 + i, f"und so weiter other text {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
+    assert clean[0] == f" {far} part0 <EMAIL> <EMAIL>"
+    assert clean[17] == "und so weiter other text 7"
+
+
 def test_sanitised_text(secrets):
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(secrets).collect()}
     assert clean[0] == " 0 alpha0 <EMAIL>  knows beta0 the rest"
