@@ -10,7 +10,7 @@ content is ``IC = -log2(df / N)``; a term of the same text has ``PMI = log2(N *
 (df_entity * df_term))``. ``N``, ``n`` and both frequencies count different
 texts, so copies of one text count once on every side. A term with ``PMI >= GENERALISE * IC`` tells most of what
 the entity would tell and is generalised in every document that holds the
-entity; with ``PMI >= REMOVE * IC`` it is removed. ``SUPPORT`` texts are needed
+term, with the entity or without it; with ``PMI >= REMOVE * IC`` it is removed. ``SUPPORT`` texts are needed
 for evidence.
 
 All of it is built-in expressions and joins. An entity meets all terms of its
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.llm.common import let, packed
-from corpusloom.operators.joins import lookup_join
+from corpusloom.operators.joins import fits_broadcast, lookup_join
 from corpusloom.sources.staging import stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -132,12 +132,12 @@ def _masked(text: Column, base: Column) -> Column:
 
 def _own_terms(text: Column, base: Column) -> Column:
     """Different terms of a text outside its base spans."""
-    return F.array_distinct(_term_list(_masked(text, base)))
+    return let(base, lambda spans: F.array_distinct(_term_list(_masked(text, spans))))
 
 
 def found(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, digest, base, text, own`` of every row; text and own terms only where
-    there are base spans. Staged."""
+    """``key, digest, base, own`` of every row; its own terms only where there are
+    base spans. Staged."""
     body = docs[f"`{text}`"]
     rows = docs.select(
         docs[f"`{key}`"].alias("key"),
@@ -146,8 +146,7 @@ def found(docs: DataFrame, key: str, text: str) -> DataFrame:
     ).select("key", "digest", "text", base_spans(F.col("text")).alias("base"))
     some = F.size("base") > 0
     return stage(rows.select(
-        "key", "digest", "base", F.when(some, F.col("text")).alias("text"),
-        F.when(some, _own_terms(F.col("text"), F.col("base"))).alias("own"),
+        "key", "digest", "base", F.when(some, _own_terms(F.col("text"), F.col("base"))).alias("own"),
     ))
 
 
@@ -208,14 +207,17 @@ def disclosures(docs: DataFrame, text: str, held: DataFrame) -> DataFrame:
     return stage(scored.where(F.col("share") >= GENERALISE).select("entity", "term", "share"))
 
 
-def flagged(docs: DataFrame, text: str, held: DataFrame) -> DataFrame:
-    """``key, digest, terms``: disclosing terms of the documents that hold the
-    entity, with the largest share of each."""
-    told = disclosures(docs, text, held)
-    owners = held.where(F.size("base") > 0).select(
-        "key", "digest", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")
+def flagged(docs: DataFrame, key: str, text: str, held: DataFrame) -> DataFrame:
+    """``key, digest, terms``: disclosing terms of every document that holds any,
+    with the largest share of each."""
+    told = disclosures(docs, text, held).groupBy("term").agg(F.max("share").alias("share"))
+    body = docs[f"`{text}`"]
+    rows = docs.select(
+        docs[f"`{key}`"].alias("key"), F.xxhash64(body).alias("digest"), F.coalesce(body, F.lit("")).alias("text")
     )
-    per_term = owners.join(told, "entity").groupBy("key", "digest", "term").agg(F.max("share").alias("share"))
+    own = rows.select("key", "digest", F.explode(_own_terms(F.col("text"), base_spans(F.col("text")))).alias("term"))
+    # repeated rows are one
+    per_term = lookup_join(own, told, ["term"]).groupBy("key", "digest", "term").agg(F.max("share").alias("share"))
     return stage(
         per_term.groupBy("key", "digest").agg(
             F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms")
@@ -279,19 +281,23 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, cut, rest))
 
 
+def _with_terms(rows: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows ``k, d, ...`` with the disclosing terms of their documents."""
+    terms = flagged(docs, key, text, found(docs, key, text))
+    few = F.broadcast(terms) if fits_broadcast(terms) else terms
+    same = F.col("w.k").eqNullSafe(F.col("t.key")) & (F.col("w.d") == F.col("t.digest"))
+    return rows.alias("w").join(few.alias("t"), same, "left")
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, counts per kind, digest of the base spans, all spans."""
-    held = found(docs, key, text)
-    terms = flagged(docs, text, held)
-    joined = held.alias("h").join(
-        terms.alias("t"), F.col("h.key").eqNullSafe(F.col("t.key")) & (F.col("h.digest") == F.col("t.digest")), "left"
-    )
-    rows = joined.select(
-        F.col("h.key").alias("key"), "base", _all_spans(F.col("text"), F.col("base"), F.col("terms")).alias("spans")
-    )
+    body = docs[f"`{text}`"]
+    given = docs.select(docs[f"`{key}`"].alias("k"), F.xxhash64(body).alias("d"), F.coalesce(body, F.lit("")).alias("body"))
+    spanned = _with_terms(given, docs, key, text).select("k", "body", "terms", base_spans(F.col("body")).alias("base"))
+    rows = spanned.select("k", "base", _all_spans(F.col("body"), F.col("base"), F.col("terms")).alias("spans"))
     count = lambda no: F.size(F.filter("base", lambda s: s["no"] == no)).cast("long")
     return rows.select(
-        F.col("key").alias(key),
+        F.col("k").alias(key),
         *[count(no).alias(f"n_{kind}") for no, kind in enumerate(KINDS)],
         F.sha2(_written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         _written(F.col("spans")).alias("spans"),
@@ -301,13 +307,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str | None = None) -> DataFrame:
     """The documents with personal data replaced in ``text``; ``n_chars`` names
     a column that holds the length of the text, if there is one."""
-    terms = flagged(docs, text, found(docs, key, text))
     body = docs[f"`{text}`"]
     whole = packed(docs, k=docs[f"`{key}`"], d=F.xxhash64(body), body=F.coalesce(body, F.lit("")))
-    joined = whole.alias("w").join(
-        terms.alias("t"), F.col("w.k").eqNullSafe(F.col("t.key")) & (F.col("w.d") == F.col("t.digest")), "left"
-    )
-    spanned = joined.select("row", "body", "terms", base_spans(F.col("body")).alias("base"))
+    spanned = _with_terms(whole, docs, key, text).select("row", "body", "terms", base_spans(F.col("body")).alias("base"))
     spans = spanned.select("row", "body", _all_spans(F.col("body"), F.col("base"), F.col("terms")).alias("spans"))
     clean = spans.select("row", F.when(F.size("spans") > 0, redacted(F.col("body"), F.col("spans"))).alias("clean"))
     columns = []

@@ -118,6 +118,16 @@ def test_terms_far_from_the_entity(spark):
     assert clean[17] == "und so weiter other text 7"
 
 
+def test_terms_without_the_entity(spark):
+    rows = [(i, f"part{i} Zebulon me@x.org") for i in range(9)]
+    rows += [(50, "so said Zebulon"), (51, "write to zebulon@y.org")]
+    rows += [(100 + i, f"other text {i}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
+    assert clean[50] == "so said " and clean[51] == "write to <EMAIL>" and clean[0] == "part0  <EMAIL>"
+    assert {r["spans"] for r in pii.scan(docs).where("doc_id = 50").collect()} == {"remove:8:15"}
+
+
 def test_sanitised_text(secrets):
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(secrets).collect()}
     assert clean[0] == " 0 alpha0 <EMAIL>  knows beta0 the rest"
