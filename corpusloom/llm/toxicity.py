@@ -9,7 +9,8 @@ Levenshtein automaton of the allowed distance runs over the trie: a state is
 the row of edit distances between the word and the path to a node, and a branch
 is left when all its distances exceed the bound. So ``m0ron`` is found without
 comparing it to every entry. Only words that agree with an entry in its first
-or its last half can be one edit away; others are not tried.
+or its last half can be one edit away; others are not tried. For a beginning the
+distance is that to the nearest beginning of a longer word.
 
 *Context.* Every hit is weighed by the words around it: quotation marks and
 verbs of reporting speak for a quotation, address in the second person,
@@ -45,8 +46,6 @@ from corpusloom.sources.staging import stage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_LABELLED = 20_000
-MAX_TERMS = 500
-CANDIDATES = 20_000
 MIN_SHARE = 0.9
 MAIN_WORD = 0.7
 MIN_SUPPORT = 0.01
@@ -90,6 +89,11 @@ class Lexicon:
         # one edit leaves the first or the last half of an entry as it is
         self.heads = {w[: len(w) // 2] for w in long}
         self.tails = {w[len(w) // 2 :] for w in long}
+        # the last half of a beginning is inside the word, moved by one place at most
+        families = [p for p in prefixes if len(p) >= FUZZY_LENGTH]
+        self.heads |= {p[: len(p) // 2] for p in families}
+        self.middles = {p[len(p) // 2 :] for p in families}
+        self.middle_places = sorted({(len(p) // 2 + d, len(p) - len(p) // 2) for p in families for d in (-1, 0, 1)})
         self.head_sizes = sorted({len(h) for h in self.heads})
         self.tail_sizes = sorted({len(t) for t in self.tails})
         self.memo: dict[str, tuple[str, int] | None] = {}
@@ -107,7 +111,7 @@ class Lexicon:
     def plausible(self, word: str) -> bool:
         return any(word[:n] in self.heads for n in self.head_sizes) or any(
             word[-n:] in self.tails for n in self.tail_sizes
-        )
+        ) or any(word[at : at + n] in self.middles for at, n in self.middle_places)
 
     def near(self, word: str) -> tuple[str, int] | None:
         """The closest entry within the bound (first in the alphabet on ties)."""
@@ -123,6 +127,8 @@ class Lexicon:
                     continue
                 if child.word is not None and len(child.word) >= FUZZY_LENGTH and step[-1] <= self.edits:
                     best = min(best or (99, ""), (step[-1], child.word))
+                if child.prefix is not None and FUZZY_LENGTH <= len(child.prefix) < len(word):
+                    best = min(best or (99, ""), (min(step), child.prefix + "*"))
                 stack.append((child, step))
         return best and (best[1], best[0])
 
@@ -198,20 +204,21 @@ def choose_terms(counted: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
     """Words and beginnings (``abcd*``) from candidates with their counts, the
     widest first. A beginning that is mostly one word gives way to that word."""
     words: list[str] = []
-    prefixes: list[str] = []
+    chosen: set[str] = set()
     whole = {t: n for t, n in counted if not t.endswith("*")}
-    main = {
-        t: max((n for w, n in whole.items() if w.startswith(t[:-1])), default=0) for t, _ in counted if t.endswith("*")
-    }
+    main: dict[str, int] = {}
+    for word, n in whole.items():
+        for size in range(1, len(word) + 1):
+            main[word[:size]] = max(main.get(word[:size], 0), n)
     for term, count in sorted(counted, key=lambda c: (-c[1], -len(c[0]), c[0])):
         stem = term.rstrip("*")
-        if any(stem.startswith(p) for p in prefixes) or len(words) + len(prefixes) >= MAX_TERMS:
+        if any(stem[:size] in chosen for size in range(1, len(stem) + 1)):
             continue
         if not term.endswith("*"):
             words.append(stem)
-        elif main[term] < MAIN_WORD * count:
-            prefixes.append(stem)
-    return sorted(words), sorted(prefixes)
+        elif main.get(stem, 0) < MAIN_WORD * count:
+            chosen.add(stem)
+    return sorted(words), sorted(chosen)
 
 
 def learn_lexicon(texts: DataFrame) -> tuple[list[str], list[str]]:
@@ -229,8 +236,6 @@ def learn_lexicon(texts: DataFrame) -> tuple[list[str], list[str]]:
         .groupBy("term")
         .agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n"))
         .where((F.col("toxic") >= support) & ((F.col("toxic") + 0.5) / (F.col("n") + 1) >= MIN_SHARE))
-        .orderBy(F.desc("toxic"), "term")
-        .limit(CANDIDATES)
         .collect()
     )
     return choose_terms([(r["term"], r["toxic"]) for r in counted])

@@ -46,6 +46,27 @@ def test_beginnings_stand_for_families():
     assert lexicon.find("lowe") is None
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.sampled_from(["lowei", "gammelk"]), st.lists(st.tuples(st.integers(0, 9), st.sampled_from("aegiklmow0"), st.booleans()), max_size=2), st.text("aekx", max_size=4))
+def test_misspelt_families_equal_edit_distance(family, changes, rest):
+    word = family + rest
+    for at, letter, insert in changes:
+        at = min(at, len(word))
+        word = word[:at] + letter + word[at + (not insert) :]
+    families = ["gammelk", "lowei", "scum"]
+    expected = next(((p + "*", 0) for p in families if word.startswith(p)), None)
+    if expected is None:
+        longer = [p for p in families if 5 <= len(p) < len(word)]
+        close = [(min(distance(word[:i], p) for i in range(len(word) + 1)), p + "*") for p in longer]
+        expected = min(((p, d) for d, p in close if d <= 1), key=lambda c: c[::-1], default=None)
+    assert toxicity.Lexicon([], families).find(word) == expected
+
+
+def test_no_term_is_cut_by_number():
+    counted = [(f"term{i:04d}", 50) for i in range(2000)]
+    assert len(toxicity.choose_terms(counted)[0]) == 2000
+
+
 def test_choice_of_terms():
     counted = [("idio*", 100), ("idiot", 98), ("lowei*", 80), ("loweia", 30), ("loweib*", 20), ("scum", 40)]
     assert toxicity.choose_terms(counted) == (["idiot", "scum"], ["lowei"])
