@@ -3,37 +3,47 @@
 *Base spans.* Emails, IP addresses, card and phone numbers by pattern and
 check digit. Offsets are code points: the pieces between the matches and the
 matches add up to them, so no text is searched twice. The patterns are written
-so that they neither recurse nor rescan a long run of one kind of character.
-
-*Disclosing terms.* An entity is the value of a base span. Its information
-content is ``IC = -log2(df / N)``; a term of the same text has ``PMI = log2(N * n /
-(df_entity * df_term))``. ``N``, ``n`` and both frequencies count different
-texts, so copies of one text count once on every side. A term with ``PMI >= GENERALISE * IC`` tells most of what
-the entity would tell and is generalised in every document that holds the
-term, with the entity or without it; with ``PMI >= REMOVE * IC`` it is removed. ``SUPPORT`` texts are needed
-for evidence.
+so that they neither recurse nor rescan a long run of one kind of character,
+and positions are summed in blocks, so the cost of a text grows with its length
+however many matches it has.
+
+*Disclosing terms.* An entity is the value of a base span, or what its value
+belongs to: the mail domain, the network, the card's issuer, the block of phone
+numbers. Its information content is ``IC = -log2(df / N)``; a term of the same
+text has ``PMI = log2(N * n / (df_entity * df_term))``. ``N``, ``n`` and both
+frequencies count different texts, so copies of one text count once on every
+side. A term with ``PMI >= GENERALISE * IC`` tells most of what the entity would
+tell and is generalised in every document that holds the term, with the entity
+or without it; with ``PMI >= REMOVE * IC`` it is removed. ``SUPPORT`` texts are
+needed for evidence, ``GROUP_SUPPORT`` for a value that stands for many.
 
 All of it is built-in expressions and joins. An entity meets all terms of its
-texts outside base spans. Pairs are bounded before they are made, exactly: ``n``
-is at most ``df_entity``, so an entity needs ``SUPPORT`` texts, and a share of
-``GENERALISE`` needs ``df_term <= N ** (1 - GENERALISE) * df_entity ** GENERALISE``. Null text is an empty text; repeated rows are judged alike; rows
+texts outside base spans, after exact bounds have removed most of both. ``n`` is
+at most ``df_entity``, so an entity needs its support; a share of ``GENERALISE``
+needs ``df_term <= N ** (1 - GENERALISE) * df_entity ** GENERALISE``, and the
+frequency among texts with base spans is already too high for common terms. The
+entities of one text are dealt to blocks, so a directory of addresses is no
+single task. Null text is an empty text; repeated rows are judged alike; rows
 with a null key are treated like others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.llm.common import let, packed
-from corpusloom.operators.joins import fits_broadcast, lookup_join
+from corpusloom.operators.joins import lookup_join
 from corpusloom.sources.staging import stage
 
 KINDS = ("email", "ip", "card", "phone")
-# a match starts where its run of characters or the search starts
+# a match starts where its run of characters or the search starts; a run of
+# fewer than 14 digits holds no card
 PATTERNS = {
     "email": "(?:(?<![A-Za-z0-9._%+-])|\\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++",
     "ip": "(?:(?<![0-9])|\\G)[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++",
-    "card": "[0-9](?:[\\x20-]?[0-9])++",
+    "card": "[0-9](?:[\\x20-]?[0-9]){13,}+",
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
 # a text without this cannot match
@@ -42,9 +52,16 @@ BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM = "[\\p{L}\\p{N}]{3,}"
 
 SUPPORT = 3
+GROUP_SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
 
+# Items of an array that are summed in one go, code points of a piece of text,
+# entities of a text that meet its terms in one task.
+BLOCK = 128
+PIECE = 4096
+ENTITIES = 64
+
 SPAN = "struct<start: int, no: int, kind: string, end: int, value: string>"
 
 
@@ -69,23 +86,44 @@ def _passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """``merge`` of every prefix of an array of integers from 0 up. An array
+    that grows by one item is copied each time, so only short ones do."""
+    none = F.array().cast("array<int>")
+
+    def prefixes(part: Column, start: Column) -> Column:
+        def add(done: Column, x: Column) -> Column:
+            at = merge(done["at"], x)
+            return F.struct(at.alias("at"), F.concat(done["out"], F.array(at)).alias("out"))
+
+        return F.aggregate(part, F.struct(start.alias("at"), none.alias("out")), add, lambda done: done["out"])
+
+    def blocks(all_: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(all_), F.lit(BLOCK))
+        totals = F.transform(starts, lambda i: F.aggregate(F.slice(all_, i, F.lit(BLOCK)), F.lit(0), merge))
+        return let(prefixes(totals, F.lit(0)), lambda before: F.flatten(F.transform(starts, lambda i, b: prefixes(
+            F.slice(all_, i, F.lit(BLOCK)), F.when(b == 0, F.lit(0)).otherwise(F.get(before, b - 1))
+        ))))
+
+    return let(values, lambda all_: F.when(F.size(all_) == 0, none)
+               .when(F.size(all_) <= BLOCK, prefixes(all_, F.lit(0))).otherwise(blocks(all_)))
+
+
 def _located(text: Column, pattern: str, no: int, kind: str) -> Column:
     """All matches as spans, from the lengths of matches and gaps."""
     none = F.array().cast(f"array<{SPAN}>")
 
+    def span(end: Column, match: Column) -> Column:
+        start = end - F.length(match)
+        return F.struct(
+            start.alias("start"), F.lit(no).alias("no"), F.lit(kind).alias("kind"), end.alias("end"),
+            match.alias("value"),
+        )
+
     def spans(matches: Column, gaps: Column) -> Column:
-        def add(done: Column, m: Column) -> Column:
-            start = done["at"] + F.length(m["gap"])
-            end = start + F.length(m["value"])
-            span = F.struct(
-                start.alias("start"), F.lit(no).alias("no"), F.lit(kind).alias("kind"), end.alias("end"),
-                m["value"].alias("value"),
-            )
-            return F.struct(end.alias("at"), F.concat(done["out"], F.array(span)).alias("out"))
-
-        pairs = F.transform(matches, lambda m, i: F.struct(gaps[i].alias("gap"), m.alias("value")))
-        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        return F.aggregate(pairs, zero, add, lambda done: done["out"])
+        lengths = F.transform(matches, lambda m, i: F.length(m) + F.length(gaps[i]))
+        ends = running(lengths, lambda a, b: a + b)
+        return let(ends, lambda end: F.transform(matches, lambda m, i: span(end[i], m)))
 
     return let(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
@@ -106,211 +144,235 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*[of(no, kind) for no, kind in enumerate(KINDS)]))
 
 
-def _entity(span: Column) -> Column:
-    plain = F.when(span["no"] >= 2, F.regexp_replace(span["value"], "[^0-9]", "")).otherwise(F.lower(span["value"]))
-    return F.concat_ws(":", span["kind"], plain)
+def _entities(span: Column) -> Column:
+    """The value of a span and the group it belongs to."""
+    digits = F.regexp_replace(span["value"], "[^0-9]", "")
+    plain = F.when(span["no"] >= 2, digits).otherwise(F.lower(span["value"]))
+    group = (
+        F.when(span["no"] == 0, F.concat(F.lit("domain:"), F.substring_index(plain, "@", -1)))
+        .when(span["no"] == 1, F.concat(F.lit("network:"), F.substring_index(plain, ".", 3)))
+        .when(span["no"] == 2, F.concat(F.lit("issuer:"), F.substring(plain, 1, 6)))
+        .otherwise(F.concat(F.lit("block:"), F.substring(plain, F.lit(1), F.length(plain) - 4)))
+    )
+    return F.array(F.concat_ws(":", span["kind"], plain), group)
 
 
-def _term_list(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+def _rewritten(text: Column, spans: Column, written: Callable[[Column, Column, Callable], Column]) -> Column:
+    """The text with ``written(span, at, cut)`` in place of every span; ``at`` is
+    the end of the spans before, ``cut`` takes code points out of the text."""
 
+    def whole(pieces: Column, all_: Column, reached: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+            around = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+            return F.when(b <= a, F.lit("")).otherwise(F.substring(around, a - first * PIECE + 1, b - a))
 
-def _masked(text: Column, base: Column) -> Column:
-    """The text with blanks in place of base spans, as long as before."""
+        def piece(s: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0)).otherwise(F.get(reached, i - 1))
+            return let(before, lambda at: F.concat(cut(at, s["start"]), written(s, at, cut)))
 
-    def blank(done: Column, s: Column) -> Column:
-        before = F.substring(text, done["at"] + 1, s["start"] - done["at"])
-        gap = F.repeat(F.lit(" "), s["end"] - F.greatest(done["at"], s["start"]))
-        return F.struct(
-            F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["out"], before, gap).alias("out")
-        )
+        return F.concat(F.array_join(F.transform(all_, piece), ""), cut(F.element_at(reached, -1), F.length(text)))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}+"), F.lit(0))
+    return F.when(F.size(spans) == 0, text).otherwise(let(spans, lambda all_: let(
+        running(F.transform(all_, lambda s: s["end"]), lambda a, b: F.greatest(a, b)),
+        lambda reached: let(pieces, lambda p: whole(p, all_, reached)),
+    )))
+
+
+def _term_text(text: Column, base: Column) -> Column:
+    """The text in lower case with blanks in place of base spans, as long as
+    before: of all letters only the dotted capital I would grow."""
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(base, zero, blank, rest))
+    def blank(s: Column, at: Column, cut: Callable) -> Column:
+        return F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(at, s["start"])))
+
+    return F.lower(F.translate(_rewritten(text, base, blank), "\u0130", "i"))
 
 
 def _own_terms(text: Column, base: Column) -> Column:
     """Different terms of a text outside its base spans."""
-    return let(base, lambda spans: F.array_distinct(_term_list(_masked(text, spans))))
+    return F.array_distinct(F.regexp_extract_all(_term_text(text, base), F.lit(TERM), F.lit(0)))
+
+
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, digest, text``; a null text is an empty one."""
+    body = F.coalesce(docs[f"`{text}`"], F.lit(""))
+    return docs.select(docs[f"`{key}`"].alias("key"), F.md5(body.cast("binary")).alias("digest"), body.alias("text"))
 
 
 def found(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key, digest, base, own`` of every row; its own terms only where there are
     base spans. Staged."""
-    body = docs[f"`{text}`"]
-    rows = docs.select(
-        docs[f"`{key}`"].alias("key"),
-        F.xxhash64(body).alias("digest"),
-        F.coalesce(body, F.lit("")).alias("text"),
-    ).select("key", "digest", "text", base_spans(F.col("text")).alias("base"))
+    rows = _texts(docs, key, text).select("key", "digest", "text", base_spans(F.col("text")).alias("base"))
     some = F.size("base") > 0
     return stage(rows.select(
         "key", "digest", "base", F.when(some, _own_terms(F.col("text"), F.col("base"))).alias("own"),
     ))
 
 
-def different_texts(docs: DataFrame, text: str, held: DataFrame) -> DataFrame:
-    """``text`` of the documents, copies once. Only texts that have copies are
-    shuffled, one per task."""
-    body = docs[f"`{text}`"]
-    rows = docs.select(F.xxhash64(body).alias("digest"), F.coalesce(body, F.lit("")).alias("text"))
-    counts = held.groupBy("digest").agg(F.count(F.lit(1)).alias("times"))
-    marked = lookup_join(rows, counts.where("times > 1").select("digest", F.lit(True).alias("again")), ["digest"], "left")
-    several = marked.where("again").groupBy("digest").agg(F.first("text").alias("text"))
-    return marked.where(F.col("again").isNull()).select("text").union(several.select("text"))
+def _support(entity: Column) -> Column:
+    return F.when(entity.rlike("^(domain|network|issuer|block):"), GROUP_SUPPORT).otherwise(SUPPORT)
 
 
-def term_frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, df``: how many of the ``texts`` hold each of the ``terms``. Counted
-    before the join, so that the join sees a row per term, not per occurrence."""
-    own = texts.select(F.explode(_own_terms(F.col("text"), base_spans(F.col("text")))).alias("term"))
-    counts = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # inner: a semi join would be pushed below the count
-    return counts.join(terms, "term")
-
-
-def disclosures(docs: DataFrame, text: str, held: DataFrame) -> DataFrame:
-    """``entity, term, share`` for terms that tell at least ``GENERALISE`` of an
-    entity's information; ``share`` is PMI / IC."""
+def candidates(held: DataFrame, total: int) -> DataFrame:
+    """``entity, df_entity, term, n`` of pairs that may tell enough, by what the
+    texts with base spans say alone. Staged."""
     copies = held.where(F.size("base") > 0).select("digest", "base", "own").groupBy("digest")
     holders = stage(copies.agg(F.first("base").alias("base"), F.first("own").alias("terms")).select(
-        "digest", F.array_distinct(F.transform("base", _entity)).alias("entities"), "terms"
-    ))
-    owners = holders.select("digest", F.explode("entities").alias("entity"))
-    entities = stage(owners.groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")).where(F.col("df_entity") >= SUPPORT))
+        "digest", F.array_distinct(F.flatten(F.transform("base", _entities))).alias("entities"), "terms"
+    ).withColumn("blocks", F.ceil(F.size("entities") / ENTITIES).cast("int")))
+    owners = holders.select("digest", "blocks", F.explode("entities").alias("entity"))
+    entities = stage(
+        owners.groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
+        .where(F.col("df_entity") >= _support(F.col("entity")))
+    )
     largest = entities.agg(F.max("df_entity")).first()[0]
     if largest is None:
-        return docs.sparkSession.createDataFrame([], "entity string, term string, share double")
-    of = lookup_join(owners, entities, ["entity"], staged=True).groupBy("digest").agg(
-        F.collect_list(F.struct("entity", "df_entity")).alias("of")
-    )
-    owned = stage(holders.select("digest", "terms").join(of, "digest").select("of", F.explode("terms").alias("term")))
-    several = owned.groupBy("term").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= SUPPORT).select("term")
-    frequencies = term_frequencies(different_texts(docs, text, held), several)
-    total = F.lit(float(held.select("digest").distinct().count()))
-
-    def rare(df_entity: Column) -> Column:
-        # a little more than the bound, as the share is tested below
-        return F.col("df") <= 1.000001 * F.pow(total, F.lit(1 - GENERALISE)) * F.pow(df_entity, F.lit(GENERALISE))
-
-    pairs = lookup_join(owned, frequencies.where(rare(F.lit(float(largest)))), ["term"]).select("term", "df", F.inline("of"))
+        return held.sparkSession.createDataFrame([], "entity string, df_entity long, term string, n long")
+    n = F.lit(float(total))
+
+    def rare(df_term: Column, df_entity: Column) -> Column:
+        # a little more than the bound, as the share is tested at last
+        return df_term <= 1.000001 * F.pow(n, F.lit(1 - GENERALISE)) * F.pow(df_entity, F.lit(GENERALISE))
+
+    block = F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int").alias("block")
+    of = stage(lookup_join(owners, entities, ["entity"], staged=True).select("digest", block, "entity", "df_entity"))
+    judged = lookup_join(holders, of.select("digest").distinct(), ["digest"], "left_semi")
+    spoken = holders.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("m"))
+    least = min(SUPPORT, GROUP_SUPPORT)
+    terms = stage(spoken.where((F.col("m") >= least) & rare(F.col("m").cast("double"), F.lit(float(largest)))))
+    owned = lookup_join(judged.select("digest", "blocks", F.explode("terms").alias("term")), terms, ["term"], staged=True)
+    dealt = owned.select("digest", "term", "m", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    # at most ENTITIES or so of a text meet its terms in one group
     together = (
-        pairs.where(rare(F.col("df_entity").cast("double")))
-        .groupBy("entity", "df_entity", "term", "df")
+        of.join(dealt, ["digest", "block"])
+        .where(rare(F.col("m").cast("double"), F.col("df_entity").cast("double")))
+        .groupBy("entity", "df_entity", "term", "m")
         .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= SUPPORT)
     )
-    ic = -F.log2(F.col("df_entity") / total)
-    pmi = F.log2(total * F.col("n") / (F.col("df_entity") * F.col("df")))
-    scored = together.withColumn("share", F.try_divide(pmi, ic))
-    return stage(scored.where(F.col("share") >= GENERALISE).select("entity", "term", "share"))
+    # the share needs n / df_term >= (df_entity / N) ** (1 - GENERALISE), and df_term is m at least
+    enough = F.col("n") * 1.000001 >= F.col("m") * F.pow(F.col("df_entity") / n, F.lit(1 - GENERALISE))
+    return stage(
+        together.where((F.col("n") >= _support(F.col("entity"))) & enough).select("entity", "df_entity", "term", "n")
+    )
 
 
-def flagged(docs: DataFrame, key: str, text: str, held: DataFrame) -> DataFrame:
-    """``key, digest, terms``: disclosing terms of every document that holds any,
-    with the largest share of each."""
-    told = disclosures(docs, text, held).groupBy("term").agg(F.max("share").alias("share"))
-    body = docs[f"`{text}`"]
-    rows = docs.select(
-        docs[f"`{key}`"].alias("key"), F.xxhash64(body).alias("digest"), F.coalesce(body, F.lit("")).alias("text")
-    )
+def mentions(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """``key, digest, term``: which of the given terms each row's text holds.
+    Staged."""
+    rows = _texts(docs, key, text)
     own = rows.select("key", "digest", F.explode(_own_terms(F.col("text"), base_spans(F.col("text")))).alias("term"))
-    # repeated rows are one
-    per_term = lookup_join(own, told, ["term"]).groupBy("key", "digest", "term").agg(F.max("share").alias("share"))
-    return stage(
-        per_term.groupBy("key", "digest").agg(
-            F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms")
-        )
-    )
+    return stage(lookup_join(own, terms, ["term"]))
 
 
-def _term_spans(text: Column, base: Column, terms: Column) -> Column:
-    """Spans of the given terms outside base spans."""
+def _shares(pairs: DataFrame, said: DataFrame, total: int) -> DataFrame:
+    """``entity, term, share`` of the pairs that tell at least ``GENERALISE``."""
+    frequency = said.groupBy("term").agg(F.count_distinct("digest").alias("df"))
+    n = F.lit(float(total))
+    ic = -F.log2(F.col("df_entity") / n)
+    pmi = F.log2(n * F.col("n") / (F.col("df_entity") * F.col("df")))
+    scored = lookup_join(pairs, frequency, ["term"]).withColumn("share", F.try_divide(pmi, ic))
+    return stage(scored.where(F.col("share") >= GENERALISE).select("entity", "term", "share"))
 
-    def named(s: Column) -> Column:
-        removed = F.try_element_at(terms, F.lower(s["value"])) >= REMOVE
-        return F.struct(
-            s["start"].alias("start"),
-            F.when(removed, 5).otherwise(4).alias("no"),
-            F.when(removed, F.lit("remove")).otherwise(F.lit("generalise")).alias("kind"),
-            s["end"].alias("end"),
-            s["value"].alias("value"),
-        )
 
-    located = let(_masked(text, base), lambda masked: _located(masked, TERM, 4, "generalise"))
-    hits = F.filter(located, lambda s: F.array_contains(F.map_keys(terms), F.lower(s["value"])))
-    return F.transform(hits, named)
+def _different(held: DataFrame) -> int:
+    return held.select("digest").distinct().count()
 
 
-def _all_spans(text: Column, base: Column, terms: Column) -> Column:
-    extra = F.when(terms.isNotNull(), _term_spans(text, base, terms)).otherwise(F.array().cast(f"array<{SPAN}>"))
-    return F.sort_array(F.concat(base, extra))
+def disclosures(docs: DataFrame, text: str, held: DataFrame) -> DataFrame:
+    """``entity, term, share`` for terms that tell at least ``GENERALISE`` of an
+    entity's information; ``share`` is PMI / IC."""
+    total = _different(held)
+    pairs = candidates(held, total)
+    return _shares(pairs, mentions(docs, text, text, pairs.select("term").distinct()), total)
+
+
+def term_spans(docs: DataFrame, key: str, text: str, held: DataFrame) -> DataFrame | None:
+    """``key, digest, extra``: spans of disclosing terms of every document that
+    holds any; ``None`` if there are none. Staged."""
+    total = _different(held)
+    pairs = candidates(held, total)
+    if pairs.isEmpty():
+        return None
+    said = mentions(docs, key, text, pairs.select("term").distinct())
+    told = stage(_shares(pairs, said, total).groupBy("term").agg(F.max("share").alias("share")))
+    if told.isEmpty():
+        return None
+    hit = lookup_join(said, told.select("term"), ["term"], "left_semi").select("key", "digest").distinct()
+    rows = lookup_join(_texts(docs, key, text), hit, ["key", "digest"], "left_semi")
+    plain = _term_text(F.col("text"), base_spans(F.col("text")))
+    spans = rows.select("key", "digest", F.inline(let(plain, lambda t: _located(t, TERM, 4, "generalise"))))
+    removed = F.col("share") >= REMOVE
+    span = F.struct(
+        "start",
+        F.when(removed, 5).otherwise(4).alias("no"),
+        F.when(removed, F.lit("remove")).otherwise(F.lit("generalise")).alias("kind"),
+        "end",
+        "value",
+    ).cast(SPAN)
+    hits = lookup_join(spans.withColumnRenamed("value", "term"), told, ["term"], staged=True)
+    # a set, as repeated rows have the same spans
+    return stage(hits.withColumnRenamed("term", "value").groupBy("key", "digest").agg(F.collect_set(span).alias("extra")))
+
+
+def _with_extra(rows: DataFrame, extra: DataFrame | None) -> DataFrame:
+    """Rows ``key, digest, ...`` with the term spans of their documents."""
+    if extra is None:
+        return rows.withColumn("extra", F.lit(None).cast(f"array<{SPAN}>"))
+    return lookup_join(rows, extra, ["key", "digest"], "left", staged=True)
+
+
+def _all_spans(base: Column, extra: Column) -> Column:
+    none = F.array().cast(f"array<{SPAN}>")
+    return F.sort_array(F.concat(base, F.coalesce(extra, none)))
 
 
 def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _replacement(span: Column) -> Column:
-    general = (
-        F.when(span["value"].rlike("^\\p{N}+$"), F.lit("<NUMBER>"))
-        .when(span["value"].rlike("^\\p{Lu}"), F.lit("<NAME>"))
-        .otherwise(F.lit("<WORD>"))
-    )
-    return (
-        F.when(span["kind"] == "remove", F.lit(""))
-        .when(span["kind"] == "generalise", general)
-        .otherwise(F.concat(F.lit("<"), F.upper(span["kind"]), F.lit(">")))
-    )
-
-
 def redacted(text: Column, spans: Column) -> Column:
     """The text with every span replaced; overlapping spans go together."""
 
-    def cut(done: Column, s: Column) -> Column:
-        before = F.substring(text, done["at"] + 1, s["start"] - done["at"])
-        fresh = F.concat(done["out"], before, _replacement(s))
-        return F.struct(
-            F.greatest(done["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= done["at"], fresh).otherwise(done["out"]).alias("out"),
+    def fresh(s: Column, at: Column, cut: Callable) -> Column:
+        said = cut(s["start"], s["end"])
+        general = (
+            F.when(said.rlike("^\\p{N}+$"), F.lit("<NUMBER>"))
+            .when(said.rlike("^\\p{Lu}"), F.lit("<NAME>"))
+            .otherwise(F.lit("<WORD>"))
+        )
+        return (
+            F.when((s["start"] < at) | (s["kind"] == "remove"), F.lit(""))
+            .when(s["kind"] == "generalise", general)
+            .otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
         )
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, cut, rest))
-
-
-def _with_terms(rows: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows ``k, d, ...`` with the disclosing terms of their documents."""
-    terms = flagged(docs, key, text, found(docs, key, text))
-    few = F.broadcast(terms) if fits_broadcast(terms) else terms
-    same = F.col("w.k").eqNullSafe(F.col("t.key")) & (F.col("w.d") == F.col("t.digest"))
-    return rows.alias("w").join(few.alias("t"), same, "left")
+    return _rewritten(text, spans, fresh)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, counts per kind, digest of the base spans, all spans."""
-    body = docs[f"`{text}`"]
-    given = docs.select(docs[f"`{key}`"].alias("k"), F.xxhash64(body).alias("d"), F.coalesce(body, F.lit("")).alias("body"))
-    spanned = _with_terms(given, docs, key, text).select("k", "body", "terms", base_spans(F.col("body")).alias("base"))
-    rows = spanned.select("k", "base", _all_spans(F.col("body"), F.col("base"), F.col("terms")).alias("spans"))
+    held = found(docs, key, text)
+    rows = _with_extra(held.select("key", "digest", "base"), term_spans(docs, key, text, held))
+    spans = _all_spans(F.col("base"), F.col("extra"))
     count = lambda no: F.size(F.filter("base", lambda s: s["no"] == no)).cast("long")
     return rows.select(
-        F.col("k").alias(key),
+        F.col("key").alias(key),
         *[count(no).alias(f"n_{kind}") for no, kind in enumerate(KINDS)],
         F.sha2(_written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        _written(F.col("spans")).alias("spans"),
+        _written(spans).alias("spans"),
     )
 
 
 def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str | None = None) -> DataFrame:
     """The documents with personal data replaced in ``text``; ``n_chars`` names
     a column that holds the length of the text, if there is one."""
-    body = docs[f"`{text}`"]
-    whole = packed(docs, k=docs[f"`{key}`"], d=F.xxhash64(body), body=F.coalesce(body, F.lit("")))
-    spanned = _with_terms(whole, docs, key, text).select("row", "body", "terms", base_spans(F.col("body")).alias("base"))
-    spans = spanned.select("row", "body", _all_spans(F.col("body"), F.col("base"), F.col("terms")).alias("spans"))
+    extra = term_spans(docs, key, text, found(docs, key, text))
+    body = F.coalesce(docs[f"`{text}`"], F.lit(""))
+    whole = packed(docs, key=docs[f"`{key}`"], digest=F.md5(body.cast("binary")), body=body)
+    spanned = _with_extra(whole, extra).select("row", "body", "extra", base_spans(F.col("body")).alias("base"))
+    spans = spanned.select("row", "body", _all_spans(F.col("base"), F.col("extra")).alias("spans"))
     clean = spans.select("row", F.when(F.size("spans") > 0, redacted(F.col("body"), F.col("spans"))).alias("clean"))
     columns = []
     for name in docs.columns:
