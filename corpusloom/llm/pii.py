@@ -52,7 +52,7 @@ BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM = "[\\p{L}\\p{N}]{3,}"
 
 SUPPORT = 3
-GROUP_SUPPORT = 3
+GROUP_SUPPORT = 10
 GENERALISE = 0.8
 REMOVE = 0.95
 

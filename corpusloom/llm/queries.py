@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, licenses, mixing, pii, quality_rank, rule_cascade, simhash, token_frames, toxicity, weighted_sampling
+from corpusloom.llm import (
+    bpe,
+    hard_negatives,
+    licenses,
+    mixing,
+    pii,
+    quality_rank,
+    rule_cascade,
+    simhash,
+    token_frames,
+    toxicity,
+    warc,
+    weighted_sampling,
+    whitening,
+)
 from corpusloom.llm.common import documents, held_out, labels
 from corpusloom.llm.oracles import ORACLES
 
@@ -75,6 +89,20 @@ def op10_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_cascade.report(documents(spark, sf_dir), "doc_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows, lambda i: i % 100 == 0, label=moved)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_weighted_sampling,
         op10_rule_cascade,
+        op11_whitening,
+        op12_hard_negatives,
+        op13_warc,
     )
 }
 __all__ = ["ORACLES", "QUERIES"]

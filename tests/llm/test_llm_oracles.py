@@ -10,7 +10,8 @@ from odd_documents import TESTDATA
 def test_query_equals_its_sql(spark, name):
     sf_dir = str(TESTDATA / "sf0.01")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     expected = con.execute(ORACLES[name])
     columns = [c[0] for c in expected.description]
     frame = entry.queries()[name](spark, sf_dir)

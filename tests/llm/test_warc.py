@@ -1,0 +1,166 @@
+import base64
+import gzip
+import hashlib
+import json
+from pathlib import Path
+
+import pyarrow as pa
+import pytest
+
+from corpusloom.llm import warc
+
+PAGES = [
+    (1, "http://a/1", "<p>one</p>"), (2, "http://a/2", "zwei é 🙂"), (3, "http://a/3", "<p>one</p>"),
+    (0, "http://a/0\r\nX: y", "<p>one</p>"), (5, None, None), (6, "http://a/6", ""), (7, "http://a/7", "WARC/1.1\r\n\r\n" * 9),
+    (8, "http://a/8", "long " * 100_000), (9, "http://a/9", "long " * 100_000), (None, "http://a/n", "long " * 100_000),
+    (None, "u", "of no id"), (None, "u", "of no id"), (11, "t", "twice"), (11, "t", "twice"), (12, "t", "twice"),
+    (-4, "http://a/-4", "alone"),
+]
+
+
+def described(pages, least=0):
+    """What the operator returns, by hand."""
+    out = []
+    for i, _, html in pages:
+        payload = (html or "").encode()
+        ids = [j for j, _, h in pages if (h or "").encode() == payload and j is not None] if len(payload) >= least else []
+        again = bool(ids) and (i is None or i > min(ids))
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        out.append((i, len(payload), digest, "revisit" if again else "response", min(ids) if again else None))
+    return sorted(out, key=repr)
+
+
+@pytest.fixture
+def pages(spark):
+    rows = [(*p, "f", "k") for p in PAGES]
+    return spark.createDataFrame(rows, "page_id bigint, url string, html string, first string, `key` string").repartition(3)
+
+
+@pytest.fixture(params=["gzip", "none"])
+def folder(request, pages, tmp_path):
+    path = str(tmp_path / "archive")
+    warc.archive(pages, path, compression=request.param)
+    return path
+
+
+@pytest.mark.parametrize("least", [0, 6])
+def test_pages_as_read_back(pages, least):
+    got = warc.write_and_read(pages, least=least).collect()
+    assert sorted(map(tuple, got), key=repr) == described(PAGES, least)
+
+
+def test_payloads_round_trip(spark, folder):
+    got = warc.read(spark, folder, verify=True).where("record_type = 'response'").collect()
+    expected = {i: (h or "").encode() for i, _, h in PAGES if i is not None}
+    for r in got:
+        if r["record_id"].startswith("<urn:page:"):
+            assert bytes(r["payload"]) == expected[int(r["record_id"][10:-1])]
+        assert r["payload_length"] == len(r["payload"])
+    uris = {r["record_id"]: r["target_uri"] for r in got}
+    assert uris["<urn:page:0>"] == "http://a/0%0D%0AX: y" and uris["<urn:page:5>"] is None
+
+
+def test_files_are_what_other_readers_expect(folder):
+    for file in Path(folder).glob("part-*"):
+        whole = gzip.decompress(file.read_bytes()) if file.suffix == ".gz" else file.read_bytes()
+        while whole:
+            head, _, rest = whole.partition(b"\r\n\r\n")
+            lines = head.decode().split("\r\n")
+            fields = dict(line.split(": ", 1) for line in lines[1:])
+            size = int(fields["Content-Length"])
+            assert lines[0] == "WARC/1.1" and {"WARC-Type", "WARC-Date", "WARC-Record-ID"} <= set(fields)
+            assert rest[size : size + 4] == b"\r\n\r\n"
+            assert ("WARC-Profile" in fields) == (fields["WARC-Type"] == "revisit")
+            whole = rest[size + 4 :]
+
+
+def test_predicates_reach_the_headers(spark, folder):
+    found = lambda columns="record_id string", **k: warc.read(spark, folder, columns, **k).collect()
+    some = found(any_of={"record_type": ["revisit"]}, begins={"target_uri": "http://a/"})
+    named = {r["record_id"] for r in some if "uuid" not in r["record_id"]}
+    assert named == {"<urn:page:1>", "<urn:page:3>", "<urn:page:6>", "<urn:page:9>"} and len(some) == 5
+    two = found("payload_length bigint", any_of={"record_id": ["<urn:page:2>", "<urn:page:8>"]})
+    assert sorted(r["payload_length"] for r in two) == [len("zwei é 🙂".encode()), 500_000]
+    assert [r["record_id"] for r in found(any_of={"target_uri": [None]})] == ["<urn:page:5>"]
+    assert found(any_of={"record_type": []}) == found(begins={"refers_to": "<urn:other"}) == []
+
+
+def test_a_table_read_twice(spark, folder):
+    """Filters of one query on a table are not those of the next."""
+    whole = warc.read(spark, folder, "record_type string, record_id string")
+    parts = [whole.where(warc.F.col("record_type") == kind) for kind in ("revisit", "response")]
+    assert [p.count() for p in parts] == [6, 10] and whole.count() == 16
+    assert parts[0].unionByName(parts[1]).count() == 16
+
+
+def damaged(path, record, spoil):
+    """Two records in one file, the first one's payload spoilt."""
+    row = {"record_type": "response", "record_id": "<a>", "date": "d", "target_uri": None, "payload_digest": None,
+           "refers_to": None, "payload_length": 90_000, "payload": bytes(range(256)) * 400}
+    first = record(warc.record_bytes(row))
+    spoilt = bytearray(first)
+    for i in range(len(first) // 2, len(first) // 2 + 40):
+        spoilt[i] ^= 0xFF if spoil else 0
+    second = record(warc.record_bytes(row | {"record_id": "<b>", "record_type": "revisit"}))
+    path.mkdir()
+    (path / "x.warc.gz").write_bytes(bytes(spoilt) + second)
+
+
+def test_unwanted_payloads_are_not_inflated(spark, tmp_path):
+    damaged(tmp_path / "d", warc.member_bytes, spoil=True)
+    reader = lambda columns, **k: warc.read(spark, str(tmp_path / "d"), columns, **k)
+    assert [r["record_id"] for r in reader("record_id string").collect()] == ["<a>", "<b>"]
+    whole = "record_type string, record_id string, payload binary"
+    assert [r["record_id"] for r in reader(whole, any_of={"record_type": ["revisit"]}).collect()] == ["<b>"]
+    with pytest.raises(Exception, match="(?i)error|invalid"):
+        reader(whole).collect()
+
+
+def test_members_without_their_length(spark, tmp_path):
+    damaged(tmp_path / "d", gzip.compress, spoil=False)
+    rows = warc.read(spark, str(tmp_path / "d")).orderBy("offset").collect()
+    assert [r["record_id"] for r in rows] == ["<a>", "<b>"] and rows[0]["payload"] == bytes(range(256)) * 400
+    assert warc.read(spark, str(tmp_path / "d")).where("record_type = 'revisit'").count() == 1
+
+
+def test_wrong_digests_and_broken_files(spark, tmp_path):
+    (tmp_path / "w").mkdir()
+    row = {"record_type": "response", "record_id": "<a>", "date": "d", "target_uri": None, "refers_to": None,
+           "payload_digest": "sha1:AAAA", "payload_length": 3, "payload": b"abc"}
+    (tmp_path / "w" / "x.warc").write_bytes(warc.record_bytes(row))
+    assert warc.read(spark, str(tmp_path / "w")).first()["payload"] == b"abc"
+    with pytest.raises(Exception, match="another digest"):
+        warc.read(spark, str(tmp_path / "w"), verify=True).collect()
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "x.warc.gz").write_bytes(warc.member_bytes(warc.record_bytes(row))[:-30])
+    with pytest.raises(Exception, match="cut off"):
+        warc.read(spark, str(tmp_path / "v")).collect()
+
+
+def test_only_committed_files_are_read(spark, pages, tmp_path):
+    path = tmp_path / "archive"
+    warc.archive(pages, str(path))
+    n = warc.read(spark, str(path), "record_id string").count()
+    (path / "part-lost.warc.gz").write_bytes(b"what a lost attempt left")
+    assert warc.read(spark, str(path), "record_id string").count() == n == len(PAGES)
+    warc.archive(pages, str(path))
+    assert warc.read(spark, str(path), "record_id string").count() == 2 * n
+    with pytest.raises(Exception, match="only added to"):
+        pages.selectExpr("'response' AS record_type").write.format("warc").mode("overwrite").save(str(path))
+
+
+def test_partitions_follow_sizes_and_files_are_cut(tmp_path):
+    writer = warc.Writer({"path": str(tmp_path), "fileBytes": "400", "compression": "none"})
+    row = {"record_type": "response", "record_id": "<a>", "date": "d", "target_uri": None, "payload_digest": None,
+           "refers_to": None, "payload_length": 100, "payload": b"x" * 100}
+    done = writer.write(iter([pa.RecordBatch.from_pylist([row] * 10)]))
+    assert len(done.names) > 2
+    writer.commit([done, None])
+    assert json.loads(next(tmp_path.glob("_committed-*")).read_text()) == done.names
+    schema = warc.StructType().add("record_id", "string")
+    parts = warc.Reader({"path": str(tmp_path), "parallelism": "2"}, schema).partitions()
+    assert 2 <= len(parts) <= 3 and sorted(n for p in parts for n in p.names) == sorted(done.names)
+
+
+def test_no_pages(spark, pages):
+    assert warc.write_and_read(pages.limit(0)).collect() == []

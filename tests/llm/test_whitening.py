@@ -1,0 +1,96 @@
+import numpy as np
+import pytest
+
+import __spark_entry__ as entry
+from corpusloom.llm import whitening
+from odd_documents import TESTDATA
+
+NAN, INF = float("nan"), float("inf")
+
+
+def brute(vectors, components=4, counts=False):
+    """Kept rows' integers, and per row what the operator returns."""
+    kept = {k: tuple(int(np.floor(256 * float(c))) for c in v) for k, v in vectors.items()
+            if v is not None and all(c is not None and np.isfinite(c) for c in v)}
+    if not kept:
+        return {}
+    dims = max(map(len, kept.values()))
+    kept = {k: v + (0,) * (dims - len(v)) for k, v in kept.items()}
+    fit = sorted(set(kept.values())) if not counts else list(kept.values())
+    x = np.array(fit, np.float64)
+    n, sums = len(fit), [sum(v[i] for v in fit) for i in range(dims)]
+    mean = x.mean(axis=0)
+    cov = (x - mean).T @ (x - mean) / n
+    values, basis = np.linalg.eigh(cov)
+    values, basis = values[::-1][:components], basis[:, ::-1][:, :components]
+    out = {}
+    for k, v in kept.items():
+        deviation = sum((n * c - s) ** 2 for c, s in zip(v, sums))
+        for i, e in enumerate(values):
+            if e > 1e-12 * np.trace(cov):
+                out[k, i + 1] = (n, deviation, (np.array(v) - mean) @ basis[:, i] / np.sqrt(e), e / np.trace(cov))
+    return out
+
+
+def same(rows, expected):
+    got = {(r["key"], r["component"]): r for r in rows}
+    assert set(got) == set(expected) and len(got) == len(rows)
+    signs = {}
+    for at, (n, deviation, white, share) in expected.items():
+        r = got[at]
+        assert (r["n"], r["deviation"]) == (n, deviation)
+        assert r["explained"] == pytest.approx(share, rel=1e-9)
+        assert abs(r["whitened"]) == pytest.approx(abs(white), abs=1e-8)
+        assert r["identity_error"] < 1e-9
+        if abs(white) > 1e-6:
+            signs.setdefault(at[1], set()).add(np.sign(white * r["whitened"]))
+    assert all(len(s) == 1 for s in signs.values())
+
+
+def test_query_equals_numpy(spark):
+    sf_dir = str(TESTDATA / "sf0.01")
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    rows = entry.queries()["op11_whitening"](spark, sf_dir).withColumnRenamed("vec_id", "key").collect()
+    same(rows, brute({r["vec_id"]: r["embedding"] for r in table}))
+
+
+@pytest.fixture
+def oddities():
+    rng = np.random.default_rng(5)
+    vectors = {i: [float(c) for c in rng.normal(size=5)] for i in range(40)}
+    vectors |= {50 + i: vectors[3] for i in range(30)}
+    vectors |= {90: None, 91: [1.0, None, 0.0, 0.0, 0.0], 92: [NAN] * 5, 93: [1.0, INF, 0.0, 0.0, 0.0], 94: [-0.0] * 5, 95: [1.0, -2.0]}
+    return vectors
+
+
+@pytest.mark.parametrize("weight", ["one", "count"])
+def test_odd_vectors(spark, oddities, weight):
+    rows = [(k, v, "x", 1) for k, v in oddities.items()]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, `group` string, x int")
+    narrow = {k: v and [None if c is None else np.float32(c) for c in v] for k, v in oddities.items()}
+    got = whitening.whiten(df.repartition(5), weight=weight).withColumnRenamed("vec_id", "key").collect()
+    same(got, brute(narrow, counts=weight == "count"))
+
+
+def test_repeated_rows_and_null_ids_stay(spark):
+    rows = [(1, [0.0, 1.0]), (1, [0.0, 1.0]), (None, [1.0, 0.5]), (2, [3.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = whitening.whiten(df).collect()
+    assert sorted((r["vec_id"] or 0, r["component"]) for r in got) == [(0, 1), (0, 2), (1, 1), (1, 1), (1, 2), (1, 2), (2, 1), (2, 2)]
+    assert {r["n"] for r in got} == {3}
+
+
+def test_no_variance_no_rows(spark):
+    schema = "vec_id bigint, embedding array<float>"
+    columns = ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    for rows in ([], [(1, None)], [(1, [1.0, 2.0]), (2, [1.0, 2.0])], [(1, [])]):
+        got = whitening.whiten(spark.createDataFrame(rows, schema))
+        assert got.columns == columns and got.collect() == []
+
+
+def test_large_numbers_stay_exact(spark):
+    vectors = {i: [2.0**30 * (i + 1), 3.0 * i] for i in range(3)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>")
+    got = {(r["vec_id"], r["component"]): r["deviation"] for r in whitening.whiten(df).collect()}
+    expected = {k: v[1] if v[1] < 2**63 else None for k, v in brute(vectors).items()}
+    assert got == expected and None in got.values() and any(v is not None for v in got.values())
