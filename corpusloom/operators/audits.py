@@ -12,7 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.operators.joins import lookup_join
+from corpusloom.operators import bloom
+from corpusloom.operators.joins import fits_broadcast, lookup_join
+from corpusloom.sources.staging import stage
 
 # Words in a row that make a passage, and the fewest a shorter whole text needs to count as one.
 PASSAGE = 13
@@ -39,7 +41,7 @@ def leaks(df: DataFrame, other: DataFrame, keys: Sequence[str], row_id: str) ->
     """Ids of the rows whose key occurs in ``other`` too."""
     mine = df.select(row_id, digest(*[df[k] for k in keys]).alias("d"))
     theirs = other.select(digest(*[other[k] for k in keys]).alias("d")).distinct()
-    return mine.join(theirs, "d", "left_semi").select(row_id)
+    return lookup_join(mine, theirs, ["d"], "left_semi").select(row_id)
 
 
 def _word_hashes(text: Column) -> Column:
@@ -63,7 +65,10 @@ def passage_leaks(df: DataFrame, other: DataFrame, text: str, row_id: str) -> Da
     """Ids of the rows whose text shares a passage with a text of ``other``:
     ``PASSAGE`` words in a row, whatever their case, marks and line breaks. A
     text of ``other`` with fewer words must occur whole; below ``LEAST`` words
-    it must be all of the row's text. Once per id."""
+    it must be all of the row's text. Once per id.
+
+    Passages of ``other`` that do not fit a broadcast become a Bloom filter, which
+    the rows' windows must pass before they are shuffled."""
     theirs = other.select(_word_hashes(other[text]).alias("words")).withColumn("size", F.size("words"))
     length = F.least("size", F.lit(PASSAGE))
     name = F.when(F.col("size") < LEAST, 0).otherwise(length)
@@ -77,7 +82,19 @@ def passage_leaks(df: DataFrame, other: DataFrame, text: str, row_id: str) -> Da
 
     # bound once per row by the outer lambda
     own = F.transform(F.array(_word_hashes(df[text])), keys)[0]
-    return lookup_join(df.select(row_id, F.inline(own)), wanted, KEY, "left_semi").select(row_id).distinct()
+    windows = df.select(row_id, F.inline(own))
+    wanted = stage(wanted)
+    fits = fits_broadcast(wanted)
+    if not fits:
+        windows = stage(filtered(windows, wanted))
+    return lookup_join(windows, wanted, KEY, "left_semi", staged=True, fits=fits).select(row_id).distinct()
+
+
+def filtered(windows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The windows that may be among the wanted ones."""
+    size = bloom.bits(wanted.count())
+    words = bloom.build(wanted, "a", "b", size).scalar()
+    return windows.where(bloom.may_hold(words, F.col("a"), F.col("b"), size))
 
 
 def split_leaks(rows: DataFrame, keys: Sequence[str], row_id: str = "rec_id") -> DataFrame:
@@ -85,4 +102,4 @@ def split_leaks(rows: DataFrame, keys: Sequence[str], row_id: str = "rec_id") ->
     marked = rows.select(row_id, "split", digest(*[rows[k] for k in keys]).alias("d"))
     spread = marked.groupBy("d").agg(F.sort_array(F.collect_set("split")).alias("splits"))
     shared = spread.where(F.size("splits") > 1)
-    return marked.join(shared, "d").select(row_id, "split", F.concat_ws(",", "splits").alias("splits"))
+    return lookup_join(marked, shared, ["d"]).select(row_id, "split", F.concat_ws(",", "splits").alias("splits"))

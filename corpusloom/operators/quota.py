@@ -120,6 +120,17 @@ class QuotaSample:
             return narrow.select(F.lit(0).alias("_pass"), *columns[1:]).limit(0)
         return reduce(DataFrame.union, [part.select(*columns) for part in parts])
 
+    def state(self) -> DataFrame:
+        """The rows the sequence can touch, staged: all of a pool that a later
+        sample over it and appended rows needs, and no more than the quotas bound.
+
+        What is before a row only grows when rows are appended, so a row that is
+        out of reach stays so. The state of a union is the state of the old state
+        and the new rows, and so are the picks.
+        """
+        ids = self._heads().select(F.col("_id").alias(self.row_id)).distinct()
+        return stage(lookup_join(self.pool, ids, [self.row_id], "left_semi"))
+
     @cached_property
     def picks(self) -> DataFrame:
         quotas, cap, size = self.quotas, self.cap, self.up_to

@@ -6,10 +6,12 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusloom.operators.joins import lookup_join
 from corpusloom.operators.ordering import (
     label_by_rank, label_by_thresholds, rank_thresholds, with_position, with_shuffle_key,
 )
 from corpusloom.sources.readers import union_named
+from corpusloom.sources.staging import stage
 
 # Split names in output order.
 SPLITS = ("train", "validation", "test")
@@ -75,6 +77,52 @@ def split_by_thresholds(
     return label_by_thresholds(keyed, strata, thresholds, "train", row_id, "split", fits)
 
 
+def split_counts(labelled: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """Rows per stratum and held-out split: what ``split_appended`` needs of the
+    rows that have labels. Staged, a row per stratum."""
+    return stage(labelled.groupBy(*strata).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.count_if(F.col("split") == name).alias(f"_{name}") for name in SPLITS[1:]],
+    ))
+
+
+def split_appended(
+    df: DataFrame,
+    counts: DataFrame,
+    strata: Sequence[str],
+    seed: int = 42,
+    val_frac: float = VAL_FRAC,
+    test_frac: float = TEST_FRAC,
+    row_id: str = "rec_id",
+) -> tuple[DataFrame, DataFrame]:
+    """``split`` for rows appended to strata that were split before, and the new
+    ``split_counts``.
+
+    Labels given stay. A stratum that has grown owes each held-out split the
+    difference to its share of the new size; the first new rows in shuffle order
+    pay it, test before validation, as far as there are new rows. What is still
+    owed then is paid by the next ones.
+    """
+    narrow = stage(with_shuffle_key(df.select(*strata, row_id), seed, row_id))
+    grown = narrow.groupBy(*strata).agg(F.count(F.lit(1)).alias("_more"))
+    joined = lookup_join(grown, counts, strata, "left", staged=True)
+    had = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("_n", *[f"_{name}" for name in SPLITS[1:]])}
+    size = had["_n"] + F.col("_more")
+    owed = lambda fraction, name: F.greatest(F.lit(0).cast("long"), share(size, fraction) - had[f"_{name}"])
+    owing = stage(joined.select(
+        *strata, owed(test_frac, "test").alias("_owed_test"), owed(val_frac, "validation").alias("_owed_val")
+    ))
+    groups = [*strata, "_owed_test", "_owed_val"]
+    cuts = {"test": lambda n: F.col("_owed_test"), "validation": lambda n: F.col("_owed_test") + F.col("_owed_val")}
+    keyed = lookup_join(with_shuffle_key(df, seed, row_id), owing, strata, staged=True)
+    marked = stage(lookup_join(narrow, owing, strata, staged=True))
+    labelled = stage(label_by_rank(keyed, groups, cuts, "train", row_id, "split", marked).drop("_owed_test", "_owed_val"))
+    both = counts.unionByName(split_counts(labelled, strata)).groupBy(*strata).agg(
+        *[F.sum(c).alias(c) for c in counts.columns if c not in strata]
+    )
+    return labelled, stage(both)
+
+
 def split_rank(split: str = "split") -> Column:
     """Place of a split in the merged output."""
     return F.array_position(F.array(*map(F.lit, SPLITS)), F.col(split)).cast("int")

@@ -57,7 +57,7 @@ FROM {corpus}
 # Texts for which the features and gates have both outcomes.
 CASES_SQL = """
 SELECT rec_id, source, db_id,
-  CASE rec_id % 14
+  CASE rec_id % 20
     WHEN 0 THEN concat('SELECT RANK() OVER (ORDER BY a) FROM t', cast(rec_id % 5 AS string))
     WHEN 1 THEN 'SELECT selected_at FROM t'
     WHEN 2 THEN 'SELECT a FROM t WHERE n = ''union all'''
@@ -71,9 +71,15 @@ SELECT rec_id, source, db_id,
     WHEN 10 THEN ') SELECT a FROM t ('
     WHEN 11 THEN 'select sum( a) over(partition by b) from t'
     WHEN 12 THEN 'WITH x AS (SELECT 1) SELECT `it''s` FROM x'
+    WHEN 13 THEN 'SELECT a -- it''s'
+    WHEN 14 THEN 'SELECT a /* open'
+    WHEN 15 THEN 'SELECT [it''s (] FROM t'
+    WHEN 16 THEN 'SELECT /* a */ FROM t'
+    WHEN 17 THEN concat('-- (', chr(10), 'SELECT a FROM t /* ) */')
+    WHEN 18 THEN 'SELECT a FROM t WHERE n = ''--'' AND b = ''/*'''
     ELSE 'SELECT a FROM t LIMIT 1'
   END AS sql_raw,
-  rec_id % 14 IN (0, 1, 2, 6, 7, 11, 12, 13) AS sound,
+  rec_id % 20 IN (0, 1, 2, 6, 7, 11, 12, 13, 15, 17, 18, 19) AS sound,
   CASE rec_id % 5
     WHEN 1 THEN << 'user', 'system', 'assistant' >>
     WHEN 2 THEN << 'system', 'user' >>
@@ -100,6 +106,26 @@ SELECT l_orderkey % 50 AS question_id,
 FROM {lineitem}
 """
 
+# Result rows as arrays. 1 is gold in another order of columns, 2 has a column
+# twice, 3 differs on odd questions, 4 loses duplicates, 5 lacks a column. Of every
+# third question two columns are one.
+COLUMN_RESULTS_SQL = """
+SELECT question_id, a, b, CASE WHEN question_id % 3 = 0 THEN a ELSE c END AS c
+FROM (SELECT l_orderkey % 50 AS question_id, cast(l_partkey % 5 AS string) AS a,
+             cast(l_linenumber AS string) AS b, cast(l_suppkey % 4 AS string) AS c
+      FROM {lineitem}) x
+"""
+COLUMN_CANDIDATES_SQL = """
+SELECT question_id, 0 AS cand_idx, << a, b, c >> AS cells FROM {results}
+UNION ALL SELECT question_id, 1, << c, a, b >> FROM {results}
+UNION ALL SELECT question_id, 2, << a, b, b >> FROM {results}
+UNION ALL SELECT question_id, 3,
+                 << b, c, CASE WHEN question_id % 2 = 0 THEN a ELSE concat(a, 'x') END >>
+          FROM {results}
+UNION ALL SELECT DISTINCT question_id, 4, << b, a, c >> FROM {results}
+UNION ALL SELECT question_id, 5, << a, b >> FROM {results}
+"""
+
 # One database per customer; a third of them has no foreign key.
 CATALOG_SQL = """
 SELECT concat('db_', cast(c_custkey AS string)) AS db_id,
@@ -148,3 +174,10 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``question_id, cand_idx, row_json``: result rows of candidate answers."""
     results = spark.sql(RESULTS_SQL, lineitem=table(spark, sf_dir, "lineitem"))
     return spark.sql(CANDIDATES_SQL, results=results)
+
+
+def column_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``question_id, cand_idx, cells``: result rows as arrays of cells."""
+    results = spark.sql(COLUMN_RESULTS_SQL, lineitem=table(spark, sf_dir, "lineitem"))
+    text = COLUMN_CANDIDATES_SQL.replace("<<", "array(").replace(">>", ")")
+    return spark.sql(text, results=results)

@@ -6,11 +6,14 @@ windows over whole strata, lists, and one CTE pair per quota pass.
 
 from __future__ import annotations
 
+import math
+
 from corpusloom.registry.derived import (
-    CANDIDATES_SQL, CASES_SQL, CATALOG_SQL, CORPUS_SQL, EVIDENCE_SQL, PRED_SQL, RESULTS_SQL,
+    CANDIDATES_SQL, CASES_SQL, CATALOG_SQL, COLUMN_CANDIDATES_SQL, COLUMN_RESULTS_SQL, CORPUS_SQL,
+    EVIDENCE_SQL, PRED_SQL, RESULTS_SQL,
 )
 from corpusloom.registry.queries import (
-    BINDING_CAP, CAP, LARGE_CAP, SAMPLE, SEED, TAKE, TEMPLATE, TOKEN_CAP, TOP_K, TRUNCATED,
+    BINDING_CAP, CAP, LARGE_CAP, REPLICATES, SAMPLE, SEED, TAKE, TEMPLATE, TOKEN_CAP, TOP_K, TRUNCATED,
 )
 
 # Fixed values, stated here again so that a wrong constant of an operator shows.
@@ -254,6 +257,9 @@ MEASURES = """count(*) AS n, count(*) FILTER (WHERE parse_ok) AS parse_ok,
         count(*) FILTER (WHERE em)::DOUBLE / count(*) AS normalized_em"""
 PICKS = "SELECT rec_id, db_id, bucket, pick_pass FROM picks"
 
+# Cumulative probabilities of a Poisson count of mean one, of 2 ** 32.
+POISSON = [int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**32) for k in range(13)]
+
 ORACLES: dict[str, str] = {}
 
 
@@ -435,6 +441,26 @@ def _scores() -> None:
     ORACLES["score"] = base + f"SELECT {MEASURES} FROM flags"
     ORACLES["score_by_stratum"] = base + f"""
         SELECT source, bucket, {MEASURES} FROM flags GROUP BY source, bucket"""
+    draw = " + ".join(f"(u >= {cut})::INT" for cut in POISSON)
+    number = "('0x' || substr(md5(rec_id::VARCHAR || '|' || (r // 4)::VARCHAR), 8 * (r % 4) + 1, 8))::BIGINT"
+    low = f"CAST(floor(len(%s) * {(1 - 0.95) / 2!r}::DOUBLE) AS BIGINT)"
+    ends = ", ".join(
+        f"list_sort({c})[{low % c} + 1] AS {name}_low, list_sort({c})[len({c}) - {low % c}] AS {name}_high"
+        for c, name in (("parses", "parse"), ("ems", "em"))
+    )
+    ORACLES["score_by_tier"] = base + f"""
+        , drawn AS (SELECT bucket, parse_ok, em, r, {draw} AS w
+                    FROM (SELECT *, {number} AS u FROM flags, range({REPLICATES}) t(r)) x),
+        rates AS (SELECT bucket, grouping(bucket) = 1 AS is_total, r,
+                    sum(w * parse_ok::INT)::DOUBLE / nullif(sum(w), 0) AS parse_rate,
+                    sum(w * em::INT)::DOUBLE / nullif(sum(w), 0) AS em_rate
+                  FROM drawn GROUP BY GROUPING SETS ((bucket, r), (r))),
+        lists AS (SELECT bucket, is_total, list(parse_rate) FILTER (WHERE parse_rate IS NOT NULL) AS parses,
+                    list(em_rate) FILTER (WHERE em_rate IS NOT NULL) AS ems FROM rates GROUP BY bucket, is_total),
+        plain AS (SELECT bucket, grouping(bucket) = 1 AS is_total, {MEASURES} FROM flags
+                  GROUP BY GROUPING SETS ((bucket), ()))
+        SELECT p.bucket AS tier, p.is_total, n, parse_ok, em, parse_rate, normalized_em, {ends}
+        FROM plain p JOIN lists l ON p.is_total = l.is_total AND p.bucket IS NOT DISTINCT FROM l.bucket"""
     ORACLES["score_samples"] = with_(*ON_RECORDS, PRED) + f"""
         SELECT rec_id AS ord,
                {strip("substr(string_split(usr, 'Question:')[-1], 1, 120)")} AS question,
@@ -504,6 +530,27 @@ def _audits() -> None:
         , spread AS (SELECT upper(sql) AS s, string_agg(DISTINCT split, ',' ORDER BY split) AS splits
                      FROM labelled GROUP BY upper(sql) HAVING count(DISTINCT split) > 1)
         SELECT rec_id, split, splits FROM labelled JOIN spread ON upper(sql) = s"""
+    ORACLES["split_near_leaks"] = with_(*ON_POOL, SPLIT) + r"""
+        , w AS (SELECT rec_id, split, list_sort(list_distinct(regexp_extract_all(
+                  lower(question || ' ' || sql), '[\pL\pN_]+|[^\s\pL\pN_]'))) AS words FROM labelled),
+        s AS (SELECT DISTINCT split, words FROM w),
+        u AS (SELECT DISTINCT words FROM s),
+        n AS (SELECT a.words, b.words AS other, len(list_intersect(a.words, b.words)) AS common
+              FROM u a JOIN u b ON TRUE),
+        found AS (SELECT DISTINCT n.words, s.split FROM n JOIN s ON s.words = n.other
+                  WHERE 100 * common >= 80 * (len(n.words) + len(n.other) - common))
+        SELECT rec_id, w.split, string_agg(found.split, ',' ORDER BY found.split) AS splits
+        FROM w JOIN found ON found.words = w.words AND found.split <> w.split GROUP BY rec_id, w.split"""
+    columns = COLUMN_CANDIDATES_SQL.format(results="results").replace("<<", "[").replace(">>", "]")
+    ORACLES["result_match_columns"] = with_(
+        f"results AS ({COLUMN_RESULTS_SQL.format(lineitem='lineitem')})", f"candidates AS ({columns})"
+    ) + """
+        , orders AS (SELECT unnest([[1, 2, 3], [1, 3, 2], [2, 1, 3], [2, 3, 1], [3, 1, 2], [3, 2, 1]]) AS o),
+        bags AS (SELECT question_id, cand_idx, o, list_sort(list([cells[o[1]], cells[o[2]], cells[o[3]]])) AS bag
+                 FROM candidates, orders GROUP BY question_id, cand_idx, o)
+        SELECT b.question_id, b.cand_idx, bool_or(b.bag = g.bag) AS matches
+        FROM bags b JOIN bags g ON b.question_id = g.question_id AND g.cand_idx = 0 AND g.o = [1, 2, 3]
+        WHERE b.cand_idx > 0 GROUP BY b.question_id, b.cand_idx"""
     results = f"""results AS ({RESULTS_SQL.format(lineitem='lineitem')}),
         candidates AS ({CANDIDATES_SQL.format(results='results')}),
         bags AS (SELECT question_id, cand_idx, list_sort(list(row_json)) AS bag
@@ -563,6 +610,45 @@ def _written_jobs() -> None:
         FROM corpus"""
 
 
+    ORACLES["questions_one_array"] = with_(CORPUS) + r"""
+        SELECT row_number() OVER (ORDER BY rec_id) - 1 AS ord, db_id, sql_raw AS query,
+               question || ' "}, {" [\" \\' || (rec_id % 3)::VARCHAR || chr(10) || ']}' AS question
+        FROM corpus"""
+
+
+def _appended() -> None:
+    ORACLES["quota_fill_appended"] = ORACLES["quota_topup"]
+    ORACLES["dedupe_appended"] = ORACLES["dedupe_first"]
+    owed = {"test": "greatest(0, share_test - had_test)", "validation": "greatest(0, share_val - had_val)"}
+    ORACLES["split_appended"] = with_(*ON_POOL) + f"""
+        , h AS (SELECT *, rec_id <= (SELECT floor((min(rec_id) + max(rec_id)) / 2) FROM pool) AS old FROM pool),
+        r AS (SELECT *, count(*) OVER (PARTITION BY source, bucket, old) AS part_size,
+                count(*) OVER (PARTITION BY source, bucket) AS size,
+                row_number() OVER (PARTITION BY source, bucket, old ORDER BY {key(SEED, 'rec_id')}, rec_id) AS rn
+              FROM h),
+        first AS (SELECT *, {share('part_size', 0.1)} AS k FROM r WHERE old),
+        labelled AS (SELECT *, CASE WHEN rn <= k THEN 'test' WHEN rn <= 2 * k THEN 'validation' ELSE 'train' END AS split
+                     FROM first),
+        had AS (SELECT source, bucket, count(*) FILTER (WHERE split = 'test') AS had_test,
+                  count(*) FILTER (WHERE split = 'validation') AS had_val FROM labelled GROUP BY source, bucket),
+        later AS (SELECT r.* , {share('size', 0.1)} AS share_test, {share('size', 0.1)} AS share_val,
+                    coalesce(had_test, 0) AS had_test, coalesce(had_val, 0) AS had_val
+                  FROM r LEFT JOIN had USING (source, bucket) WHERE NOT old)
+        SELECT rec_id, source, bucket, split FROM labelled
+        UNION ALL SELECT rec_id, source, bucket,
+               CASE WHEN rn <= {owed['test']} THEN 'test'
+                    WHEN rn <= {owed['test']} + {owed['validation']} THEN 'validation' ELSE 'train' END
+        FROM later"""
+    cell = "CASE WHEN chars = 0 THEN -1 ELSE CAST(ceil(ln(chars) / ln(1.02::DOUBLE)) AS INT) END"
+    middle = "CASE WHEN {0} < 0 THEN 0 ELSE CAST(round(pow(1.02::DOUBLE, {0}) * (2 / 2.02::DOUBLE)) AS BIGINT) END"
+    p50, p90 = "list_sort(cells)[(n - 1) // 2 + 1]", "list_sort(cells)[CAST(floor(n * 0.9::DOUBLE) AS BIGINT) + 1]"
+    ORACLES["profile_merged"] = f"""
+        WITH d AS (SELECT source, lang, length(text) AS chars, {cell.replace('chars', 'length(text)')} AS c FROM documents),
+        g AS (SELECT coalesce(source, 'merged') AS source, count(*) AS n, count(DISTINCT lang) AS different,
+                list(c) AS cells, max(chars) AS longest FROM d GROUP BY ROLLUP (source))
+        SELECT source, n, different, {middle.format(p50)} AS p50, {middle.format(p90)} AS p90, longest FROM g"""
+
+
 for _part in (_text, _structure, _prompts, _gates, _selection, _split, _statistics, _scores,
-              _jobs, _cases, _audits, _written_jobs):
+              _jobs, _cases, _audits, _written_jobs, _appended):
     _part()

@@ -14,7 +14,9 @@ from corpusloom.functions.features import (
 from corpusloom.functions import prompts as pr
 from corpusloom.functions.prompts import TEMPLATES, message
 from corpusloom.functions.structure import structure_ok
-from corpusloom.operators import audits, checks, dedupe, quota, results, scoring, split, stats
+from corpusloom.operators import (
+    audits, checks, dedupe, near, quota, results, scoring, sketches, split, stats,
+)
 from corpusloom.operators.joins import (
     align, attach_evidence, attach_schema, remaining, with_group_size,
 )
@@ -23,7 +25,7 @@ from corpusloom.operators.quota import QUOTAS
 from corpusloom.operators.split import SPLITS
 from corpusloom.plans import jobs
 from corpusloom.registry.derived import (
-    EVIDENCE_SQL, candidates, cases, catalog, corpus, predictions, table,
+    EVIDENCE_SQL, candidates, cases, catalog, column_candidates, corpus, predictions, table,
 )
 from corpusloom.sources.readers import (
     read_chat, read_manifest, read_predictions, read_questions, read_splits,
@@ -47,6 +49,7 @@ TAKE = 1_200
 TOKEN_CAP = 2048
 TEMPLATE = "header_id"
 OTHER_TEMPLATE = "im_sep"
+REPLICATES = 40
 
 
 def register(query: Query) -> Query:
@@ -439,6 +442,14 @@ def score_by_stratum(spark, sf_dir):
     return scoring.score_by(flags, manifest, ["source", "bucket"], "ord")
 
 
+@register
+def score_by_tier(spark, sf_dir):
+    """Scores by bucket and in total with intervals."""
+    tiers = classified(spark, sf_dir).select(F.col("rec_id").alias("ord"), F.col("bucket").alias("tier"))
+    flags = jobs.score_pairs(*answers(spark, sf_dir)).join(tiers, "ord")
+    return scoring.score_by_tier(flags, "tier", "ord", REPLICATES)
+
+
 @register
 def score_samples(spark, sf_dir):
     rows = records(spark, sf_dir).withColumnRenamed("rec_id", "ord")
@@ -504,11 +515,23 @@ def split_leak_audit(spark, sf_dir):
     return audits.split_leaks(rows, ["sql"])
 
 
+@register
+def split_near_leaks(spark, sf_dir):
+    """Rows with the words, nearly, of a row of another split."""
+    rows = labelled(spark, sf_dir)
+    return near.split_near_leaks(rows, near.word_set(rows["question"], rows["sql"]))
+
+
 @register
 def result_match(spark, sf_dir):
     return results.result_match(candidates(spark, sf_dir))
 
 
+@register
+def result_match_columns(spark, sf_dir):
+    return results.result_match_columns(column_candidates(spark, sf_dir))
+
+
 @register
 def vote(spark, sf_dir):
     return results.vote(candidates(spark, sf_dir))
@@ -522,6 +545,55 @@ def evidence_attach(spark, sf_dir):
     return attach_evidence(rows, known)
 
 
+# ---- sources that are appended -------------------------------------------------
+
+def _halves(df: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """The rows up to the middle id, and those after it."""
+    rows = stage(df)
+    middle = rows.agg(F.floor((F.min(by) + F.max(by)) / 2)).first()[0] or 0
+    return rows.where(F.col(by) <= middle), rows.where(F.col(by) > middle)
+
+
+@register
+def quota_fill_appended(spark, sf_dir):
+    """The topped-up sample from the state of the first half and the second."""
+    old, new = _halves(pool(spark, sf_dir), "rec_id")
+    state = quota.quota_fill(old, HALF_QUOTAS, cap=CAP).top_up(SAMPLE).state()
+    both = state.unionByName(new)
+    return quota.quota_fill(both, HALF_QUOTAS, cap=CAP).top_up(SAMPLE).picks.select(
+        "rec_id", "db_id", "bucket", "pick_pass")
+
+
+@register
+def split_appended(spark, sf_dir):
+    """The first half split, then the second half added to its strata."""
+    strata = ["source", "bucket"]
+    old, new = _halves(pool(spark, sf_dir).drop("shuffle_key"), "rec_id")
+    first = stage(split.stratified_split(old, strata, SEED))
+    more, _ = split.split_appended(new, split.split_counts(first, strata), strata, SEED)
+    return first.unionByName(more).select("rec_id", "source", "bucket", "split")
+
+
+@register
+def dedupe_appended(spark, sf_dir):
+    """Paraphrases of the second half deduplicated against what the first kept."""
+    rows = corpus(spark, sf_dir).withColumn("sql", tx.collapse_sql(F.col("sql_raw"))).drop("sql_raw")
+    old, new = _halves(with_bucket(rows, "sql"), "rec_id")
+    keys = {"db": F.col("db_id"), "sql": F.upper("sql")}
+    kept = dedupe.KeptKeys(spark, f"kept_{uuid.uuid4().hex}", _folder(spark), 8)
+    parts = [kept.append(part, keys, "rec_id") for part in (old, new)]
+    return parts[0].unionByName(parts[1]).select("rec_id", "db_id", "question", "sql", "bucket")
+
+
+@register
+def profile_merged(spark, sf_dir):
+    """Profiles of two halves of the documents, merged, by source and in total."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.length("text").alias("chars"))
+    halves = [stage(sketches.profile(part, "source", "lang", "chars")) for part in _halves(docs, "doc_id")]
+    merged = stage(sketches.merge(*halves, by="source"))
+    return sketches.read(merged.unionByName(sketches.total(merged, "source")), "source")
+
+
 # ---- jobs over files: every record is written as JSON Lines and read back ---
 
 def _folder(spark: SparkSession) -> str:
@@ -675,3 +747,20 @@ def questions_array(spark, sf_dir):
     n = arrays.count()
     arrays.repartitionByRange(n, "chunk").sortWithinPartitions("chunk").select("value").write.text(path)
     return read_questions(spark, path, array=True)
+
+
+@register
+def questions_one_array(spark, sf_dir):
+    """Questions from one file that is one JSON array; their texts hold brackets,
+    quotes and escapes."""
+    said = F.concat("question", F.lit(' "}, {" [\\" \\\\'), F.col("rec_id") % 3, F.lit("\n]}"))
+    rows = corpus(spark, sf_dir).select("rec_id", F.to_json(F.struct(
+        "db_id", F.col("sql_raw").alias("query"), said.alias("question"),
+    )).alias("value"))
+    ends = spark.createDataFrame([(None, "[", 0), (None, "]", 2)], "rec_id bigint, value string, part int")
+    first = rows.agg(F.min("rec_id")).first()[0]
+    comma = F.when(F.col("rec_id") == first, F.lit("")).otherwise(F.lit(","))
+    lines = rows.select("rec_id", F.concat(comma, "value").alias("value"), F.lit(1).alias("part")).unionByName(ends)
+    path = _folder(spark)
+    lines.repartition(1).sortWithinPartitions("part", "rec_id").select("value").write.text(path)
+    return read_questions(spark, path, array=True)

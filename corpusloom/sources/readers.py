@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpusloom.operators.joins import lookup_join
+from corpusloom.sources.arrays import read_array
 from corpusloom.sources.staging import stage
 
 CHAT = "messages ARRAY<STRUCT<role: STRING, content: STRING>>"
@@ -133,17 +134,16 @@ def _documents(
 ) -> DataFrame:
     if not array:
         return _lines(spark, path, schema, needed)
-    reader = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST")
-    scan = reader.json(path)
-    rows = _number(scan, *[F.col(c) for c in scan.columns])
+    rows = read_array(spark, path, schema, natural_order(F.col("file")))
     return rows.select(
-        "ord", *[F.coalesce(c, _at_line(f"no {c}")).alias(c) if c in needed else F.col(c) for c in scan.columns]
+        "ord",
+        *[F.coalesce(c, _at_line(f"no {c}")).alias(c) if c in needed else F.col(c) for c in rows.columns if c != "ord"],
     )
 
 
 def read_questions(spark: SparkSession, path: str | list[str], array: bool = False) -> DataFrame:
-    """Raw questions from JSON Lines; with ``array`` each file is one JSON array
-    and is read by one task."""
+    """Raw questions from JSON Lines; with ``array`` each file is one JSON array,
+    which many tasks read."""
     return _documents(spark, path, QUESTION, array, ["db_id", "query", "question"])
 
 
