@@ -80,8 +80,10 @@ def _narrow(docs: DataFrame, key: str, text: str, source: str, seed: int) -> Dat
         let(size_of(body), lambda n: F.struct(n.alias("size"), quality_of(body, n).alias("quality"))).alias("s"),
     )
     drawn = -F.log(unit_hash("key", salt=seed)) / F.col("s.quality")
-    # exponential keys to cells of similar weight; any monotone map would do
-    cell = F.floor(F.lit(CELLS) * (1 - F.exp(-drawn))).cast("int")
+    # Any monotone map to cells would do. Of the documents of one quality q a cell
+    # gets (1 + d)^2 q exp(-q d) / CELLS at most, which is below 6 / CELLS from
+    # MIN_QUALITY up: no cell is more than a thousandth of a source.
+    cell = F.floor(F.lit(CELLS) * drawn / (1 + drawn)).cast("int")
     return stage(
         sized.select("key", "source", "digest", F.col("s.size").alias("size"), drawn.alias("draw"), cell.alias("cell"))
     )

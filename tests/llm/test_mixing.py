@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import defaultdict
 
@@ -99,3 +100,29 @@ def test_mixed_repeats_rows(odd):
 def test_empty_table(none):
     assert mixing.mix(none).count() == 0
     assert mixing.mixed(none).columns == none.columns
+
+
+def test_no_cell_is_large_whatever_the_quality(spark):
+    """A source of pure markup: the cell at the edge of the budget is small."""
+    for text in ("# * | # * |", "plain words only", "one sign # here"):
+        rows = spark.range(60_000).selectExpr("id AS doc_id", f"'{text}' AS text", "'s' AS source")
+        cells = mixing._narrow(rows, "doc_id", "text", "source", 6).groupBy("cell").count()
+        assert cells.agg({"count": "max"}).first()[0] <= 60_000 * 0.001
+
+
+def test_the_documents_with_the_smallest_keys_are_taken(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 9) + ["#"] * rng.randint(0, 4)), rng.choice(["a", "b", "c"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    keys = {r["key"]: r for r in mixing._narrow(df, "doc_id", "text", "source", 6).collect()}
+    drawn = {r["key"]: r for r in mixing.draw(df).collect()}
+    for source in "abc":
+        mine = sorted((k for k, r in keys.items() if r["source"] == source), key=lambda k: keys[k]["draw"])
+        first = drawn[mine[0]]
+        full = int(first["target"] // first["source_size"])
+        rest = first["target"] - full * first["source_size"]
+        before = 0
+        for k in mine:
+            taken = full + (before + keys[k]["size"] / 2 <= rest and before <= rest)
+            assert drawn[k]["epochs"] == taken, (source, k)
+            before += keys[k]["size"]
