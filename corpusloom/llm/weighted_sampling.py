@@ -44,6 +44,8 @@ TABLE_ROWS = 1 << 14
 TERM_BLOCK = 4096
 SEED = 2010
 ROWS_PER_PART = 20_000
+# of the quantiles that cut the parts: a part errs by that share of the rows at most
+ACCURACY = 1_000_000
 
 
 def random_tables(samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,13 +140,17 @@ def _bounds(docs: DataFrame, key: str) -> tuple[list[int], int | None]:
     session = docs.sparkSession
     parts = max(3 * int(session.conf.get("spark.sql.shuffle.partitions")), -(-total // ROWS_PER_PART))
     shares = [i / parts for i in range(1, parts)]
-    found = docs.agg(F.percentile_approx(docs[f"`{key}`"], shares, 20 * parts)).first()[0]
+    found = docs.agg(F.percentile_approx(docs[f"`{key}`"], shares, min(20 * parts, ACCURACY))).first()[0]
     return sorted(set(found or []), reverse=True), largest
 
 
+def _table(bounds: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, bounds)) or "x"), ",").try_cast("array<bigint>")
+
+
 def _place(key: Column, bounds: list[int]) -> Column:
     """How many bounds are at or above the key, by bisection; null comes last."""
-    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    table = _table(bounds)
     steps = F.sequence(F.lit(0), F.lit(max(len(bounds), 1).bit_length()))
 
     def halve(range_: Column, _: Column) -> Column:
@@ -167,7 +173,8 @@ def in_parts(docs: DataFrame, key: str, text: str) -> DataFrame:
     k, body = docs[f"`{key}`"], F.coalesce(docs[f"`{text}`"], F.lit(""))
     first = k.eqNullSafe(F.lit(largest).cast(docs.schema[key].dataType))
     placed = docs.select(k.alias("key"), body.alias("text"), _place(k, bounds).alias("own"), first.alias("first"))
-    starts = F.array_contains(F.split(F.lit(",".join(map(str, bounds)) or "x"), ",").try_cast("array<bigint>"), F.col("key"))
+    # the last of the bounds at or above a key is the key itself, or none is
+    starts = F.coalesce(F.get(_table(bounds), F.col("own") - 1) == F.col("key"), F.lit(False))
     stays = F.array(F.struct(F.col("own").alias("part"), F.lit(0).alias("guest")))
     none = F.array().cast("array<struct<part: int, guest: int>>")
     before = F.when(starts, F.array(F.struct((F.col("own") - 1).alias("part"), F.lit(1).alias("guest")))).otherwise(none)

@@ -57,6 +57,16 @@ def test_many_parts(spark, monkeypatch):
     check(sorted(rows, reverse=True), ws.edits(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)))
 
 
+def test_bounds_are_found_by_bisection(spark, monkeypatch):
+    rows = [(i * 3, f"text number {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = sorted(map(tuple, ws.edits(df).collect()))
+    monkeypatch.setattr(ws, "ROWS_PER_PART", 1)
+    fine = ws.edits(df)
+    assert "array_contains" not in fine._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, fine.collect())) == whole
+
+
 def test_one_row_follows_itself(spark):
     r = ws.edits(spark.createDataFrame([(3, "abcdef")], "doc_id bigint, text string")).collect()
     assert len(r) == 1 and r[0]["edited_sha256"] == hashlib.sha256(b"abcabc").hexdigest() and r[0]["near_next"] == 1
