@@ -72,6 +72,17 @@ def test_personal_data(outputs):
         assert r["text"] == redacted(texts[r["doc_id"]]) and r["n_chars"] == len(r["text"])
 
 
+def test_personal_data_by_disclosure(spark):
+    """The stage removes what gives an address away, also where the address is not."""
+    rows = [(i, f"part{i} Zebulon me@x.org") for i in range(5)] + [(20, "so said Zebulon")]
+    rows += [(100 + i, f"other text {i}") for i in range(400)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["PII"]
+    after = {r["doc_id"]: r for r in stage(spark, docs, "").collect()}
+    assert after[3]["text"] == "part3  <EMAIL>" and after[20]["text"] == "so said "
+    assert after[20]["n_chars"] == 8 and after[107]["text"] == "other text 7"
+
+
 def test_mixing(outputs):
     before, copies = outputs[3], Counter(r["doc_id"] for r in outputs[4])
     sizes, taken = Counter(), Counter()
