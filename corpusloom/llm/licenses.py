@@ -1,7 +1,9 @@
 """Licence scan: TF-IDF cosine to templates, then inheritance along paths.
 
-*Passages.* Every line of a file that holds a cue word is a passage; a file
-whose name says that it is a licence file is one more passage as a whole.
+*Passages.* Every line of a file that holds a cue word is a passage, and so is
+every block of comment lines that holds one, its lines joined, as notices are
+wrapped; a file whose name says that it is a licence file is one more passage as a
+whole.
 *Vectors.* Terms are lower-case words and numbers. A term's IDF comes from all
 passages, ``ln((1 + N) / (1 + df)) + 1``. Vectors are rows (passage, term,
 weight); joined with the templates' weights of the term, they are summed to the
@@ -14,7 +16,10 @@ of the nearest directory above it that has one: the distinct directories are
 joined, by their ancestors, with those that have a licence, and the files with
 the result.
 
-Templates are a short fixed list, so their terms may be broadcast. All texts
+Templates are a short fixed list, so their terms may be broadcast: notices, the
+identifiers that SPDX lines name, and the bodies of short licences. Terms,
+directories and paths are looked up by joins that salt hot keys: every notice
+holds the same words, and the root is above every directory. All texts
 are scanned whole. Null or empty text has no passage, a null path no directory;
 repeated rows are judged alike. An empty table gives an empty result.
 """
@@ -26,15 +31,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.llm.common import let
+from corpusloom.operators.joins import lookup_join
 from corpusloom.sources.staging import stage
 
 THRESHOLD = 0.7
 CUES = "(?i)licen[cs]|copyright|copyleft|public domain|rights reserved|spdx|hereby granted|redistribution"
 LICENCE_FILE = "(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
 TERM = "[\\p{L}\\p{N}]+(?:[.-][\\p{L}\\p{N}]+)*"
+# what a comment line begins with, and two or more such lines
+MARK = "[ \\t]*(?:#+|//+|/\\*+|\\*+/?|--+|;+|%+|<!--)"
+BLOCK = f"(?m)(?:^{MARK}[^\\n]*(?:\\n|\\z)){{2,}}"
 
 # fixed values: wording of notices by licence name
-TEMPLATES = (
+NOTICES = (
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
@@ -55,6 +64,73 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+# fixed values: SPDX identifiers by licence name
+IDENTIFIERS = {
+    "AGPL-3.0": ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"),
+    "Apache-2.0": ("Apache-2.0",),
+    "BSD": ("BSD-2-Clause", "BSD-3-Clause"),
+    "CC-BY-4.0": ("CC-BY-4.0",),
+    "CC-BY-NC-4.0": ("CC-BY-NC-4.0",),
+    "CC-BY-SA-4.0": ("CC-BY-SA-4.0",),
+    "CC0-1.0": ("CC0-1.0",),
+    "GPL-2.0": ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"),
+    "GPL-3.0": ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"),
+    "ISC": ("ISC",),
+    "LGPL-3.0": ("LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "MIT": ("MIT",),
+    "MPL-2.0": ("MPL-2.0",),
+    "Unlicense": ("Unlicense",),
+}
+
+# fixed values: bodies of short licences
+BODIES = (
+    (
+        "BSD",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+        "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
+        "other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of "
+        "its contributors may be used to endorse or promote products derived from this software without specific "
+        "prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY "
+        "EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+        "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+        "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+        "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+        "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+        "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF "
+        "THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING "
+        "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+        "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR "
+        "PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the Software), to deal in the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The "
+        "above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+        "the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT "
+        "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+        "EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN "
+        "AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE "
+        "OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+)
+TEMPLATES = (
+    *NOTICES,
+    *((name, f"SPDX-License-Identifier: {i}") for name, ids in IDENTIFIERS.items() for i in ids),
+    *BODIES,
+)
+
 
 def directory_of(path: Column) -> Column:
     """Path without its last name; the empty string is the root."""
@@ -66,12 +142,19 @@ def _terms(text: Column) -> Column:
 
 
 def passages(files: DataFrame) -> DataFrame:
-    """``path, line, text``: lines with a cue, and licence files whole (line -1).
-    Equal paths count as one file with several texts."""
+    """``path, line, text``: lines with a cue, blocks of comment lines with one (line
+    -2 and below), and licence files whole (line -1). Equal paths count as one file
+    with several texts."""
     cued = files.where(F.col("path").isNotNull() & F.col("text").rlike(CUES))
     lines = cued.select("path", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.col("text").rlike(CUES))
+    possessive = BLOCK + "+"  # a long block must not recurse
+    blocks = F.regexp_extract_all("text", F.lit(possessive), F.lit(0))
+    commented = cued.select("path", F.posexplode(blocks).alias("at", "text")).select(
+        "path", (-2 - F.col("at")).alias("line"),
+        F.regexp_replace(F.regexp_replace("text", f"(?m)^{MARK}", " "), "\\n", " ").alias("text"),
+    ).where(F.col("text").rlike(CUES))
     whole = files.where(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE) & F.col("text").isNotNull())
-    return lines.union(whole.select("path", F.lit(-1).alias("line"), "text"))
+    return lines.union(commented).union(whole.select("path", F.lit(-1).alias("line"), "text"))
 
 
 def _counted(terms: Column) -> Column:
@@ -115,7 +198,7 @@ def similarities(found: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     # as many rows as the templates have terms
     vectors = F.broadcast(scaled)
 
-    weighted = terms.join(rarity, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    weighted = lookup_join(terms, rarity, ["term"]).select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     known = weighted.join(vectors, "term", "left")
     dots = [
         F.sum(F.col("w") * F.coalesce(F.try_element_at("of", F.lit(i)), F.lit(0.0))).alias(f"dot{i}")
@@ -140,7 +223,7 @@ def inherited(directories: DataFrame, speaking: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
     )
     ancestors = directories.select("directory", F.explode(F.array_distinct(above)).alias("at"))
-    reached = ancestors.join(speaking, "at").select("directory", "at", "license", F.length("at").alias("depth"))
+    reached = lookup_join(ancestors, speaking, ["at"]).select("directory", "at", "license", F.length("at").alias("depth"))
     nearest = reached.groupBy("directory").agg(F.max(F.struct("depth", "at", "license")).alias("n"))
     return nearest.select("directory", F.col("n.at").alias("from_directory"), F.col("n.license").alias("license"))
 
@@ -159,7 +242,7 @@ def scan(files: DataFrame, key: str, path: Column, text: str = "text") -> DataFr
     ).select("at", F.col("best.license").alias("license"))
     rows = stage(given.select("key", "path", directory_of(F.col("path")).alias("directory")))
     resolved = inherited(rows.select("directory").where(F.col("directory").isNotNull()).distinct(), speaking)
-    joined = rows.join(own, "path", "left").join(resolved, "directory", "left")
+    joined = lookup_join(lookup_join(rows, own, ["path"], "left", staged=True), resolved, ["directory"], "left")
     taken = F.col("own_license").isNull()
     return joined.select(
         F.col("key").alias(key),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpusloom.llm.licenses import BLOCK, MARK, TEMPLATES
+
 OP10_RULE_CASCADE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
@@ -22,7 +24,7 @@ WITH d AS (
   SELECT doc_id, len(words) AS n_words,
          coalesce(CAST(list_sum(list_transform(words, lambda x: length(x))) AS BIGINT), 0) AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
-         len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
          coalesce(n, 0) AS n_repeat_words
   FROM w LEFT JOIN covered USING (rid)
 ), f AS (
@@ -30,32 +32,15 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars > 30 * n_words
-            OR word_chars < 2 * n_words) AS kept
+            OR word_chars < 2 * n_words OR 2 * n_dup_lines > n_lines) AS kept
 FROM f
 """
 
-# fixed values: the licence names and notices, as the scan has them
-_TEMPLATES = """
-  (0, 'AGPL-3.0', 'This program is licensed under the GNU Affero General Public License, version 3.'),
-  (1, 'Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
-  (2, 'Apache-2.0', 'Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.'),
-  (3, 'BSD', 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met'),
-  (4, 'BSD', 'Released under the BSD License.'),
-  (5, 'CC-BY-4.0', 'This work is licensed under CC BY 4.0.'),
-  (6, 'CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
-  (7, 'CC-BY-SA-4.0', 'Licensed under CC BY-SA 4.0.'),
-  (8, 'CC0-1.0', 'To the extent possible under law, the author has dedicated this work to the public domain under CC0 1.0.'),
-  (9, 'GPL-2.0', 'This work is licensed under the GNU General Public License, version 2.'),
-  (10, 'GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
-  (11, 'ISC', 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted'),
-  (12, 'LGPL-3.0', 'This work is licensed under the GNU Lesser General Public License, version 3.'),
-  (13, 'MIT', 'Released under the MIT License.'),
-  (14, 'MIT', 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files'),
-  (15, 'MPL-2.0', 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.'),
-  (16, 'proprietary', 'All rights reserved.'),
-  (17, 'Unlicense', 'This is free and unencumbered software released into the public domain.')
-"""
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
 
+_TEMPLATES = ", ".join(f"({i}, {_quoted(name)}, {_quoted(t)})" for i, (name, t) in enumerate(TEMPLATES))
 _CUES = "(?i)licen[cs]|copyright|copyleft|public domain|rights reserved|spdx|hereby granted|redistribution"
 _TERM = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 
@@ -73,6 +58,12 @@ WITH files AS (
   SELECT path, line FROM (SELECT path, unnest(string_split(text, chr(10))) AS line FROM files)
   WHERE regexp_matches(line, '{_CUES}')
   UNION ALL
+  SELECT path, line FROM (
+    SELECT path, regexp_replace(regexp_replace(unnest(regexp_extract_all(text, '{BLOCK}')), '(?m)^{MARK}', ' ', 'g'),
+                                chr(10), ' ', 'g') AS line
+    FROM files WHERE regexp_matches(text, '{_CUES}'))
+  WHERE regexp_matches(line, '{_CUES}')
+  UNION ALL
   SELECT path, text AS line FROM dirs WHERE is_licence AND text IS NOT NULL
 ), texts AS (
   SELECT line, count(*) AS times FROM passages GROUP BY line

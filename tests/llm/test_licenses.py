@@ -45,6 +45,52 @@ def test_tree(tree):
     }
 
 
+WRAPPED = """#!/usr/bin/env python
+# Copyright 2020 somebody
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with
+# the License.
+import x
+"""
+
+
+def test_licences_as_they_stand_in_files(spark):
+    """A whole licence file, a wrapped header, SPDX lines, and what is none."""
+    bodies = dict(licenses.BODIES)
+    wrap = lambda text: "\n".join(re.findall(r".{1,70}(?: |$)", text))
+    files = [
+        ("m/LICENSE", "MIT License\n\nCopyright (c) 2021 Jane Doe\n\n" + wrap(bodies["MIT"])),
+        ("b/LICENSE.md", "Copyright 2019, The Authors\n\n" + wrap(bodies["BSD"])),
+        ("i/COPYING", wrap(bodies["ISC"])),
+        ("w/a.py", WRAPPED),
+        ("w/b.c", "/* SPDX-License-Identifier: GPL-2.0-only */\nint x;"),
+        ("w/c.rs", "// SPDX-License-Identifier: MIT\nfn main() {}"),
+        ("w/d.rs", "// SPDX-License-Identifier: My-Own-1.0\nfn main() {}"),
+        ("w/e.py", "# the driver's licence\n# of the region\n# is checked here\nprint()"),
+        ("w/f.py", "# x\n" * 30_000 + "# All rights reserved."),
+    ]
+    files += [(f"z/{i}.txt", f"a copyright line number {i} with other words {i * 7}") for i in range(40)]
+    df = spark.createDataFrame(files, "path string, text string")
+    got = {r["path"]: r["own_license"] for r in licenses.scan(df, "path", F.col("path")).collect()}
+    assert {p: got[p] for p, _ in files[:9]} == {
+        "m/LICENSE": "MIT", "b/LICENSE.md": "BSD", "i/COPYING": "ISC", "w/a.py": "Apache-2.0", "w/b.c": "GPL-2.0",
+        "w/c.rs": "MIT", "w/d.rs": None, "w/e.py": None, "w/f.py": "proprietary",
+    }
+    assert not any(got[p] for p, _ in files[9:])
+
+
+def test_one_directory_of_half_the_files(spark, monkeypatch):
+    from corpusloom.operators import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    files = [("LICENSE", "Released under the MIT License.")] + [(f"a/b/{i}.py", "x") for i in range(600)]
+    files += [(f"d{i}/x.py", "All rights reserved.") for i in range(600)]
+    rows = licenses.scan(spark.createDataFrame(files, "path string, text string"), "path", F.col("path")).collect()
+    assert sum(r["license"] == "MIT" and r["inherited_from"] == "" for r in rows) == 600
+    assert sum(r["own_license"] == "proprietary" for r in rows) == 600
+
+
 def test_scores_equal_brute_force(spark):
     lines = [
         "Licensed under the Apache License, Version 2.0.",

@@ -17,8 +17,9 @@ def metrics(text):
     symbols = len(re.findall(r"[#*$%&|<>]", text))
     failed = n < 50 or 100 * len(inside) > 50 * n
     chars = sum(map(len, words))
-    bad = failed or 10 * symbols > 3 * n or chars > 30 * n or chars < 2 * n
-    return (n, chars, symbols, len(lines) - len(set(lines)), len(inside), failed, not bad)
+    again = len(lines) - len(set(lines))
+    bad = failed or 10 * symbols > 3 * n or chars > 30 * n or chars < 2 * n or 2 * again > len(lines)
+    return (n, chars, symbols, again, len(inside), failed, not bad)
 
 
 def as_rows(frame):
@@ -54,6 +55,21 @@ def test_order_does_not_change_the_verdict(odd):
     assert verdicts[0] == verdicts[1]
 
 
+def test_pages_of_repeated_lines_go(spark):
+    own = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    lines = {1: [own(1), *["short line"] * 3, own(2)], 2: [own(3), own(4)], 3: [own(5), "a", "a"], 4: [own(6), *["b"] * 4]}
+    docs = spark.createDataFrame([(k, "\n".join(v)) for k, v in lines.items()], "doc_id int, text string")
+    assert {r["doc_id"]: r["kept"] for r in rule_cascade.report(docs, "doc_id").collect()} == {1: True, 2: True, 3: True, 4: False}
+
+
+def test_order_is_the_same_every_time(spark):
+    """Rules of clearly different worth."""
+    docs = spark.read.parquet(str(TESTDATA / "sf0.01" / "documents.parquet"))
+    sample = rule_cascade.sample_of(docs, "text")
+    orders = {tuple(rule_cascade.plan(sample, "text")[:2]) for _ in range(4)}
+    assert len(orders) == 1 and next(iter(orders))[0] == "few_words"
+
+
 def test_plan_names_every_rule_once(odd):
     order = rule_cascade.plan(rule_cascade.sample_of(odd, "text"), "text")
     assert sorted(order) == sorted(r.name for r in rule_cascade.RULES)
