@@ -299,21 +299,31 @@ def term_spans(docs: DataFrame, key: str, text: str, held: DataFrame) -> DataFra
     told = stage(_shares(pairs, said, total).groupBy("term").agg(F.max("share").alias("share")))
     if told.isEmpty():
         return None
-    hit = lookup_join(said, told.select("term"), ["term"], "left_semi").select("key", "digest").distinct()
-    rows = lookup_join(_texts(docs, key, text), hit, ["key", "digest"], "left_semi")
-    plain = _term_text(F.col("text"), base_spans(F.col("text")))
-    spans = rows.select("key", "digest", F.inline(let(plain, lambda t: _located(t, TERM, 4, "generalise"))))
-    removed = F.col("share") >= REMOVE
-    span = F.struct(
-        "start",
+    # of a row the terms it holds, as a set: repeated rows hold the same
+    hit = lookup_join(said, told, ["term"], staged=True).groupBy("key", "digest").agg(
+        F.collect_set(F.struct("term", "share")).alias("own")
+    )
+    rows = lookup_join(_texts(docs, key, text), hit, ["key", "digest"])
+    plain = rows.select("key", "digest", "own", _term_text(F.col("text"), base_spans(F.col("text"))).alias("plain"))
+    spans = plain.select("key", "digest", "own", _located(F.col("plain"), TERM, 4, "generalise").alias("spans"))
+    told_here = F.filter("spans", lambda s: F.array_contains(F.col("own.term"), s["value"]))
+    named = spans.select("key", "digest", "own", told_here.alias("spans")).select(
+        "key", "digest", F.transform("spans", lambda s: _named(s, F.map_from_entries("own"))).alias("extra")
+    )
+    # rows that are repeated have the same spans
+    return stage(named.groupBy("key", "digest").agg(F.first("extra").alias("extra")))
+
+
+def _named(span: Column, share: Column) -> Column:
+    """The span of a term by what becomes of it."""
+    removed = F.try_element_at(share, span["value"]) >= REMOVE
+    return F.struct(
+        span["start"].alias("start"),
         F.when(removed, 5).otherwise(4).alias("no"),
         F.when(removed, F.lit("remove")).otherwise(F.lit("generalise")).alias("kind"),
-        "end",
-        "value",
-    ).cast(SPAN)
-    hits = lookup_join(spans.withColumnRenamed("value", "term"), told, ["term"], staged=True)
-    # a set, as repeated rows have the same spans
-    return stage(hits.withColumnRenamed("term", "value").groupBy("key", "digest").agg(F.collect_set(span).alias("extra")))
+        span["end"].alias("end"),
+        span["value"].alias("value"),
+    )
 
 
 def _with_extra(rows: DataFrame, extra: DataFrame | None) -> DataFrame:
