@@ -15,7 +15,7 @@ def rows_of(df, *columns):
     return sorted(map(tuple, df.select(*columns).collect()), key=repr)
 
 
-@pytest.mark.parametrize("seed, cap, size", [(1, 2, 40), (2, 5, 90), (3, 1, 15), (4, 30, 10)])
+@pytest.mark.parametrize("seed, cap, size", [(1, 2, 40), (2, 5, 90)])
 def test_quota_sample_from_states(spark, seed, cap, size):
     rng = random.Random(seed)
     rows = [(i, rng.choice("abcd"), rng.choice(["g1", "g2", "g3", None, *[f"h{k}" for k in range(30)]])) for i in range(600)]
@@ -31,7 +31,7 @@ def test_quota_sample_from_states(spark, seed, cap, size):
     assert rows_of(picks, "rec_id", "pick_pass") == rows_of(whole, "rec_id", "pick_pass")
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_split_keeps_labels_and_counts(spark, seed):
     rng = random.Random(seed)
     rows = [(i, rng.choice(["x", "x", "x", "y", None, f"z{i % 40}"])) for i in range(900)]
