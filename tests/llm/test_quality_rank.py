@@ -79,3 +79,58 @@ def test_odd_rows_and_missing_labels(spark, odd, none):
     scores = [r["score"] for r in quality_rank.scored(odd, "doc_id", "text", ranking).collect()]
     assert len(scores) == odd.count() and all(0 <= s <= 1 for s in scores)
     assert quality_rank.scored(none, "doc_id", "text", ranking).count() == 0
+
+
+def test_every_label_trains(spark, monkeypatch):
+    """The last documents by any order count: the mean is that of all."""
+    monkeypatch.setattr(quality_rank, "MAX_LABELLED", 50, raising=False)
+    monkeypatch.setattr(quality_rank, "BLOCK", 40)
+    docs, labels = labelled(spark)
+    ranking = quality_rank.train(docs, labels, "doc_id", "text", "quality", F.lit(True))
+    x = np.array([r["x"] for r in docs.select(quality_rank.features(F.col("text")).alias("x")).collect()])
+    assert np.allclose(ranking.mean, x.mean(axis=0), atol=1e-8)
+    assert np.allclose(ranking.spread, np.where(x.std(axis=0) < 1e-9, 1, x.std(axis=0)), atol=1e-6)
+    again = quality_rank.train(docs.repartition(5), labels.repartition(3), "doc_id", "text", "quality", F.lit(True))
+    assert ranking == again
+    rows = quality_rank.scored(docs, "doc_id", "text", ranking, quality_rank.vectors_of(docs, "doc_id", "text"))
+    assert all(r["predicted"] == int(r["doc_id"] % 3 != 0) for r in rows.collect())
+
+
+def test_blocks_hold_every_document_and_both_labels(spark, monkeypatch):
+    monkeypatch.setattr(quality_rank, "BLOCK", 20)
+    rows = spark.range(1000).select(
+        F.col("id").alias("k"), (F.col("id") % 200 != 7).alias("better"), F.array(F.col("id").cast("double")).alias("x")
+    )
+    blocks = quality_rank.blocks_of(rows, 1000, 995).collect()
+    assert {v for b in blocks for v in b["x"]} == set(map(float, range(1000))) and len(blocks) == 50
+    assert all(True in b["better"] and False in b["better"] for b in blocks)
+    one = [v for b in blocks for v, y in zip(b["x"], b["better"]) if y]
+    assert len(one) == len(set(one))
+
+
+def test_sums_of_blocks_are_those_of_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(quality_rank, "BLOCK", 30)
+    rng = np.random.default_rng(4)
+    data = [(i, bool(rng.random() < 0.6), rng.normal(size=3).tolist()) for i in range(150)]
+    rows = spark.createDataFrame(data, "k bigint, better boolean, x array<double>")
+    blocks = quality_rank.blocks_of(rows, 150, sum(y for _, y, _ in data))
+    mean, spread, w = np.array([0.1, 0, 0]), np.array([1.0, 2, 1]), np.array([0.5, -0.2, 1])
+    gradient, curve = quality_rank.block_sums(blocks, mean, spread)(w)
+    pairs = np.concatenate([
+        quality_rank.pair_differences(
+            (np.array(b["x"]).reshape(-1, 3) - mean) / spread, np.array(b["better"]),
+            np.random.default_rng([quality_rank.SEED, b["block"]]),
+        )
+        for b in blocks.collect()
+    ])
+    expected = quality_rank.loss_sums(pairs, w)
+    assert np.allclose(gradient, expected[0]) and np.allclose(curve, expected[1])
+
+
+def test_quantile_equals_numpy(spark):
+    rng = np.random.default_rng(5)
+    cases = [rng.normal(size=500), np.repeat([1.0, 2.0, 2.0, 7.5], 40), np.array([3.0]), np.exp(rng.normal(size=99) * 20)]
+    for numbers in cases:
+        values = spark.createDataFrame([(float(v),) for v in numbers], "v double")
+        for q in (0.0, 0.13, 0.5, 1.0):
+            assert np.isclose(quality_rank.quantile(values, len(numbers), q), np.quantile(numbers, q), rtol=1e-12)
