@@ -31,7 +31,7 @@ from corpusloom.sources.readers import (
     read_chat, read_manifest, read_predictions, read_questions, read_splits,
 )
 from corpusloom.sources.staging import shared_folder, stage
-from corpusloom.sources.writers import write_jsonl
+from corpusloom.sources.writers import write_jsonl, write_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -762,5 +762,5 @@ def questions_one_array(spark, sf_dir):
     comma = F.when(F.col("rec_id") == first, F.lit("")).otherwise(F.lit(","))
     lines = rows.select("rec_id", F.concat(comma, "value").alias("value"), F.lit(1).alias("part")).unionByName(ends)
     path = _folder(spark)
-    lines.repartition(1).sortWithinPartitions("part", "rec_id").select("value").write.text(path)
+    write_lines(stage(lines.orderBy("part", "rec_id").select("value")), path)
     return read_questions(spark, path, array=True)

@@ -1,11 +1,17 @@
-"""Writers: JSON Lines folders."""
+"""Writers: JSON Lines folders, and one text file of many parts."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+# executors get the functions below by value, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def write_jsonl(
     df: DataFrame,
@@ -33,3 +39,27 @@ def write_jsonl(
 def write_summary(df: DataFrame, path: str) -> None:
     """Write a small result (statistics, metrics, a report) as a single file."""
     df.coalesce(1).write.json(path)
+
+
+def write_lines(staged: DataFrame, path: str) -> None:
+    """Write a staged table of one column ``value`` as a single text file, its
+    parts one after the other.
+
+    A file has one writer, but that one neither sorts nor holds the rows: order
+    them by many tasks before they are staged.
+    """
+    parts = staged.sparkSession.createDataFrame(
+        pa.table({"parts": pa.array([sorted(staged.inputFiles())], pa.list_(pa.string()))})
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for batch in batches:
+            for part in batch["parts"][0].as_py():
+                store, place = fs.FileSystem.from_uri(part)
+                with store.open_input_file(place) as file:
+                    yield from pq.ParquetFile(file).iter_batches(8192, columns=["value"])
+
+    parts.coalesce(1).mapInArrow(run, "value string").write.text(path)

@@ -7,7 +7,7 @@ from corpusloom.functions.prompts import message
 from corpusloom.operators import joins
 from corpusloom.sources import readers
 from corpusloom.sources.staging import purge, shared_folder, stage
-from corpusloom.sources.writers import write_jsonl, write_summary
+from corpusloom.sources.writers import write_jsonl, write_lines, write_summary
 
 
 def chat_line(i):
@@ -150,3 +150,32 @@ def test_purge_removes_the_folder(spark, monkeypatch, tmp_path):
     assert (tmp_path / "mine").exists()
     purge(spark)
     assert not (tmp_path / "mine").exists()
+
+
+def test_one_file_of_many_parts(spark, tmp_path):
+    """The writer of the file does not sort, so its memory does not grow."""
+    lines = spark.range(5000, numPartitions=7).select(
+        F.col("id").alias("n"), F.when(F.col("id") == 9, "").otherwise(F.concat(F.lit('é "'), "id")).alias("value")
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        staged = stage(lines.orderBy(F.desc("n")).select("value"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(staged.inputFiles()) > 1
+    write_lines(staged, str(tmp_path / "one"))
+    files = list((tmp_path / "one").glob("part-*"))
+    assert len(files) == 1
+    assert files[0].read_text().split("\n") == ["" if i == 9 else f'é "{i}' for i in reversed(range(5000))] + [""]
+
+
+def test_query_of_one_array_has_no_task_that_sorts_all(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from corpusloom.registry import queries
+
+    seen = []
+    monkeypatch.setattr(queries, "write_lines", lambda staged, path: (seen.append(staged), write_lines(staged, path)))
+    rows = entry.queries()["questions_one_array"](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1
+    values = [r["value"] for r in seen[0].collect()]
+    assert rows.count() == len(values) - 2
