@@ -203,15 +203,9 @@ def with_position(
     )
 
 
-def in_order(
-    rows: DataFrame, major: str, sizes: Mapping[int, int], partitions: int
-) -> DataFrame:
-    """Move rows so that partitions follow the order (``major``, shuffle key).
-
-    A range partitioning would read its whole input once more to sample it. The
-    keys are known to be uniform, so their leading digits give the partition.
-    ``sizes`` holds the number of rows per value of ``major``.
-    """
+def _targets(major: str, sizes: Mapping[int, int], partitions: int) -> tuple[Column, int]:
+    """The partition of a row in the order (``major``, shuffle key), and their
+    number. Keys are uniform, so their leading digits give the partition."""
     total = max(sum(sizes.values()), 1)
     digits = 6
     place = F.conv(F.substring("shuffle_key", 1, digits), 16, 10).cast("long")
@@ -222,13 +216,29 @@ def in_order(
             F.col(major) == value, F.lit(start) + F.shiftright(place * width, 4 * digits)
         )
         start += width
-    return rows if not sizes else rows.repartitionById(start, target.cast("int"))
+    return target.cast("int") if sizes else F.lit(0), start
+
+
+def in_order(
+    rows: DataFrame, major: str, sizes: Mapping[int, int], partitions: int
+) -> DataFrame:
+    """Move rows so that partitions follow the order (``major``, shuffle key).
+
+    A range partitioning would read its whole input once more to sample it; the
+    partition is computed from the key instead. ``sizes`` holds the number of
+    rows per value of ``major``.
+    """
+    target, n = _targets(major, sizes, partitions)
+    return rows if not sizes else rows.repartitionById(n, target)
 
 
-def rows_before(ranged: DataFrame) -> DataFrame:
-    """``_target, _ahead`` for rows moved by ``in_order``: how many rows the
-    partitions before hold. One row per partition."""
-    counts = ranged.groupBy(F.spark_partition_id().alias("_target")).agg(F.count(F.lit(1)).alias("_n"))
+def rows_before(
+    rows: DataFrame, major: str, sizes: Mapping[int, int], partitions: int
+) -> DataFrame:
+    """``_target, _ahead`` for rows that ``in_order`` will move: how many rows the
+    partitions before hold. One row per partition, no other row is moved."""
+    target, _ = _targets(major, sizes, partitions)
+    counts = rows.groupBy(target.alias("_target")).agg(F.count(F.lit(1)).alias("_n"))
     ahead = F.sum("_n").over(Window.orderBy("_target")) - F.col("_n")
     return stage(counts.select("_target", ahead.alias("_ahead")))
 

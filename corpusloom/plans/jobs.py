@@ -156,6 +156,7 @@ def merge_and_split(
     val_frac: float = VAL_FRAC,
     test_frac: float = TEST_FRAC,
     stored_ord: Collection[str] = (),
+    compression: str | None = None,
 ) -> DataFrame:
     """Merge the sources and split them by (source, bucket).
 
@@ -164,7 +165,9 @@ def merge_and_split(
     ``position``, and ``split_stats``. Positions run through training,
     validation and test records: ``read_chat(..., stored_ord="position")`` of
     ``records`` as a whole is the merged set in order. Returns the manifest.
-    Sources named in ``stored_ord`` bring their own ``ord``.
+    Sources named in ``stored_ord`` bring their own ``ord``. ``compression`` is
+    that of the records and the manifest, whose files hold ``OUTPUT_BYTES`` of
+    text each.
 
     The split is decided on a narrow table; the records themselves are moved
     once, by the shuffle that puts the output in its random order.
@@ -192,10 +195,10 @@ def merge_and_split(
         ranged = in_order(df, "_rank", sizes, partitions).sortWithinPartitions("split", *order)
         if positions is not None:
             ranged = with_running_position(ranged, positions)
-        write_jsonl(ranged, f"{outdir}/{name}", [], ["split"], columns)
+        write_jsonl(ranged, f"{outdir}/{name}", [], ["split"], columns, compression)
         return ranged
 
-    ahead = rows_before(in_order(listed, "_rank", sizes, partitions))
+    ahead = rows_before(listed, "_rank", sizes, partitions)
     written(labelled(with_shuffle_key(rows, seed)), "records", ["rec_id", "position", "messages"], ahead)
     written(listed, "manifest", ["rec_id", "source", "bucket", "db", "position"], ahead)
     summary = split_summary(split_stats(listed)).withColumns({

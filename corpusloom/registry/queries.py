@@ -600,9 +600,11 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
-def _written(df: DataFrame, order_by: list[str], columns: list[str]) -> str:
+def _written(
+    df: DataFrame, order_by: list[str], columns: list[str], compression: str | None = None
+) -> str:
     path = _folder(df.sparkSession)
-    write_jsonl(df, path, order_by, columns=columns)
+    write_jsonl(df, path, order_by, columns=columns, compression=compression)
     return path
 
 
@@ -629,11 +631,11 @@ def _merged(spark: SparkSession, sf_dir: str) -> str:
     """Folder with what the merge job writes."""
     rows = stage(records(spark, sf_dir))
     sources = {
-        name: _written(rows.where(F.col("source") == name), ["rec_id"], ["messages"])
+        name: _written(rows.where(F.col("source") == name), ["rec_id"], ["messages"], "gzip")
         for name in ("alpha", "beta")
     }
     out = _folder(spark)
-    jobs.merge_and_split(spark, sources, out, SEED)
+    jobs.merge_and_split(spark, sources, out, SEED, compression="gzip")
     return out
 
 
@@ -702,7 +704,7 @@ def score_by_manifest(spark, sf_dir):
     test = f"{out}/records/split=test"
     gold = read_chat(spark, test, with_id=True).select("ord", message(2).alias("target"))
     answer = F.when(F.length("target") % 3 == 0, F.lit("SELECT FROM WHERE")).otherwise(F.lower("target"))
-    pred = _written(gold.select("ord", answer.alias("sql")), ["ord"], ["sql"])
+    pred = _written(gold.select("ord", answer.alias("sql")), ["ord"], ["sql"], "gzip")
     return jobs.score_predictions(
         spark, test, pred, manifest=read_manifest(spark, f"{out}/manifest"),
         keys=["source", "bucket"], by_id=True,

@@ -19,12 +19,14 @@ def write_jsonl(
     order_by: Sequence[str] = (),
     partition_by: Sequence[str] = (),
     columns: Sequence[str] | None = None,
+    compression: str | None = None,
 ) -> None:
     """Write one JSON object per line, with all columns or with ``columns``.
 
     With ``order_by`` the rows are range partitioned and sorted, so the files in
     the order of their numbers hold the rows in that order. Without, the rows
-    stay as they lie. Null fields are left out.
+    stay as they lie. Null fields are left out. A compressed file is read by one
+    task, so ``compression`` is for files of bounded size.
     """
     if order_by:
         df = df.repartitionByRange(*order_by)
@@ -33,7 +35,7 @@ def write_jsonl(
         df = df.sortWithinPartitions(*partition_by, *order_by)
     if columns is not None:
         df = df.select(*partition_by, *columns)
-    df.write.partitionBy(*partition_by).json(path)
+    df.write.partitionBy(*partition_by).json(path, compression=compression)
 
 
 def write_summary(df: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import ordering
 from corpusloom.operators.ordering import (
-    head, in_order, label_by_rank, take_first, with_position, with_shuffle_key,
+    head, in_order, label_by_rank, rows_before, take_first, with_position, with_shuffle_key,
 )
 
 
@@ -103,3 +103,15 @@ def test_in_order_ranges_without_sampling(spark, rows, partitions):
     assert in_file_order == sorted(in_file_order) and len(placed) == rows.count()
     largest = max(sum(r["p"] == p for r in placed) for p in {r["p"] for r in placed})
     assert largest < 1.5 * rows.count() / partitions + 50
+
+
+def test_rows_before_moves_no_rows(spark):
+    """Counts of the partitions that in_order makes, without moving rows there."""
+    keyed = with_shuffle_key(spark.range(3000).withColumn("major", (F.col("id") % 3).cast("int")), 5, "id")
+    keyed = keyed.where((F.col("major") > 0) | (F.col("id") < 30)).withColumn("wide", F.repeat(F.lit("x"), 1000))
+    sizes = {r["major"]: r["count"] for r in keyed.groupBy("major").count().collect()}
+    moved = in_order(keyed, "major", sizes, 9)
+    counts = dict(moved.groupBy(F.spark_partition_id()).count().collect())
+    ahead = {r["_target"]: r["_ahead"] for r in rows_before(keyed, "major", sizes, 9).collect()}
+    assert ahead == {t: sum(n for other, n in counts.items() if other < t) for t in counts}
+    assert rows_before(keyed.limit(0), "major", {}, 9).count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.prompts import message
 from corpusloom.operators import joins
 from corpusloom.sources import readers
+from corpusloom.sources.readers import read_predictions
 from corpusloom.sources.staging import purge, shared_folder, stage
 from corpusloom.sources.writers import write_jsonl, write_lines, write_summary
 
@@ -179,3 +180,11 @@ def test_query_of_one_array_has_no_task_that_sorts_all(spark, monkeypatch):
     assert len(seen) == 1
     values = [r["value"] for r in seen[0].collect()]
     assert rows.count() == len(values) - 2
+
+
+def test_compressed_lines_are_read_alike(spark, tmp_path):
+    df = spark.range(300).select(F.concat(F.lit("SELECT "), "id").alias("sql"))
+    write_jsonl(df.repartition(4), str(tmp_path / "z"), ["sql"], compression="gzip")
+    assert all(str(f).endswith(".gz") for f in (tmp_path / "z").glob("part-*"))
+    back = read_predictions(spark, str(tmp_path / "z")).orderBy("ord").collect()
+    assert [r["sql"] for r in back] == sorted(f"SELECT {i}" for i in range(300)) and [r["ord"] for r in back] == list(range(300))
