@@ -45,7 +45,8 @@ HEAD_WORDS = 1 << 17
 HEAD_BYTES = 64
 BUCKETS = 1 << 16
 NO_RANK = 2**31 - 1
-MEMO = 250_000
+# words a worker remembers beside the dictionary; most others come once
+MEMO = 1 << 15
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -80,7 +81,10 @@ def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
     for token, rank in ranks.items():
         key = token.hex().upper()
         slots[xxhash.xxh64_intdigest(key, 42) & (BUCKETS - 1)][key] = rank
-    return spark.createDataFrame([(slots,)], "buckets array<map<string,int>>")
+    # by Arrow, as rows would pass through Python workers, which stay and take memory
+    kind = pa.list_(pa.map_(pa.string(), pa.int32()))
+    row = pa.table({"buckets": pa.array([[list(slot.items()) for slot in slots]], kind)})
+    return spark.createDataFrame(row, "buckets array<map<string,int>>")
 
 
 # ---- merges ----
@@ -166,6 +170,32 @@ def head(docs: DataFrame, text: str, pattern: str, ranks: dict[bytes, int], word
     return stage(with_ranks.select("word", let(F.col("b"), lambda b: fold(F.col("word"), b)).alias("ids")))
 
 
+# ---- arrays ----
+#
+# Made of buffers: pa.array() imports pandas, which takes 40 MB of every worker.
+
+
+def _offsets(lengths: list[int]) -> np.ndarray:
+    return np.cumsum([0, *lengths], dtype=np.int32)
+
+
+def _numbers(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.Array.from_buffers(kind, len(values), [None, pa.py_buffer(values)])
+
+
+def _strings(values: list[bytes]) -> pa.Array:
+    """Strings, given in UTF-8."""
+    buffers = [None, pa.py_buffer(_offsets(list(map(len, values)))), pa.py_buffer(b"".join(values))]
+    return pa.Array.from_buffers(pa.string(), len(values), buffers)
+
+
+def _lists(values: list[bytes]) -> pa.Array:
+    """Lists of numbers, four little-endian bytes each."""
+    flat = _numbers(np.frombuffer(b"".join(values), "<i4"), pa.int32())
+    offsets = pa.py_buffer(_offsets([len(v) // 4 for v in values]))
+    return pa.Array.from_buffers(pa.list_(pa.int32()), len(values), [None, offsets], children=[flat])
+
+
 # ---- documents ----
 
 
@@ -264,10 +294,10 @@ def digests(docs: DataFrame, key: str, text: str, ranks: dict[bytes, int], patte
             for t in batch["text"]:
                 ids = own.encode(t.as_py() or "")
                 counts.append(len(ids) // 4)
-                sums.append(hashlib.sha256(ids).hexdigest())
-                decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                sums.append(hashlib.sha256(ids).hexdigest().encode())
+                decoded.append(hashlib.sha256(own.decode(ids)).hexdigest().encode())
             yield pa.RecordBatch.from_arrays(
-                [batch["key"], pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(decoded, pa.string())],
+                [batch["key"], _numbers(np.array(counts, np.int64), pa.int64()), _strings(sums), _strings(decoded)],
                 ["key", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
@@ -287,11 +317,8 @@ def round_trip(docs: DataFrame, text: str, ranks: dict[bytes, int], pattern: str
         own = coder()
         for batch in slices(batches):
             coded = [own.encode(t.as_py() or "") for t in batch["text"]]
-            texts = pa.array([own.decode(ids).decode() for ids in coded], pa.string())
-            offsets = np.concatenate([[0], np.cumsum([len(ids) // 4 for ids in coded])]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32))
-            ids = pa.ListArray.from_arrays(pa.array(offsets), flat)
-            yield pa.RecordBatch.from_arrays([batch["row"], texts, ids], ["row", "text", "ids"])
+            texts = _strings([own.decode(ids) for ids in coded])
+            yield pa.RecordBatch.from_arrays([batch["row"], texts, _lists(coded)], ["row", "text", "ids"])
 
     schema = T.StructType(
         [source.schema["row"], T.StructField("text", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]

@@ -1,6 +1,9 @@
 import hashlib
+import os
 import random
 import struct
+import subprocess
+import sys
 
 import public_tokenizers
 import pytest
@@ -106,3 +109,26 @@ def test_round_trip(odd, ranks, library):
     for r in rows.collect():
         assert r["text"] == texts[r["key"]]
         assert r["ids"] == library.encode_ordinary(texts[r["key"]])
+
+
+def test_workers_stay_small(spark, odd, ranks):
+    """Encoding imports no pandas, which takes more memory than the dictionary."""
+    probe = "import sys; from corpusloom.llm import bpe; import pyarrow as pa; " + (
+        "a = bpe._strings([b'x', b'', 'é'.encode()]).to_pylist(); b = bpe._lists([b'\\1\\0\\0\\0' * 2, b'']).to_pylist(); "
+        "assert a == ['x', '', 'é'] and b == [[1, 1], []] and bpe._strings([]).to_pylist() == []; "
+        "assert 'pandas' not in sys.modules"
+    )
+    root = os.path.dirname(entry.__file__)
+    subprocess.run([sys.executable, "-c", probe], check=True, cwd=root)
+    coder = bpe.Coder({}, ranks, PATTERN)
+    sizes = []
+    for i in range(60):
+        coder.encode(" ".join(f"q{i}x{j}" for j in range(1000)))
+        sizes.append(len(coder))
+    assert max(sizes) <= 40_000
+
+
+def test_ranks_reach_the_plan_without_python(spark, ranks):
+    table = bpe.rank_table(spark, ranks)
+    assert "PythonRDD" not in table._jdf.queryExecution().toRdd().toDebugString()
+    assert sum(map(len, table.first()["buckets"])) == len(ranks)
